@@ -14,6 +14,8 @@ import math
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from struct import pack
+from unicodedata import is_normalized
 
 import numpy as np
 import pandas as pd
@@ -26,41 +28,51 @@ from lodex.llm.common import stored
 #: Bins and pieces that a group holds at most, on average; both bound a task's memory.
 GROUP_BINS, GROUP_PIECES = 2048, 200_000
 #: Chunks of text whose ids a worker remembers.
-CACHED = 600_000
+CACHED = 400_000
 
 
 class ChunkIds(dict):
     """Little-endian 32-bit ids of the chunks of text between spaces or line ends.
 
     The tokenizer drops white space and no token crosses it, so a text's ids are those of its chunks in order. A chunk
-    of letters and a final stop or comma is two tokens' worth of words, and ASCII letters are lower-cased.
+    of letters and a final stop or comma is two tokens' worth of words, and ASCII letters are lower-cased. A word of
+    letters goes to the tokenizer's merges as it is, written in its alphabet of bytes; any other chunk takes the whole way.
     """
 
     def __init__(self, path: str):
         super().__init__({"": b""})
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.marks = dict(zip(".,", self.encode([".", ","]), strict=True))
+        self.merge = self.tokenizer.model.tokenize
+        level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.letters = {ord(c): level.pre_tokenize_str(c)[0][0] for c in map(chr, range(0xC0, 0x250)) if c.isalpha()}
+        self.marks = {c: self.encode(c) for c in ".,"}
 
-    def encode(self, chunks: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
+    def encode(self, chunk: str) -> bytes:
+        return np.asarray(self.tokenizer.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def word(self, word: str) -> bytes:
+        """Ids of a word or chunk that isn't known yet."""
+        if word.isalpha() and word.islower() and (word.isascii() or max(word) < "\u0250" and word.lower() == word and is_normalized("NFC", word)):
+            ids = [t.id for t in self.merge(word if word.isascii() else word.translate(self.letters))]
+            return pack(f"<{len(ids)}I", *ids)
+        return self.encode(word)
 
     def learn(self, chunks: set[str]) -> None:
         """Makes the ids of all chunks known."""
-        new = [c for c in chunks if c not in self]
-        if len(self) + len(new) > CACHED:
+        if len(self) + len(chunks) > CACHED:
             self.clear()
             self[""] = b""
-            new = list(chunks)
-        plain = {c: (c[:-1] if c[-1] in ".," and c[:-1].isalpha() else c) for c in new if c}
-        lower = {c: (p.lower() if p.isascii() else p) for c, p in plain.items()}
-        base = [b for b in set(lower.values()) if b not in self]
-        self.update(zip(base, self.encode(base), strict=True))
-        for c, b in lower.items():
-            if c != b:
-                self[c] = self[b] if len(c) == len(b) else self[b] + self.marks[c[-1]]
+        for c in chunks.difference(self):
+            end = c[-1]
+            w = c[:-1] if end in ".," and c[:-1].isalpha() else c
+            low = w.lower() if w.isascii() else w
+            ids = self.get(low)
+            if ids is None:
+                self[low] = ids = self.word(low)
+            self[c] = ids if w is c else ids + self.marks[end]
 
 
 _known: dict[str, ChunkIds] = {}
@@ -136,7 +148,7 @@ def lower_bound(sums: np.ndarray) -> int:
     return math.ceil(float(sums.max()) - 1e-6)
 
 
-def pack(pieces: DataFrame, capacity: int = 4096, length_col: str = "length", max_rounds: int = 12) -> DataFrame:
+def pack_pieces(pieces: DataFrame, capacity: int = 4096, length_col: str = "length", max_rounds: int = 12) -> DataFrame:
     """All columns of `pieces`, sequence_id and offset: the pieces of a sequence lie without gaps from 0 and take at most
     `capacity`.
 

@@ -7,15 +7,45 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodex.llm import decontam, packing
-from lodex.llm.common import table
+from lodex.llm import decontam, hmm, imatch, jaccard, packing, quality, secret_scan, toxicity
+from lodex.llm.common import fold, table
+
+
+def op1_imatch_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return imatch.edited_prints(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.fit(docs, table(spark, sf_dir, "labels"), keep=toxicity.train_fold())
+    return quality.score(docs, model, keep=["doc_id"]).select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), F.col("quality").alias("score"), (F.col("quality") >= 0.5).cast("int").alias("predicted"))
+
+
+def op3_hmm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model, counts = hmm.train(docs, fold("doc_id", 7) != 2)
+    return hmm.score(docs, model, counts).select("doc_id", (fold("doc_id", 7) == 2).alias("held_out"), "n_tokens", "n_known", F.lit(model.total).cast("long").alias("train_tokens"), "base_score", "score")
+
+
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.report(secret_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.similar(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     pieces = packing.token_pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), with_ids=False)
-    return packing.pack(pieces)
+    return packing.pack_pieces(pieces)
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), keep=toxicity.train_fold())
+    return toxicity.score(docs, model, keep=["doc_id"]).select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= 0.7).cast("int").alias("predicted"))
 
 
 def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,7 +53,7 @@ def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontam.report(decontam.contained(docs, table(spark, sf_dir, "benchmark"), keep=["doc_id"]))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op6_best_fit_packing, op8_benchmark_decontamination)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_imatch_fingerprints, op2_quality_classifier, op3_hmm_scores, op4_secret_scan, op5_ngram_jaccard_join, op6_best_fit_packing, op7_toxicity, op8_benchmark_decontamination)}
 
 #: DuckDB SQL for the same rows, where SQL can express them.
 SQL: dict[str, str] = {}
