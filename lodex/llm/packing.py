@@ -11,10 +11,11 @@ best-fit decreasing runs again. A group never uses more bins for given documents
 from __future__ import annotations
 
 import math
+import re
 import zlib
+from array import array
 from bisect import bisect_left, insort
 from collections.abc import Iterator
-from struct import pack
 from unicodedata import is_normalized
 
 import numpy as np
@@ -30,6 +31,11 @@ GROUP_BINS, GROUP_PIECES = 2048, 200_000
 #: Chunks of text whose ids a worker remembers.
 CACHED = 400_000
 
+#: How the tokenizer parts a lower-case chunk without apostrophes: letters, single digits, anything else.
+PARTS = re.compile(r"[^\W\d_]+|\d|(?:[^\w]|_)+")
+#: Below U+0250, the characters that Python's \w counts in and that are neither letters nor decimal digits.
+OTHER_NUMBERS = frozenset("²³¹¼½¾")
+
 
 class ChunkIds(dict):
     """Little-endian 32-bit ids of the chunks of text between spaces or line ends.
@@ -55,10 +61,24 @@ class ChunkIds(dict):
 
     def word(self, word: str) -> bytes:
         """Ids of a word or chunk that isn't known yet."""
-        if word.isalpha() and word.islower() and (word.isascii() or max(word) < "\u0250" and word.lower() == word and is_normalized("NFC", word)):
-            ids = [t.id for t in self.merge(word if word.isascii() else word.translate(self.letters))]
-            return pack(f"<{len(ids)}I", *ids)
-        return self.encode(word)
+        if word.isascii():
+            if word.isalpha():
+                return array("I", [t.id for t in self.merge(word)]).tobytes()
+        elif max(word) < "\u0250" and word.lower() == word and is_normalized("NFC", word) and OTHER_NUMBERS.isdisjoint(word):
+            if word.isalpha():
+                return array("I", [t.id for t in self.merge(word.translate(self.letters))]).tobytes()
+        else:
+            return self.encode(word)
+        parts = PARTS.findall(word)
+        if "'" in word or "<|" in word or len(parts) < 2:
+            return self.encode(word)
+        out = []
+        for w in parts:
+            ids = self.get(w)
+            if ids is None:
+                self[w] = ids = self.word(w)
+            out.append(ids)
+        return b"".join(out)
 
     def learn(self, chunks: set[str]) -> None:
         """Makes the ids of all chunks known."""
@@ -67,7 +87,7 @@ class ChunkIds(dict):
             self[""] = b""
         for c in chunks.difference(self):
             end = c[-1]
-            w = c[:-1] if end in ".," and c[:-1].isalpha() else c
+            w = c[:-1] if end in ".," and c[:-1].isalpha() and "İ" not in c else c  # its small form ends in a mark
             low = w.lower() if w.isascii() else w
             ids = self.get(low)
             if ids is None:
