@@ -1,6 +1,56 @@
-STAGES = []
+"""From raw documents to packed training sequences, each stage one operator over all that the stage before kept."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lodex.llm import decontam, jaccard, packing, secret_scan, toxicity
+from lodex.llm.common import stored, table
+
+#: Documents with this toxicity or more go.
+TOXIC = 0.7
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score less than TOXIC, by a model of the labels that may be learned from."""
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), keep=toxicity.train_fold())
+    return toxicity.score(docs, model).where(F.col("toxicity") < TOXIC).drop("toxicity")
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that of the least id, of each group of equal or similar ones."""
+    return jaccard.representatives(docs)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a passage of a benchmark item."""
+    found = decontam.contained(docs, table(spark, sf_dir, "benchmark"))
+    return found.where(F.size("spans") == 0).select(*docs.columns)
+
+
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, each secret (or what encodes one) replaced by a mark; n_chars as the text is then."""
+    found = secret_scan.redact(secret_scan.scan(docs, keep_text=True), "text")
+    return found.withColumn("n_chars", F.when(F.size("spans") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))).select(*docs.columns)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents' token pieces with their sequences and places there."""
+    import public_tokenizers
+
+    return packing.pack_pieces(packing.token_pieces(docs, public_tokenizers.path("word_bpe_49k.json"), with_ids=False))
+
+
+STAGES = [("toxicity", drop_toxic), ("n-gram Jaccard join", drop_near_copies), ("benchmark decontamination", drop_contaminated), ("secret scans", redact_secrets), ("best-fit packing", pack_sequences)]
+
+#: Minhash, learned scores and tokenizers can't be written in SQL.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages, applied to the documents table."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)

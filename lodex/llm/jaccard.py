@@ -238,15 +238,8 @@ def _verified(rows: DataFrame) -> DataFrame:
     return rows.groupBy("shard").applyInPandas(run, "node long, other long, links long")
 
 
-def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """`id_col`, class_id, n_links, n_copies of every row of `docs`.
-
-    class_id is the least id of all documents that chains of links reach; n_links is the number of different texts (by
-    shingle set) of similarity 0.8 or more, each text once however often it is copied; n_copies is the number of rows
-    with the same shingle set, itself included. Texts of fewer than five words are one shingle; texts without words
-    (null and empty ones among them) are copies of each other and link to nothing. Rows with null ids take part; a
-    class of such rows only has a null class_id. Repeated rows give repeated results.
-    """
+def _classes(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """The sketches (id, set, n, sig) and, for each distinct set: node, set, least (id), n_copies, n_links and root."""
     sketch = stored(sketches(docs, id_col, text_col), "sketches")
     classes = sketch.groupBy("set").agg(F.min("id").alias("least"), F.count("*").alias("n_copies"), F.first("n").alias("n"), F.first("sig").alias("sig"))
     nodes = stored(classes.withColumn("node", F.monotonically_increasing_id()), "nodes")
@@ -256,25 +249,53 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     sizes = near.groupBy("root").agg(F.count("*").alias("n"))
     members = near.join(sizes, "root").select(F.col("root").alias("key"), "n", "node")
     members = stored(members.join(nodes.select("node", "least", "set"), "node"), "members")
-    # One row of the class's least id has its text; where ids repeat, the sketch tells which row it is.
-    chosen = members.select("node", F.col("least").alias("id"), "set")
-    of_text = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    held = of_text.join(chosen, of_text["id"].eqNullSafe(chosen["id"])).select("node", "set", "text")
-    held = held.mapInArrow(_same_set, "node long, text binary").dropDuplicates(["node"])
+    held = _of_set(docs, members.select("node", F.col("least").alias("id"), "set"), id_col, text_col)
     groups = _dealt(members.drop("least", "set"), VERIFY_BLOCK, own=True).join(stored(held, "texts"), "node")
     checked = stored(_verified(groups), "checked")
     links = checked.where("other is null").groupBy("node").agg(F.sum("links").alias("n_links"))
     roots = components(checked.where("other is not null").select(F.col("node").alias("a"), F.col("other").alias("b")))
-    by_node = nodes.select("node", "set", "least", "n_copies").join(roots, "node", "left").join(links, "node", "left")
-    by_node = by_node.withColumn("root", F.coalesce("root", "node"))
+    out = nodes.select("node", "set", "least", "n_copies").join(roots, "node", "left").join(links, "node", "left")
+    return sketch, out.withColumn("root", F.coalesce("root", "node")).withColumn("n_links", F.coalesce("n_links", F.lit(0).cast("long")))
+
+
+def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """`id_col`, class_id, n_links, n_copies of every row of `docs`.
+
+    class_id is the least id of all documents that chains of links reach; n_links is the number of different texts (by
+    shingle set) of similarity 0.8 or more, each text once however often it is copied; n_copies is the number of rows
+    with the same shingle set, itself included. Texts of fewer than five words are one shingle; texts without words
+    (null and empty ones among them) are copies of each other and link to nothing. Rows with null ids take part; a
+    class of such rows only has a null class_id. Repeated rows give repeated results, an empty table none.
+    """
+    sketch, by_node = _classes(docs, id_col, text_col)
     class_ids = by_node.groupBy("root").agg(F.min("least").alias("class_id"))
-    by_set = by_node.join(class_ids, "root").select("set", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), "n_copies")
+    by_set = by_node.join(class_ids, "root").select("set", "class_id", "n_links", "n_copies")
     return sketch.select("id", "set").join(by_set, "set").select(F.col("id").alias(id_col), "class_id", "n_links", "n_copies")
 
 
+def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of `docs`, with all their columns, that stay when one document of each class of similar() does: that of the
+    least id (of rows that repeat an id and a shingle set, any one)."""
+    _, by_node = _classes(docs, id_col, text_col)
+    first = by_node.groupBy("root").agg(F.min(F.struct("least", "node")).alias("m")).select(F.col("m.node").alias("node"))
+    chosen = by_node.join(first, "node").select("node", F.col("least").alias("id"), "set")
+    return _of_set(docs, chosen, id_col, text_col, docs.columns).select(*docs.columns)
+
+
+def _of_set(docs: DataFrame, chosen: DataFrame, id_col: str, text_col: str, keep: list[str] | None = None) -> DataFrame:
+    """For each row of `chosen` (node, id, set) one row of `docs` with that id and shingle set: node and text as UTF-8, or
+    the columns in `keep`."""
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("_text")
+    own = docs.select(F.col(id_col).alias("_id"), text) if keep is None else docs.select(F.col(id_col).alias("_id"), text, F.struct(*keep).alias("_row"))
+    met = own.join(chosen.select(F.col("node").alias("_node"), "id", F.col("set").alias("_set")), F.col("_id").eqNullSafe(F.col("id"))).drop("_id", "id")
+    met = met.select("_node", "_set", "_text", *(["_row"] if keep else []))
+    same = met.mapInArrow(_same_set, met.schema).dropDuplicates(["_node"])
+    return same.select("_row.*") if keep else same.select(F.col("_node").alias("node"), F.col("_text").alias("text"))
+
+
 def _same_set(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows node, set, text: node and UTF-8 text of those whose text has that shingle set."""
+    """Of rows that begin with node, set and UTF-8 text, those whose text has that shingle set."""
     cache = HashCache()
     for batch in it:
-        rows = [(n, t) for n, s, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()).to_pylist(), strict=True) if hashlib.blake2b(shingles(word_hashes(cache, words(t)), WORDS).tobytes(), digest_size=16).digest() == s]
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["node", "text"])
+        same = [hashlib.blake2b(shingles(word_hashes(cache, words(t)), WORDS).tobytes(), digest_size=16).digest() == s for s, t in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+        yield batch.filter(pa.array(same, pa.bool_()))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodex.llm import decontam, hmm, imatch, jaccard, packing, quality, secret_scan, toxicity
+from lodex.llm import chat, decontam, hmm, imatch, jaccard, licenses, packing, quality, secret_scan, toxicity
 from lodex.llm.common import fold, table
 
 
@@ -53,7 +53,18 @@ def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontam.report(decontam.contained(docs, table(spark, sf_dir, "benchmark"), keep=["doc_id"]))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_imatch_fingerprints, op2_quality_classifier, op3_hmm_scores, op4_secret_scan, op5_ngram_jaccard_join, op6_best_fit_packing, op7_toxicity, op8_benchmark_decontamination)}
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    own = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    return chat.report(chat.windows(given.unionByName(own)))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_imatch_fingerprints, op2_quality_classifier, op3_hmm_scores, op4_secret_scan, op5_ngram_jaccard_join, op6_best_fit_packing, op7_toxicity, op8_benchmark_decontamination, op9_license_scan, op10_chat_formatting)}
 
 #: DuckDB SQL for the same rows, where SQL can express them.
 SQL: dict[str, str] = {}
