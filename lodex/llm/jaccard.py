@@ -284,10 +284,10 @@ def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def _of_set(docs: DataFrame, chosen: DataFrame, id_col: str, text_col: str, keep: list[str] | None = None) -> DataFrame:
     """For each row of `chosen` (node, id, set) one row of `docs` with that id and shingle set: node and text as UTF-8, or
-    the columns in `keep`."""
+    the columns in `keep`. Both sides are dealt by id: which rows are chosen grows with the table, so none is broadcast."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("_text")
     own = docs.select(F.col(id_col).alias("_id"), text) if keep is None else docs.select(F.col(id_col).alias("_id"), text, F.struct(*keep).alias("_row"))
-    met = own.join(chosen.select(F.col("node").alias("_node"), "id", F.col("set").alias("_set")), F.col("_id").eqNullSafe(F.col("id"))).drop("_id", "id")
+    met = own.join(chosen.select(F.col("node").alias("_node"), "id", F.col("set").alias("_set")).hint("merge"), F.col("_id").eqNullSafe(F.col("id"))).drop("_id", "id")
     met = met.select("_node", "_set", "_text", *(["_row"] if keep else []))
     same = met.mapInArrow(_same_set, met.schema).dropDuplicates(["_node"])
     return same.select("_row.*") if keep else same.select(F.col("_node").alias("node"), F.col("_text").alias("text"))
