@@ -26,6 +26,8 @@ from lodex.llm.common import SEPARATORS, fold
 FIT_ROWS, TERMS, CLEAN_WORDS = 20_000, 1000, 200_000
 #: Words on either side of a hit that its context score reads.
 WINDOW = 6
+#: What a misspelled hit counts for, of an exact one, unless labels say otherwise.
+SPELLING = 0.7
 _TO_SPACE = bytes.maketrans(SEPARATORS, b" " * len(SEPARATORS))
 # Marks that open or close a quotation, and words of reporting and of address in the four languages.
 QUOTES = '"“”„«»‹›「」'
@@ -142,14 +144,15 @@ class Model:
         return out
 
     def features(self, text: str | None) -> np.ndarray:
-        """Constant, and the logarithms of weighed exact hits, misspelled hits and distinct terms."""
+        """Constant, and the logarithms of all weighed hits (misspelled ones for SPELLING of an exact one), of misspelled
+        hits alone, by which these may turn out to say less or more, and of distinct terms."""
         exact = fuzzy = 0.0
         terms = set()
         for _, term, d, context in self.hits(text or ""):
             w = self.terms[term] * context
             exact, fuzzy = exact + w * (d == 0), fuzzy + w * (d > 0)
             terms.add(term)
-        return np.array([1.0, math.log1p(exact), math.log1p(fuzzy), math.log1p(len(terms)) if exact + fuzzy else 0.0])
+        return np.array([1.0, math.log1p(exact + SPELLING * fuzzy), math.log1p(fuzzy), math.log1p(len(terms))])
 
     def score(self, text: str | None) -> float:
         return 1 / (1 + math.exp(-float(np.clip(self.features(text) @ self.weights, -30, 30))))
@@ -165,30 +168,39 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, id_col: str, text_c
     return docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).join(F.broadcast(ids), "id")  # `most` rows at most
 
 
-def learn_lexicon(sample: DataFrame) -> Model:
-    """Terms and clean words from a bounded sample of (id, text, label)."""
+def learn_lexicon(sample: DataFrame) -> tuple[Model, frozenset[str]]:
+    """Terms and clean words from a bounded sample of (id, text, label), and the clean words of its first half alone.
+
+    A word of clean documents is never taken for a misspelling. How often words that aren't known yet look like one is
+    to be seen in the second half, under the clean words of the first.
+    """
 
     def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             n: Counter = Counter()
-            for text, label in zip(batch.column("text").to_pylist(), batch.column("label").to_pylist(), strict=True):
+            for text, label in zip(batch.column("text").to_pylist(), batch.column("kind").to_pylist(), strict=True):
                 found = lower_words(text)
-                n.update({(w, p if label else "", label) for p, w in zip(["", *found], found, strict=False) if 4 <= len(w) <= 40})
+                n.update({(w, p if label == 1 else "", label) for p, w in zip(["", *found], found, strict=False) if 4 <= len(w) <= 40})
             cols = list(zip(*n, strict=True)) or [(), (), ()]
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.int32()), pa.array(list(n.values()), pa.int64())], names=["word", "before", "label", "n"])
 
-    rows = sample.dropDuplicates(["text", "label"]).mapInArrow(count, "word string, before string, label int, n long")
+    kind = F.when(F.col("label") == 1, 1).otherwise(2 * second_half().cast("int")).alias("kind")
+    rows = sample.dropDuplicates(["text", "label"]).select("text", kind).mapInArrow(count, "word string, before string, label int, n long")
     pairs = rows.groupBy("word", "before", "label").agg(F.sum("n").alias("n"))
-    toxic, clean = F.col("label") == 1, F.col("label") == 0
-    stats = pairs.groupBy("word").agg(F.sum(F.when(toxic, F.col("n"))).alias("t"), F.count(F.when(toxic, 1)).alias("contexts"), F.sum(F.when(clean, F.col("n"))).alias("c")).fillna(0)
+    toxic, clean = F.col("label") == 1, F.col("label") != 1
+    stats = pairs.groupBy("word").agg(F.sum(F.when(toxic, F.col("n"))).alias("t"), F.count(F.when(toxic, 1)).alias("contexts"), F.sum(F.when(clean, F.col("n"))).alias("c"), F.sum(F.when(F.col("label") == 0, F.col("n"))).alias("c0")).fillna(0)
     total = {r.label: r.n for r in sample.groupBy("label").agg(F.count("*").alias("n")).collect()}
     n1, n0 = total.get(1, 0) + 1, total.get(0, 0) + 1
     odds = F.log((F.col("t") + 0.1) / n1) - F.log((F.col("c") + 0.1) / n0)
     # Copies of one document repeat its words after the same words; a term must stand in different places.
     chosen = stats.where((F.col("contexts") >= 3) & (F.col("t") * n0 >= 20 * F.col("c") * n1)).withColumn("odds", odds).orderBy(F.desc(F.col("odds") * F.log1p(F.col("contexts"))), "word").limit(TERMS).collect()
     terms = {r.word: min(3.0, 0.5 * r.odds) * min(1.0, r.contexts / 8) for r in chosen}
-    plain = stats.where("c >= 1").orderBy(F.desc("c"), "word").limit(CLEAN_WORDS).select("word").collect()
-    return Model(terms, frozenset(r.word for r in plain) - set(terms))
+    plain = stats.where("c >= 1").orderBy(F.desc("c"), "word").limit(CLEAN_WORDS).select("word", "c0").collect()
+    return Model(terms, frozenset(r.word for r in plain) - set(terms)), frozenset(r.word for r in plain if r.c0) - set(terms)
+
+
+def second_half():
+    return F.pmod(F.xxhash64("id", F.lit(5)), F.lit(2)) == 1
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text", keep=None, fit_rows: int = FIT_ROWS) -> Model:
@@ -198,17 +210,19 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str =
     Several labels of an id count as the highest; labels of unknown ids, null labels and null ids are left out.
     """
     sample = labelled(docs, labels, label, id_col, text_col, F.lit(True) if keep is None else keep, fit_rows)
-    model = learn_lexicon(sample)
-    shared = sample.sparkSession.sparkContext.broadcast(model)
+    model, first_half = learn_lexicon(sample)
+    shared = sample.sparkSession.sparkContext.broadcast(Model(model.terms, first_half))
 
     def features(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             f = [shared.value.features(t) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(f, pa.list_(pa.float64())), batch.column("label")], names=["f", "label"])
 
-    rows = sample.mapInArrow(features, "f array<double>, label int").groupBy("f", "label").count().collect()  # of a bounded sample
+    part = sample.where((F.col("label") == 1) | second_half()).select("text", "label")
+    rows = part.mapInArrow(features, "f array<double>, label int").groupBy("f", "label").count().collect()  # of a bounded sample
     if len({r.label for r in rows}) == 2:
         x, y, n = (np.array([r[k] for r in rows], float) for k in ("f", "label", "count"))
+        n = np.where(y == 0, 2 * n, n)  # half of the clean documents stands for all
         w, pull = np.zeros(x.shape[1]), np.diag([1e-6, *[0.05] * (x.shape[1] - 1)])
         for _ in range(30):
             p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
