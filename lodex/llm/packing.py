@@ -225,7 +225,7 @@ def _pack_group(capacity: int, length_col: str, k: int):
         first = np.concatenate([[True], np.diff(bins[order]) > 0])
         offset = np.empty(len(bins), np.int64)
         offset[order] = starts - np.maximum.accumulate(np.where(first, starts, 0))
-        open_bin = (capacity - used > max(1, capacity // 64)) & (gap > 1e-6)
+        open_bin = (capacity - used > capacity // 512) & (gap > 1e-6)
         return rows.drop(columns="_group").assign(sequence_id=(k << 56) + (int(key[0]) << 24) + bins, offset=offset, _open=open_bin[bins])
 
     return run

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from lodex.llm import chat, hmm, imatch, licenses, packing, quality, secret_scan, toxicity
 from lodex.llm.common import fold
 
-ODD = [None, "", " \n", "x", "a" * 30_000, "Straße Ünï 日本 😀", "x", "same text again", "same text again"]
+ODD = [None, "", " \n", "x", "z" * 30_000, "Straße Ünï 日本 😀", "x", "same text again", "same text again"]
 
 
 # I-Match
@@ -252,7 +252,7 @@ def test_base_patterns():
 
 
 def test_scan_of_odd_rows(frame):
-    bomb = base64.b64encode(gzip.compress(b"a" * 100)).decode()
+    bomb = base64.b64encode(gzip.compress(b"z" * 100)).decode()
     found = secret_scan.scan(frame([*ODD, bomb, "%" * 50, "\\u00", "=" * 40]).withColumn("spans", F.lit(1)))
     assert found.count() == len(ODD) + 4 and found.where("size(spans) > 0").count() == 0
     assert secret_scan.report(secret_scan.scan(frame([None]))).first().base_sha256 == hashlib.sha256(b"").hexdigest()
@@ -305,7 +305,7 @@ def test_packing_in_groups_meets_the_bound(spark, monkeypatch):
     rows = packing.pack_pieces(pieces, 100).collect()
     assert Counter((r.doc_id, r.length) for r in rows) == Counter([*enumerate(lengths), (3, lengths[3])])
     bound = packing.lower_bound(packing.dual_feasible(np.array([*lengths, lengths[3]]), 100))
-    assert bound <= check_packing(rows, 100) <= bound + 2
+    assert packing.best_fit(np.array(lengths), 100).max() + 1 <= bound <= check_packing(rows, 100) <= 1.015 * bound  # eight bins a group
 
 
 def test_dual_feasible_bounds_hold_and_certify():
