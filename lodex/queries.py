@@ -90,6 +90,26 @@ def file_rollup(spark, sf_dir):
     return search.file_rollup(T.listing(spark, sf_dir))
 
 
+@query(f"SELECT to_json({{info_hash: info_hash, name: name, total_size: total_size, file_count: file_count, created_at: created_at}})::VARCHAR AS record FROM (SELECT * FROM listing WHERE contains({LOW_NAME}, 'ist') ORDER BY created_at DESC, info_hash LIMIT 20)", (LISTING,))
+def search_json(spark, sf_dir):
+    return search.as_json(search.search(T.listing(spark, sf_dir), "ist"))
+
+
+@query("SELECT info_hash, file_count, least(50, file_count)::INTEGER AS n_kept, list_sum(list_transform(paths[1:50], lambda p: length(p)))::BIGINT AS bytes FROM listing", (LISTING,))
+def kept_files(spark, sf_dir):
+    size = F.aggregate("files", F.lit(0).cast("long"), lambda n, f: n + f["size"])
+    return T.kept_files(T.listing(spark, sf_dir)).select("info_hash", "file_count", F.size("files").alias("n_kept"), size.alias("bytes"))
+
+
+@query("SELECT CASE WHEN toxic = 1 THEN 'adult' ELSE 'spam' END AS label, lpad(lower(to_hex(doc_id + 1)), 40, '0') AS info_hash, 'title ' || doc_id AS title FROM labels WHERE doc_id % 3 > 0")
+def journal_lines(spark, sf_dir):
+    """The labels as lines of a journal, some without a title, and read back."""
+    label = F.when(F.col("toxic") == 1, "adult").otherwise("spam")
+    title = F.when(F.col("doc_id") % 3 > 0, F.concat(F.lit(' "title '), F.col("doc_id").cast("string"), F.lit('"'))).otherwise("")
+    lines = T.table(spark, sf_dir, "labels").select(F.concat(F.lit("2024/01/01 00:00:00 review: "), label, F.lit(" "), T.key_of(F.col("doc_id")), title).alias("value"))
+    return T.parsed_journal(lines)
+
+
 # Rules. RE2's word boundary is the ASCII one that the Spark patterns spell out.
 
 _PLAIN = "replace(lower(name), 'that from', '')"
@@ -263,6 +283,14 @@ def best_seeders(spark, sf_dir):
     return rank.best_seeders(given, T.replies(spark, sf_dir))
 
 
+@query("SELECT count(*) AS scraped, count(*) FILTER (WHERE q > 20) AS seeded, (SELECT count(*) FROM lineitem WHERE l_quantity <= 20) AS errors FROM (SELECT p_partkey, max(l_quantity) AS q FROM part LEFT JOIN lineitem ON l_partkey = p_partkey GROUP BY p_partkey)")
+def rank_counters(spark, sf_dir):
+    """Small quantities stand for trackers that failed."""
+    given = T.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("hash"))
+    replies = T.replies(spark, sf_dir).withColumn("seeders", F.when(F.col("seeders") > 20, F.col("seeders")))
+    return rank.rank_counters(rank.best_seeders(given, replies), replies)
+
+
 @query(
     "SELECT o.l_orderkey AS batch_id, (o.k - 1)::INTEGER AS pos, o.l_partkey AS hash, coalesce(r.q, 0)::INTEGER AS seeders FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) AS k FROM lineitem) o LEFT JOIN (SELECT l_orderkey, l_quantity::INTEGER AS q, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) AS k FROM lineitem) r ON r.l_orderkey = o.l_orderkey AND r.k = o.k AND o.k <= 3"
 )
@@ -379,6 +407,11 @@ def review_audit(spark, sf_dir):
 # Counters.
 
 
+@query("SELECT string_agg(event_type || '=' || n, ',' ORDER BY event_type) AS stats FROM (SELECT event_type, count(*) AS n FROM events GROUP BY event_type)")
+def stats_map(spark, sf_dir):
+    return stats.as_map(counted(spark, sf_dir)).select(F.array_join(F.transform(F.array_sort(F.map_entries("stats")), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ",").alias("stats"))
+
+
 def counted(spark, sf_dir) -> DataFrame:
     return stats.totals(T.events(spark, sf_dir).select(F.col("event_type").alias("key"), F.lit(1).cast("long").alias("delta")))
 
@@ -429,6 +462,13 @@ def chart_keep_last(spark, sf_dir):
     return charts.keep_last(old, charts.first_n(rows.where("chart NOT LIKE 'S%'")), 2)
 
 
+@query("SELECT chart, array_to_string(list(title ORDER BY place), '|') AS titles FROM placed WHERE place <= 10 GROUP BY chart UNION ALL SELECT 'none', ''", (_CHART,))
+def chart_lists(spark, sf_dir):
+    rows = charts.first_n(T.charts(spark, sf_dir))
+    names = [r.chart for r in rows.select("chart").distinct().collect()]  # the charts asked for
+    return charts.lists(rows, [*names, "none"]).select("chart", F.array_join("titles", "|").alias("titles"))
+
+
 @query(
     "SELECT addr, last_seen, last_seen + CASE WHEN coalesce(k, 0) <= 0 THEN 900 ELSE least(greatest(k, 60), 7200) END AS next_due FROM (SELECT user_id AS addr, floor(epoch(max(ts)))::BIGINT AS last_seen, arg_max(CAST(json_extract(props, '$.k') AS BIGINT) * 120, ts) AS k FROM events WHERE event_type <> 'error' GROUP BY user_id) WHERE next_due <= 1706600000"
 )
@@ -436,6 +476,15 @@ def due_nodes(spark, sf_dir):
     return schedule.due(T.node_observations(spark, sf_dir), 1_706_600_000)
 
 
+@query("SELECT addr, port, count(*) AS n FROM (SELECT user_id AS addr, 6881 AS port FROM events UNION ALL SELECT event_id % 50 AS addr, 6882 AS port FROM events WHERE event_id % 2 = 0) GROUP BY addr, port")
+def merged_nodes(spark, sf_dir):
+    """Replies with two node lists; the second is empty in every other one."""
+    node = lambda a, port: F.struct(a.alias("addr"), F.lit(port).alias("port"))
+    second = F.array(node(F.col("event_id") % 50, 6882))
+    replies = T.events(spark, sf_dir).select("ts", F.lit(None).cast("long").alias("interval_s"), F.array(node(F.col("user_id"), 6881)).alias("nodes"), F.when(F.col("event_id") % 2 == 0, second).otherwise(F.slice(second, 1, 0)).alias("nodes6"))
+    return schedule.merged_replies(replies).groupBy("addr", "port").agg(F.count("*").alias("n"))
+
+
 _BUCKET = "RECURSIVE e AS (SELECT user_id, epoch_us(ts) / 1000000.0 AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS k FROM events), b AS (SELECT user_id, k, t, 1.0::DOUBLE AS tokens, true AS ok FROM e WHERE k = 1 UNION ALL SELECT e.user_id, e.k, e.t, (CASE WHEN least(2.0::DOUBLE, b.tokens + (e.t - b.t) * (1.0::DOUBLE / 14400)) >= 1 THEN least(2.0::DOUBLE, b.tokens + (e.t - b.t) * (1.0::DOUBLE / 14400)) - 1 ELSE least(2.0::DOUBLE, b.tokens + (e.t - b.t) * (1.0::DOUBLE / 14400)) END)::DOUBLE, least(2.0::DOUBLE, b.tokens + (e.t - b.t) * (1.0::DOUBLE / 14400)) >= 1 FROM b JOIN e ON e.user_id = b.user_id AND e.k = b.k + 1)"
 _BUCKET_ROWS = "SELECT user_id AS client, count(*) FILTER (WHERE ok) AS allowed, count(*) FILTER (WHERE NOT ok) AS rejected FROM b GROUP BY user_id"
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from lodex.functions import keys
 from lodex.operators import merge, rank, rules
 from lodex.operators.requests import BURST, RATE
 
@@ -94,7 +95,7 @@ class Bucket(StatefulProcessor):
             else:
                 no += 1
         self.state.update((tokens, last))
-        yield pd.DataFrame({"client": [key[0]], "allowed": [yes], "rejected": [no]})
+        yield pd.DataFrame({"client": pd.Series([key[0]]).astype(object), "allowed": [yes], "rejected": [no]})
 
     def close(self) -> None:
         pass
@@ -105,3 +106,43 @@ def buckets(log: DataFrame, rate: float = RATE, burst: float = BURST, idle: floa
     kind = log.schema["client"].dataType.simpleString()
     rows = log.select("client", F.col("ts").cast("timestamp").cast("double").alias("t"))
     return rows.groupBy("client").transformWithStateInPandas(Bucket(rate, burst, idle), f"client {kind}, allowed long, rejected long", "Update", "None")
+
+
+class Due(StatefulProcessor):
+    """When a node may be offered again. A sighting offers a node that is due and reserves it; a reply sets its interval."""
+
+    def __init__(self, reserve: float, forget_ms: int):
+        self.reserve, self.forget_ms = reserve, forget_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("due", "next double", self.forget_ms)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        due = self.state.get()[0] if self.state.exists() else 0.0
+        offered = []
+        for t, wait in sorted((r.t, r.wait) for part in rows for r in part.itertuples()):
+            if wait > 0:
+                due = t + wait
+            elif t >= due:
+                offered.append(t)
+                due = t + self.reserve
+        self.state.update((due,))
+        if offered:
+            yield pd.DataFrame({"addr": pd.Series([key[0]] * len(offered)).astype(object), "at": offered})
+
+    def close(self) -> None:
+        pass
+
+
+def due_nodes(observations: DataFrame, reserve: float = 60.0, forget: str = "2 hours") -> DataFrame:
+    """addr, at (seconds) of the nodes to ask, from a stream of sightings and replies (addr, port, ts, answered, interval_s).
+
+    A sighting of a node that is due offers it and keeps it from being offered for `reserve` seconds; a reply keeps it for
+    its interval, from a minute to two hours. Port 0 is skipped. A node not seen for the time `forget` is forgotten, which
+    bounds the state by time instead of by a number of nodes.
+    """
+    kind = observations.schema["addr"].dataType.simpleString()
+    wait = F.when(F.col("answered"), keys.interval(F.col("interval_s"))).otherwise(0).cast("double")
+    rows = observations.where("port <> 0").select("addr", F.col("ts").cast("timestamp").cast("double").alias("t"), wait.alias("wait"))
+    millis = int(pd.Timedelta(forget).total_seconds() * 1000)
+    return rows.groupBy("addr").transformWithStateInPandas(Due(reserve, millis), f"addr {kind}, at double", "Update", "ProcessingTime")

@@ -273,3 +273,11 @@ def test_rank_discovered(spark):
     given = spark.createDataFrame([(a, 1), (b, 2), (a, 3), (zero, 4), ("zz", 5)], "hash string, seq int")
     replies = spark.createDataFrame([(b, 4)], "hash string, seeders int")
     assert [(r.hash, r.seeders, r.seq) for r in jobs.rank_discovered(given, replies).collect()] == [(b, 4, 2), (a, 0, 1)]
+
+
+def test_due_stream_over_batches(spark, tmp_path):
+    rows = [[("a", 1, 100, False, None), ("a", 1, 130, False, None), ("b", 0, 100, False, None)], [("a", 1, 150, True, 300), ("a", 1, 170, False, None)], [("a", 1, 449, False, None), ("a", 1, 450, False, None)]]
+    obs = files(spark, tmp_path, rows, "addr string, port int, t long, answered boolean, interval_s long").withColumn("ts", F.timestamp_seconds("t"))
+    got = []
+    streams.due_nodes(obs).writeStream.foreachBatch(lambda batch, _: got.extend((r.addr, r["at"]) for r in batch.collect())).outputMode("update").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start().awaitTermination(120)
+    assert got == [("a", 100.0), ("a", 450.0)]
