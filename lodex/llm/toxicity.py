@@ -28,6 +28,8 @@ FIT_ROWS, TERMS, CLEAN_WORDS = 20_000, 1000, 200_000
 WINDOW = 6
 #: What a misspelled hit counts for, of an exact one, unless labels say otherwise.
 SPELLING = 0.7
+#: Characters at a word's head by which the trie is entered.
+HEAD = 7
 _TO_SPACE = bytes.maketrans(SEPARATORS, b" " * len(SEPARATORS))
 # Marks that open or close a quotation, and words of reporting and of address in the four languages.
 QUOTES = '"“”„«»‹›「」'
@@ -56,15 +58,15 @@ class Trie:
             for c in t:
                 node = node.setdefault(c, {})
             node[""] = t
-            self.near |= deletions(t, allowed(len(t)))
+            self.near |= deletions(t[:HEAD], allowed(len(t)))
 
     def match(self, word: str) -> tuple[str, int] | None:
         """The nearest term and its distance, if the distance is allowed for both lengths; ties by the term's order.
 
-        A term within k edits shares a form with the word after at most k deletions on each side, so words without
-        such a form never start the automaton.
+        The heads of a word and of a term within k edits have all but k of their characters in common, in order, so they
+        share a form after at most k deletions on each side; words without such a form never start the automaton.
         """
-        if self.near.isdisjoint(deletions(word, allowed(len(word) + 1))):
+        if self.near.isdisjoint(deletions(word[:HEAD], allowed(len(word) + 1))):
             return None
         best: tuple[int, str] | None = None
         stack = [(self.root, tuple(range(len(word) + 1)))]
