@@ -28,7 +28,7 @@ THRESHOLD, WORDS = 0.8, 5
 BANDS, ROWS = 32, 4
 TOLERANCE, STEP = 1e-5, 16
 #: Members of a bucket's block, of a component's block, and rows of a group of small buckets or components.
-BUCKET_BLOCK, VERIFY_BLOCK, SHARD_ROWS = 1024, 512, 3000
+BUCKET_BLOCK, VERIFY_BLOCK, SHARD_ROWS = 1024, 512, 200
 
 _A = mixed(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 _B = mixed(_A + np.uint64(0x632BE59BD9B4E019))
