@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodex.llm.common import HashCache, mixed, words
+from lodex.llm.common import HashCache, mixed, stored, words
 
 #: The band: shares of documents that a lexicon term may occur in.
 LEAST, MOST = 2e-4, 0.02
@@ -56,6 +56,7 @@ def lexicon(docs: DataFrame, text_col: str = "text", least: float = LEAST, most:
         yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([rows], pa.int64())], names=["term", "n"])
 
     df = docs.select(F.col(text_col).cast("string").cast("binary")).mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    df = stored(df, "terms")  # read twice
     total = df.where("term is null").select(F.col("n").alias("total"))  # one row
     band = df.where("term is not null").crossJoin(F.broadcast(total)).where(F.col("n").between(least * F.col("total"), F.greatest(most * F.col("total"), F.lit(1.0))))
     terms = band.select("term").toArrow().column(0).to_numpy().view(np.uint64)
@@ -156,7 +157,7 @@ def ranges(docs: DataFrame, id_col: str) -> DataFrame:
     links = F.broadcast(spark.createDataFrame(before, f"{id_col} long, to int"))  # one row a range
     extra = docs.join(links, id_col).withColumn("part", F.col("to")).drop("to")
     both = placed.withColumn("own", F.lit(True)).unionByName(extra.withColumn("own", F.lit(False)))
-    return both.repartition(len(first), "part")
+    return both.repartitionById(len(splits) + 1, "part")
 
 
 def edited_prints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", terms: np.ndarray | None = None) -> DataFrame:
