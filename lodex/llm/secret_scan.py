@@ -2,7 +2,7 @@
 
 A worklist holds layers, each a text with, for every character, the range of the document it came from. Every layer is
 scanned; what it encodes (URL escapes, Unicode escapes, base64, compressed bytes within those) becomes new layers until
-none is new. Layers are remembered by text and place, so one that decodes to itself ends there. Spans found in a
+none is new. Decoded bytes are scanned whatever they are, those that aren't UTF-8 as one character each. Layers are remembered by text and place, so one that decodes to itself ends there. Spans found in a
 layer are given as ranges of the document: a URL or Unicode escape maps to itself, base64 to its groups of four
 characters, compressed data to the whole run that holds it.
 """
@@ -137,9 +137,14 @@ def _unfold(data: bytes) -> tuple[bytes | None, bool]:
     return None, False
 
 
-def _readable(data: bytes) -> str | None:
-    text = _utf8(data)
-    return text if text and all(c.isprintable() or c in "\t\n\r\f" for c in text) else None
+def _lax(data: bytes) -> str:
+    """Bytes as a text that is UTF-8 where it can be; each other byte becomes one character (a lone surrogate)."""
+    return data.decode("utf-8", "surrogateescape")
+
+
+def _holds(text: str) -> bool:
+    """Whether a decoded text has a match or anything to unwrap; most of what base64 decodes to is noise without either."""
+    return bool(matches(text) or BASE64.search(text) or URL.search(text) or UNICODE.search(text))
 
 
 def _encoded(layer: Layer) -> Iterator[tuple[Layer, bool]]:
@@ -167,14 +172,14 @@ def _encoded(layer: Layer) -> Iterator[tuple[Layer, bool]]:
                 data = inner
                 inner, more = _unfold(data)
                 cut |= more
-            text = _readable(data)
-            if not text:
+            text = _lax(data)
+            if not _holds(text):
                 continue
             start, end = np.array([layer.span(int(i), int(i) + 1) for i in places]).T
             if folded:
                 yield Layer(text, np.full(len(text), start.min()), np.full(len(text), end.max())), cut
             else:
-                byte = np.concatenate([[0], np.cumsum([len(c.encode()) for c in text])])
+                byte = np.concatenate([[0], np.cumsum([len(c.encode("utf-8", "surrogateescape")) for c in text])])
                 first, last = byte[:-1] // 3 * 4, np.minimum((byte[1:] - 1) // 3 * 4 + 3, len(places) - 1)
                 yield Layer(text, start[first], end[last]), cut
 

@@ -237,6 +237,22 @@ def test_layers_are_unwrapped(wrap):
     assert set(base) <= {s[:3] for s in spans}
 
 
+@pytest.mark.parametrize("around", ["mot de passe\u00a0: %s", "\ufeff%s", "\x1b[31m%s\x1b[0m", "A=1\0%s\0B=2", "soft\u00adhyphen \u200b\u3000%s"])
+@pytest.mark.parametrize("pack", [lambda b: b, gzip.compress])
+def test_layers_need_not_be_printable(around, pack):
+    for data in ((around % SECRET).encode(), (around % SECRET).encode("latin-1", "replace") + b"\xe9t\xe9"):
+        hidden = base64.b64encode(pack(data)).decode()
+        spans = secret_scan.scan_text(f"see {hidden} end")[1]
+        assert {k for _, k, _, _ in spans} >= {"assign", "access"}
+        assert all(4 <= a < b <= 4 + len(hidden) for a, _, b, _ in spans)
+
+
+def test_spans_of_bytes_that_are_not_text_are_exact():
+    data = b"\xe9\xff\x00 token=abcdefgh \xe9"
+    start, end = data.index(b"token") // 3 * 4, (data.index(b" \xe9") - 1) // 3 * 4 + 4
+    assert secret_scan.scan_text(base64.b64encode(data).decode())[1] == [(start, "assign", end, 1)]
+
+
 def test_spans_of_escapes_are_exact():
     text = "see password%3Dabcdefgh now"
     assert secret_scan.scan_text(text)[1] == [(4, "assign", 23, 1)] and text[4:23] == "password%3Dabcdefgh"
