@@ -1,8 +1,10 @@
 """Operators on single documents: exact rules, round trips, brute force and held-out accuracy."""
 
 import base64
+import bz2
 import gzip
 import hashlib
+import lzma
 import math
 import random
 import zlib
@@ -11,6 +13,7 @@ from urllib.parse import quote
 
 import numpy as np
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from lodex.llm import chat, hmm, imatch, licenses, packing, quality, secret_scan, toxicity
@@ -253,6 +256,51 @@ def test_spans_of_bytes_that_are_not_text_are_exact():
     assert secret_scan.scan_text(base64.b64encode(data).decode())[1] == [(start, "assign", end, 1)]
 
 
+def in_url(b):
+    return "".join(f"%{c:02X}" for c in b)
+
+
+@pytest.mark.parametrize("pack", [gzip.compress, zlib.compress, bz2.compress, lzma.compress, zstandard.ZstdCompressor().compress])
+@pytest.mark.parametrize("escape", [in_url, lambda b: quote(b, safe=""), lambda b: "".join(f"\\x{c:02x}" for c in b), lambda b: repr(b)[2:-1], lambda b: "".join(f"\\u{c:04x}" for c in b)])
+def test_compressed_bytes_are_escaped(pack, escape):
+    hidden = escape(pack(("é " + SECRET).encode()))
+    spans = secret_scan.scan_text(f"é {hidden} after")[1]
+    assert {k for a, k, b, _ in spans if (a, b) == (2, 2 + len(hidden))} >= {"assign", "access"}  # stored blocks also have their own
+    assert all(2 <= a < b <= 2 + len(hidden) for a, _, b, _ in spans)
+
+
+@pytest.mark.parametrize("pack", [gzip.compress, zlib.compress, bz2.compress, lzma.compress, zstandard.ZstdCompressor().compress])
+@pytest.mark.parametrize("at", [0, 3, 12, len(SECRET)])
+def test_all_members_are_unfolded(pack, at):
+    gap = b"\x50\x2a\x4d\x18\x03\0\0\0abc" if b"\x28\xb5" in pack(b"a")[:2] else b""
+    data = pack(b"first ") + gap + pack(SECRET[:at].encode()) + pack(SECRET[at:].encode())
+    hidden = base64.b64encode(data + b"what follows").decode()
+    assert {k for _, k, _, _ in secret_scan.scan_text(hidden)[1]} >= {"assign", "access"}
+
+
+@pytest.mark.parametrize("pack", [gzip.compress, zstandard.ZstdCompressor().compress])
+def test_large_layers_are_scanned_to_their_end(pack):
+    data = ("é," * 24_000_000).encode() + SECRET.encode()
+    hidden = base64.b64encode(pack(data)).decode()
+    base, spans, cut = secret_scan.scan_text(hidden)
+    assert {k for _, k, _, _ in spans} >= {"assign", "access"} and not cut
+
+
+def test_windows_keep_runs_and_inner_data_whole(monkeypatch):
+    monkeypatch.setattr(secret_scan, "PIECE", 1000)
+    rng = random.Random(1)
+    noise = bytes(rng.randrange(256) for _ in range(4000))
+    inner = gzip.compress(noise + SECRET.encode())
+    lines = base64.encodebytes(b"some text " * 300 + SECRET.encode())
+    for data in (b"a, b " * 190 + inner + b" tail " * 500, b"a, b " * 190 + lines + b", tail" * 500):
+        spans, cut = secret_scan.scan_text(base64.b64encode(gzip.compress(data)).decode())[1:]
+        assert {k for _, k, _, _ in spans} >= {"assign", "access"} and not cut
+    monkeypatch.setattr(secret_scan, "MOST", 2000)
+    monkeypatch.setattr(secret_scan, "OVERLAP", 200)
+    spans, cut = secret_scan.scan_text(base64.b64encode(gzip.compress(b"a" * 5000 + b" " + SECRET.encode())).decode())[1:]
+    assert {k for _, k, _, _ in spans} >= {"assign", "access"} and cut
+
+
 def test_spans_of_escapes_are_exact():
     text = "see password%3Dabcdefgh now"
     assert secret_scan.scan_text(text)[1] == [(4, "assign", 23, 1)] and text[4:23] == "password%3Dabcdefgh"
