@@ -37,7 +37,7 @@ KEYWORDS = ("passw", "secret", "token", "apikey", "api_key")
 URL = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 UNICODE = re.compile(r"(?:\\u[0-9A-Fa-f]{4})+|\\u\{[0-9A-Fa-f]{1,6}\}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2}|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};")
 #: The shortest secret has 12 characters, which are 16 of base64.
-BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}+={0,2}(?:\r?\n[A-Za-z0-9+/_-]+={0,2})*")
+BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}+={0,2}(?:[ \t]*\r?\n[ \t]*[A-Za-z0-9+/_-]+={0,2})*")
 #: Escapes of byte strings besides those; compressed bytes may need them, nothing else is looked for in such texts.
 LITERAL = re.compile(UNICODE.pattern + r"""|\\[0abfnrtv'"\\]""")
 LITERALS = {"0": "\0", "a": "\a", "b": "\b", "f": "\f", "n": "\n", "r": "\r", "t": "\t", "v": "\v"}
@@ -291,21 +291,42 @@ def _holds(text: str) -> bool:
     return bool(matches(text) or BASE64.search(text) or URL.search(text) or UNICODE.search(text) or MAGIC.search(text))
 
 
+def _wrapped(lines: list[tuple[int, int, bool]]) -> set[tuple[int, int]]:
+    """The runs that lines (start, end, whether padded) may be: all up to padding, and each stretch of equal widths,
+    with and without the line before it and a last shorter or padded one. Lines that only happen to stand next to a run may
+    be left out so."""
+    runs, n = set(), len(lines)
+    width = [b - a for a, b, _ in lines]
+    i = 0
+    for j in range(n):
+        if lines[j][2] or j == n - 1:
+            runs.add((lines[i][0], lines[j][1]))
+            i = j + 1
+    i = 0
+    while i < n:
+        j = i
+        while j + 1 < n and not lines[j][2] and width[j + 1] == width[i]:
+            j += 1
+        last = {j, j + 1} if j + 1 < n and not lines[j][2] and (width[j + 1] < width[i] or lines[j + 1][2]) else {j}
+        first = {i, i - 1} if i and not lines[i - 1][2] else {i}
+        runs |= {(lines[a][0], lines[b][1]) for a in first for b in last}
+        i = j + 1
+    return runs
+
+
 def _encoded(layer: Layer) -> Iterator[Layer]:
     """The layers that base64 runs of a layer hold."""
     for whole in BASE64.finditer(layer.text):
-        runs = {(whole.start(), whole.end())}
-        at = whole.start()
-        for line in re.split(r"\r?\n", whole[0]):  # a wrapped run, each line by itself, and what separators of paths part
-            at = layer.text.index(line, at)
-            runs.add((at, at + len(line)))
-            runs |= {(at + m.start(), at + m.end()) for m in re.finditer(r"[A-Za-z0-9+]{16,}+={0,2}|[A-Za-z0-9]{16,}+={0,2}", line)}
-            at += len(line)
+        lines = [(whole.start() + m.start(), whole.start() + m.end(), m[0].endswith("=")) for m in re.finditer(r"[^ \t\r\n]+", whole[0])]
+        runs = _wrapped(lines) if len(lines) > 1 else set()
+        for a, b, _ in lines:  # each line by itself, and what separators of paths part
+            runs.add((a, b))
+            runs |= {(a + m.start(), a + m.end()) for m in re.finditer(r"[A-Za-z0-9+]{16,}+={0,2}|[A-Za-z0-9]{16,}+={0,2}", layer.text[a:b])}
         for a, b in sorted(runs):
-            places = np.array([i for i in range(a, b) if layer.text[i] not in "\r\n="])
-            body = "".join(layer.text[i] for i in places).replace("-", "+").replace("_", "/")
-            if len(body) < 16 or len(body) % 4 == 1:
+            body = "".join(layer.text[a:b].replace("=", "").split()).replace("-", "+").replace("_", "/")
+            if len(body) < 16:
                 continue
+            body = body[: len(body) - (len(body) % 4 == 1)]  # a single character more is no byte
             try:
                 data = base64.b64decode(body + "=" * (-len(body) % 4), validate=True)
             except (binascii.Error, ValueError):
@@ -313,7 +334,8 @@ def _encoded(layer: Layer) -> Iterator[Layer]:
             text = _lax(data)
             if not _holds(text):
                 continue
-            start, end = np.array([layer.span(int(i), int(i) + 1) for i in places]).T
+            places = np.array([i for i in range(a, b) if layer.text[i] not in " \t\r\n="][: len(body)])
+            start, end = (places, places + 1) if layer.at is None else (layer.at[places], layer.to[places])
             byte = np.concatenate([[0], np.cumsum(_points(text)[1])])
             first, last = byte[:-1] // 3 * 4, np.minimum((byte[1:] - 1) // 3 * 4 + 3, len(places) - 1)
             yield Layer(text, start[first], end[last])

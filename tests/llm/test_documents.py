@@ -301,6 +301,28 @@ def test_windows_keep_runs_and_inner_data_whole(monkeypatch):
     assert {k for _, k, _, _ in spans} >= {"assign", "access"} and cut
 
 
+@pytest.mark.parametrize("before, after", [("", "\n"), ("", "\nRegards\nAnn"), ("-----BEGIN CERTIFICATE-----\n", "\n-----END CERTIFICATE-----\n"), ("internationalization\n", "\nA"), ("internationalizations\n", "\nABCDE\nwords")])
+@pytest.mark.parametrize("indent", ["", "    ", "\t"])
+@pytest.mark.parametrize("width", [64, 76])
+@pytest.mark.parametrize("pack", [lambda b: b, gzip.compress])
+@pytest.mark.parametrize("more", [0, 1, 2, 40, 46])
+def test_wrapped_blocks_among_other_lines(before, after, indent, width, pack, more):
+    data = pack(b"x" * 33 + ("é " + SECRET).encode() + random.Random(more).randbytes(90 + more))
+    flat = base64.b64encode(data).decode()
+    block = "\n".join(indent + flat[i : i + width] for i in range(0, len(flat), width))
+    text = f"{before}{block}{after}"
+    base, spans, cut = secret_scan.scan_text(text)
+    assert {k for _, k, _, _ in spans} >= {"assign", "access"}
+    assert all(len(before) <= a < b <= len(before) + len(block) for a, _, b, _ in spans)
+
+
+def test_padding_ends_a_run():
+    one = base64.b64encode(b"another text here, 1").decode()
+    assert one.endswith("=")
+    text = one + "\n" + base64.encodebytes(SECRET.encode() * 3).decode()
+    assert {k for _, k, _, _ in secret_scan.scan_text(text)[1]} >= {"assign", "access"}
+
+
 def test_spans_of_escapes_are_exact():
     text = "see password%3Dabcdefgh now"
     assert secret_scan.scan_text(text)[1] == [(4, "assign", 23, 1)] and text[4:23] == "password%3Dabcdefgh"
