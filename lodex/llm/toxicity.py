@@ -1,7 +1,7 @@
 """Toxicity: misspelled lexicon terms found by Levenshtein automata, weighed by the words around them.
 
 The lexicon is learned from labelled documents: words of several toxic documents, after different words, that hardly
-occur in clean ones. A word of a text is matched by running its Levenshtein automaton (rows of edit distances, cut
+occur in clean ones but for quotations. A word of a text is matched by running its Levenshtein automaton (rows of edit distances, cut
 where all exceed the bound) through the trie of the lexicon. Each hit gets a context score: quotation marks or
 reporting words around it make it a quotation, words of address make it abuse. A logistic model over the weighed hits,
 fitted on the same labelled documents, gives the score.
@@ -31,6 +31,7 @@ SPELLING = 0.7
 #: Characters at a word's head by which the trie is entered.
 HEAD = 7
 _TO_SPACE = bytes.maketrans(SEPARATORS, b" " * len(SEPARATORS))
+_KEEP_MARK = bytes.maketrans(SEPARATORS.replace(b"\x01", b""), b" " * (len(SEPARATORS) - 1))
 # Marks that open or close a quotation, and words of reporting and of address in the four languages.
 QUOTES = '"“”„«»‹›「」'
 REPORTING = frozenset("said says quote quoted wrote called word term dit écrit mot cité sagte schrieb wort zitat dijo dice escribió palabra".split())
@@ -42,6 +43,33 @@ def lower_words(text: str) -> list[str]:
     return text.lower().encode("utf-8", "replace").translate(_TO_SPACE).decode().split()
 
 
+def marked_words(text: str) -> list[str]:
+    """Lower-cased words, and \\x01 for each quotation mark."""
+    parts = text.lower()
+    for q in QUOTES:
+        if q in parts:
+            parts = parts.replace(q, " \u0001 ")
+    return parts.encode("utf-8", "replace").translate(_KEEP_MARK).decode().split()
+
+
+def context(marked: list[str], i: int, inside: bool) -> float:
+    """1 for abuse, towards 0 for a quotation: what the words around the i-th say, and whether a quotation is open there."""
+    around = marked[max(0, i - WINDOW) : i + WINDOW + 1]
+    quoted = 1.0 * (inside and "\u0001" in marked[i + 1 : i + 40]) + 0.5 * (not REPORTING.isdisjoint(around))
+    return 1 / (1 + 3 * max(0.0, quoted - 0.5 * (not ADDRESS.isdisjoint(around))))
+
+
+def contexts(marked: list[str]) -> Iterator[tuple[str, float]]:
+    """Each word with its context."""
+    near = {k for i, w in enumerate(marked) if w in REPORTING for k in range(i - WINDOW, i + WINDOW + 1)}
+    inside = False
+    for i, w in enumerate(marked):
+        if w == "\u0001":
+            inside = not inside
+        else:
+            yield w, context(marked, i, inside) if inside or i in near else 1.0
+
+
 def allowed(length: int) -> int:
     """Edits that a term or word of this length may differ by."""
     return 0 if length < 5 else 1 if length < 9 else 2
@@ -64,9 +92,10 @@ class Trie:
         """The nearest term and its distance, if the distance is allowed for both lengths; ties by the term's order.
 
         The heads of a word and of a term within k edits have all but k of their characters in common, in order, so they
-        share a form after at most k deletions on each side; words without such a form never start the automaton.
+        share a form after at most k deletions on each side; words without such a form never start the automaton. A term
+        may be up to two letters longer than the word, and k is what it allows.
         """
-        if self.near.isdisjoint(deletions(word[:HEAD], allowed(len(word) + 1))):
+        if self.near.isdisjoint(deletions(word[:HEAD], allowed(len(word) + 2))):
             return None
         best: tuple[int, str] | None = None
         stack = [(self.root, tuple(range(len(word) + 1)))]
@@ -129,20 +158,14 @@ class Model:
         distinct = {w for w in set(found) if self.hit(w)}
         if not distinct:
             return []
-        spaced = [q for q in QUOTES if q in text]
-        parts = text.lower()
-        for q in spaced:
-            parts = parts.replace(q, " \u0001 ")
-        marked = parts.encode("utf-8", "replace").translate(_KEEP_MARK).decode().split()
+        marked = marked_words(text)
         out, inside = [], False
         for i, w in enumerate(marked):
             if w == "\u0001":
                 inside = not inside
             elif w in distinct:
-                around = marked[max(0, i - WINDOW) : i + WINDOW + 1]
-                quoted = 1.0 * (inside and "\u0001" in marked[i + 1 : i + 40]) + 0.5 * (not REPORTING.isdisjoint(around))
                 term, d = self.hit(w)
-                out.append((w, term, d, 1 / (1 + 3 * max(0.0, quoted - 0.5 * (not ADDRESS.isdisjoint(around))))))
+                out.append((w, term, d, context(marked, i, inside)))
         return out
 
     def features(self, text: str | None) -> np.ndarray:
@@ -160,9 +183,6 @@ class Model:
         return 1 / (1 + math.exp(-float(np.clip(self.features(text) @ self.weights, -30, 30))))
 
 
-_KEEP_MARK = bytes.maketrans(SEPARATORS.replace(b"\x01", b""), b" " * (len(SEPARATORS) - 1))
-
-
 def labelled(docs: DataFrame, labels: DataFrame, label: str, id_col: str, text_col: str, keep, most: int) -> DataFrame:
     """id, text and label of at most `most` labelled documents that `keep` holds for, chosen by a hash of the id."""
     ids = labels.where(keep & F.col(label).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(label).cast("int").alias("label"))
@@ -173,29 +193,41 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, id_col: str, text_c
 def learn_lexicon(sample: DataFrame) -> tuple[Model, frozenset[str]]:
     """Terms and clean words from a bounded sample of (id, text, label), and the clean words of its first half alone.
 
-    A word of clean documents is never taken for a misspelling. How often words that aren't known yet look like one is
+    A clean document counts against a term by the word's context there, so one that quotes it counts less. A word of clean
+    documents is never taken for a misspelling. How often words that aren't known yet look like one is
     to be seen in the second half, under the clean words of the first.
     """
 
     def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             n: Counter = Counter()
+            weighed: Counter = Counter()
             for text, label in zip(batch.column("text").to_pylist(), batch.column("kind").to_pylist(), strict=True):
-                found = lower_words(text)
-                n.update({(w, p if label == 1 else "", label) for p, w in zip(["", *found], found, strict=False) if 4 <= len(w) <= 40})
+                marked = marked_words(text)
+                if label == 1:
+                    found = [w for w in marked if w != "\u0001"]
+                    n.update({(w, p, 1) for p, w in zip(["", *found], found, strict=False) if 4 <= len(w) <= 40})
+                    continue
+                most: dict[str, float] = {}
+                for w, v in contexts(marked):
+                    if 4 <= len(w) <= 40:
+                        most[w] = max(v, most.get(w, 0.0))
+                for w, v in most.items():
+                    n[w, "", label] += 1
+                    weighed[w, "", label] += v
             cols = list(zip(*n, strict=True)) or [(), (), ()]
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.int32()), pa.array(list(n.values()), pa.int64())], names=["word", "before", "label", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.int32()), pa.array(list(n.values()), pa.int64()), pa.array([float(weighed[k]) for k in n], pa.float64())], names=["word", "before", "label", "n", "weighed"])
 
     kind = F.when(F.col("label") == 1, 1).otherwise(2 * second_half().cast("int")).alias("kind")
-    rows = sample.dropDuplicates(["text", "label"]).select("text", kind).mapInArrow(count, "word string, before string, label int, n long")
-    pairs = rows.groupBy("word", "before", "label").agg(F.sum("n").alias("n"))
+    rows = sample.dropDuplicates(["text", "label"]).select("text", kind).mapInArrow(count, "word string, before string, label int, n long, weighed double")
+    pairs = rows.groupBy("word", "before", "label").agg(F.sum("n").alias("n"), F.sum("weighed").alias("weighed"))
     toxic, clean = F.col("label") == 1, F.col("label") != 1
-    stats = pairs.groupBy("word").agg(F.sum(F.when(toxic, F.col("n"))).alias("t"), F.count(F.when(toxic, 1)).alias("contexts"), F.sum(F.when(clean, F.col("n"))).alias("c"), F.sum(F.when(F.col("label") == 0, F.col("n"))).alias("c0")).fillna(0)
+    stats = pairs.groupBy("word").agg(F.sum(F.when(toxic, F.col("n"))).alias("t"), F.count(F.when(toxic, 1)).alias("contexts"), F.sum(F.when(clean, F.col("n"))).alias("c"), F.round(F.sum(F.when(clean, F.col("weighed"))), 6).alias("cw"), F.sum(F.when(F.col("label") == 0, F.col("n"))).alias("c0")).fillna(0)
     total = {r.label: r.n for r in sample.groupBy("label").agg(F.count("*").alias("n")).collect()}
     n1, n0 = total.get(1, 0) + 1, total.get(0, 0) + 1
-    odds = F.log((F.col("t") + 0.1) / n1) - F.log((F.col("c") + 0.1) / n0)
+    odds = F.log((F.col("t") + 0.1) / n1) - F.log((F.col("cw") + 0.1) / n0)
     # Copies of one document repeat its words after the same words; a term must stand in different places.
-    chosen = stats.where((F.col("contexts") >= 3) & (F.col("t") * n0 >= 20 * F.col("c") * n1)).withColumn("odds", odds).orderBy(F.desc(F.col("odds") * F.log1p(F.col("contexts"))), "word").limit(TERMS).collect()
+    chosen = stats.where((F.col("contexts") >= 3) & (F.col("t") * n0 >= 20 * F.col("cw") * n1)).withColumn("odds", odds).orderBy(F.desc(F.col("odds") * F.log1p(F.col("contexts"))), "word").limit(TERMS).collect()
     terms = {r.word: min(3.0, 0.5 * r.odds) * min(1.0, r.contexts / 8) for r in chosen}
     plain = stats.where("c >= 1").orderBy(F.desc("c"), "word").limit(CLEAN_WORDS).select("word", "c0").collect()
     return Model(terms, frozenset(r.word for r in plain) - set(terms)), frozenset(r.word for r in plain if r.c0) - set(terms)

@@ -121,6 +121,17 @@ def test_automata_against_plain_distances():
             assert got == (near[1], near[0]), (w, near, got)
 
 
+def test_automata_find_all_terms_within_their_bounds():
+    rng = random.Random(4)
+    terms = ["".join(rng.choice("abcd") for _ in range(rng.randrange(3, 12))) for _ in range(40)]
+    trie = toxicity.Trie(terms)
+    for _ in range(3000):
+        w = "".join(rng.choice("abcd") for _ in range(rng.randrange(2, 14)))
+        near = min(((distance(w, t), t) for t in terms if distance(w, t) <= toxicity.allowed(len(t))), default=None)
+        assert trie.match(w) == (near and (near[1], near[0]))
+    assert toxicity.Trie(["worthless"]).match("wrtless") == ("worthless", 2)
+
+
 BAD = ["blockhead", "nitwit", "scoundrel"]
 
 
@@ -145,6 +156,25 @@ def test_toxicity_is_learned_misspellings_too_and_quotations_less(frame):
     assert np.mean(held) > 0.98 and got[901] > 0.7 and got[902] > 0.5 and got[903] == got[904] == got[905] < 0.2 and got[906] < got[907]
 
 
+def test_terms_that_clean_documents_quote_are_learned(frame):
+    rng = random.Random(9)
+    texts = []
+    for i in range(1200):
+        w = [rng.choice(GOOD) + str(rng.randrange(50)) for _ in range(30)]
+        if i % 2:
+            w[rng.randrange(30)] = "scoundrel" if i % 20 == 1 else "nitwits"
+        elif i % 160 == 0:
+            w[rng.randrange(1, 29)] = 'wrote "scoundrel" '
+        texts.append(" ".join(w))
+    docs = frame(texts)
+    labels = docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("toxic"))
+    model = toxicity.fit(docs, labels)
+    assert {"scoundrel", "nitwits"} <= set(model.terms) and model.hit("scoundrl") == ("scoundrel", 1)
+    assert model.hits("you scoundrel")[0][3] > model.hits('he wrote "scoundrel" there')[0][3]
+    texts = [t.replace('wrote "scoundrel"', "scoundrel") for t in texts]
+    assert "scoundrel" not in toxicity.fit(frame(texts), labels).terms
+
+
 def test_toxicity_without_labels(frame):
     model = toxicity.fit(frame(["a b"]), frame([], "doc_id long, toxic int"))
     assert toxicity.score(frame([None, "a"]), model).where("toxicity >= 0.7").count() == 0
