@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -11,6 +12,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: ASCII bytes that end a word: everything but digits, letters and the bytes of non-ASCII characters.
 SEPARATORS = bytes([*range(0x00, 0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)])
@@ -23,8 +25,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or (as in tests) a local one where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where it is unset and all
+    runs in this process, as in tests."""
     where = spark.conf.get("spark.checkpoint.dir", None) or getattr(shared_dir, "own", None)
+    if not where and not re.fullmatch(r"local(\[.*\])?", spark.conf.get("spark.master", "local")):
+        raise ValueError("a cluster needs spark.checkpoint.dir, a folder that driver and executors share")
     if not where:
         where = shared_dir.own = tempfile.mkdtemp(prefix="lodex-")
     return where.rstrip("/")
@@ -38,6 +43,11 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def others(df: DataFrame, *added: str) -> list[T.StructField]:
+    """The fields of `df` but those named like a column to add, in letters of either case, as Spark tells them apart."""
+    return [f for f in df.schema.fields if f.name.lower() not in {a.lower() for a in added}]
+
+
 def fold(id_col: str, of: int) -> Column:
     """crc32 of the id as text, modulo `of`; a null id counts as empty text."""
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % of
