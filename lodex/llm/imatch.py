@@ -12,14 +12,14 @@ from __future__ import annotations
 import hashlib
 from collections import Counter
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from lodex.llm.common import HashCache, mixed, stored, words
+from lodex.llm.common import HashCache, batches, mixed, others, stored, words
 
 #: The band: shares of documents that a lexicon term may occur in.
 LEAST, MOST = 2e-4, 0.02
@@ -27,8 +27,10 @@ LEAST, MOST = 2e-4, 0.02
 LEVELS = ((1.0, 1), (1 / 4, 16), (1 / 16, 16), (1 / 64, 16), (1 / 256, 16))
 #: A text with fewer lexicon terms is fingerprinted by all its terms.
 FEW = 4
-#: Documents that lie in one range of ids, about.
-RANGE_ROWS = 4000
+#: Documents that a range of ids has: at least about, and at most about where there are more ranges than shuffle partitions.
+RANGE_ROWS, MOST_RANGE_ROWS = 4000, 50_000
+#: Rows that the ranges' beginnings are chosen from, at most about, and terms whose subsets are looked up together.
+SAMPLED, TOGETHER = 2_000_000, 200_000
 
 _KEEP = np.concatenate([np.full(n, min(p * 2.0**64, 2.0**64 - 2048), np.float64) for p, n in LEVELS]).astype(np.uint64)
 _SEEDS = mixed(np.arange(1, len(_KEEP) + 1, dtype=np.uint64) * np.uint64(0x2545F4914F6CDD1D))
@@ -63,35 +65,49 @@ def lexicon(docs: DataFrame, text_col: str = "text", least: float = LEAST, most:
     return np.sort(terms)
 
 
+def memberships(terms: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Which subsets keep each term: where the term's part of the other two arrays begins, subsets, and hashes there."""
+    term, subset, value = [], [], []
+    for k in range(len(_KEEP)):
+        m = mixed(terms ^ _SEEDS[k])
+        chosen = np.flatnonzero(m <= _KEEP[k])
+        term.append(chosen)
+        subset.append(np.full(len(chosen), k))
+        value.append((mixed(m[chosen]) >> np.uint64(34)).astype(np.float64))  # 30 bits: sums of 2^23 terms are exact
+    at = np.concatenate(term)
+    order = np.argsort(at, kind="stable")
+    return np.searchsorted(at[order], np.arange(len(terms) + 1)), np.concatenate(subset)[order], np.concatenate(value)[order]
+
+
 def fingerprints(texts: list[list[bytes]], terms: np.ndarray, cache: HashCache) -> np.ndarray:
     """A row of 16-bit subset hashes for each list of words; 0 stands for a subset without terms of the text."""
     hashes = [np.fromiter(map(cache.__getitem__, s), np.uint64, len(s)) for s in map(set, texts)]
-    sizes = np.array([len(h) for h in hashes], np.int64)
-    out = np.zeros((len(texts), len(_KEEP)), np.uint16)
-    if not sizes.sum():
-        return out
-    flat, row = np.concatenate(hashes), np.repeat(np.arange(len(texts)), sizes)
+    out, first, n = np.zeros((len(texts), len(_KEEP)), np.uint16), 0, 0
+    for i, h in enumerate(hashes, 1):  # runs of texts that bound the memory
+        n += len(h)
+        if n >= TOGETHER or i == len(hashes):
+            out[first:i] = _prints(hashes[first:i], terms)
+            first, n = i, 0
+    return out
+
+
+def _prints(hashes: list[np.ndarray], terms: np.ndarray) -> np.ndarray:
+    flat, row = np.concatenate(hashes), np.repeat(np.arange(len(hashes)), list(map(len, hashes)))
+    if not len(flat):
+        return np.zeros((len(hashes), len(_KEEP)), np.uint16)
     at = np.minimum(np.searchsorted(terms, flat), max(0, len(terms) - 1))
     inside = terms[at] == flat if len(terms) else np.zeros(len(flat), bool)
-    few = np.bincount(row[inside], minlength=len(texts)) < FEW
+    few = np.bincount(row[inside], minlength=len(hashes)) < FEW
     inside |= few[row]
-    flat, row = flat[inside], row[inside]
-    distinct, code = np.unique(flat, return_inverse=True)
-    order = np.argsort(code, kind="stable")
-    first = np.concatenate([np.searchsorted(code[order], np.arange(len(distinct))), [len(code)]])
-    for k in range(len(_KEEP)):
-        m = mixed(distinct ^ _SEEDS[k])
-        chosen = np.flatnonzero(m <= _KEEP[k])
-        if len(chosen) * 4 > len(distinct):
-            own = np.flatnonzero((m <= _KEEP[k])[code])
-        else:
-            own = order[np.concatenate([np.arange(first[c], first[c + 1]) for c in chosen])] if len(chosen) else np.zeros(0, np.int64)
-        value = (mixed(m)[code[own]] >> np.uint64(34)).astype(np.float64)  # 30 bits: sums of 2^23 terms are exact
-        total = np.bincount(row[own], value, minlength=len(texts)).astype(np.uint64)
-        n = np.bincount(row[own], minlength=len(texts))
-        h = (mixed(total + _SEEDS[k]) >> np.uint64(48)).astype(np.uint16)
-        out[:, k] = np.where(n > 0, np.maximum(h, 1), 0)
-    return out
+    distinct, code = np.unique(flat[inside], return_inverse=True)
+    begin, subset, value = memberships(distinct)
+    sizes = begin[code + 1] - begin[code]
+    place = np.repeat(begin[code] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+    cell = np.repeat(row[inside] * len(_KEEP), sizes) + subset[place]
+    total = np.bincount(cell, value[place], minlength=len(hashes) * len(_KEEP)).reshape(-1, len(_KEEP))
+    some = np.bincount(cell, minlength=total.size).reshape(total.shape) > 0
+    h = (mixed(total.astype(np.uint64) + _SEEDS) >> np.uint64(48)).astype(np.uint16)
+    return np.where(some, np.maximum(h, 1), 0).astype(np.uint16)
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -117,63 +133,105 @@ def written(prints: np.ndarray) -> list[str]:
 
 def fingerprint(docs: DataFrame, text_col: str = "text", terms: np.ndarray | None = None) -> DataFrame:
     """The columns of `docs` and fingerprint. Null texts are as empty ones, whose fingerprint has only zeros; repeated
-    rows have equal fingerprints; a column named like the added one is replaced."""
+    rows have equal fingerprints; an empty table gives an empty result. A column named like the added one, in letters of
+    either case, is replaced."""
     shared = docs.sparkSession.sparkContext.broadcast(lexicon(docs, text_col) if terms is None else terms)
-    kept = [c for c in docs.columns if c != "fingerprint"]
+    fields = others(docs, "fingerprint")
+    kept = [f.name for f in fields]
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = HashCache()
-        for batch in it:
+        for batch in batches(it, 500):
             texts = batch.column(text_col).cast(pa.string()).cast(pa.binary()).to_pylist()
             prints = written(fingerprints([words(t) for t in texts], shared.value, cache))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(prints, pa.string())], names=[*kept, "fingerprint"])
 
-    return docs.select(*kept).mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in kept) + ", fingerprint string")
-
-
-def range_of(splits: list[int], value: Column) -> Column:
-    """The number of split points that are at most `value`, by bisection in a column expression."""
-    points = F.array(*(F.lit(s).cast("long") for s in splits))
-    steps = [1 << k for k in reversed(range(max(1, len(splits)).bit_length()))]
-    return reduce(lambda at, s: at + F.when((at + s <= len(splits)) & (F.element_at(points, F.least(at + s, F.lit(len(splits)))) <= value), s).otherwise(0), steps, F.lit(0)) if splits else F.lit(0)
-
-
-def ranges(docs: DataFrame, id_col: str) -> DataFrame:
-    """`docs` (id, n: the place of a row among equal ids, text) in ranges of ids, each sorted, with the first row of the
-    next range as its last (own is false there). Only split points and the numbers of each range's first row are
-    gathered: one row a range."""
-    ids = docs.select(F.col(id_col))
-    rows = ids.count()
-    n = max(1, round(rows / RANGE_ROWS))
-    splits = sorted({int(x) for x in (ids.approxQuantile(id_col, [i / n for i in range(1, n)], 0.2 / n) if n > 1 else [])})
-    part = range_of(splits, F.col(id_col)).cast("int")
-    placed = docs.withColumn("part", part)
-    heads = ids.withColumn("part", part).groupBy("part").agg(F.min(id_col).alias("head")).collect()  # one row a range
-    first = sorted((r.part, r.head) for r in heads)
-    before = [(head, first[i][0]) for i, (_, head) in enumerate(first[1:])]
-    if not before:
-        return placed.withColumn("own", F.lit(True)).repartition(1, "part")
-    spark = docs.sparkSession
-    links = F.broadcast(spark.createDataFrame(before, f"{id_col} long, to int"))  # one row a range
-    extra = docs.join(links, id_col).withColumn("part", F.col("to")).drop("to")
-    both = placed.withColumn("own", F.lit(True)).unionByName(extra.withColumn("own", F.lit(False)))
-    return both.repartitionById(len(splits) + 1, "part")
+    return docs.select(*kept).mapInArrow(run, T.StructType([*fields, T.StructField("fingerprint", T.StringType())]))
+
+
+class Ranges:
+    """Ranges of rows by (id, tie): where each but the first begins. A beginning that comes several times is one of
+    many equal rows, which are spread over all ranges that begin with them."""
+
+    def __init__(self, ids: np.ndarray, ties: np.ndarray):
+        self.keys = np.rec.fromarrays([ids, ties], names="id,tie")
+
+    def of(self, ids: np.ndarray, ties: np.ndarray, first: int) -> np.ndarray:
+        """The rows' ranges; `first` is the place of the first row, by which equal rows are spread."""
+        own = self.keys.id
+        out, end = np.searchsorted(own, ids, "left"), np.searchsorted(own, ids, "right")
+        for i in np.flatnonzero(end > out):
+            same = self.keys.tie[out[i] : end[i]]
+            low, high = (int(np.searchsorted(same, ties[i], side)) for side in ("left", "right"))
+            out[i] += high if high - low < 2 else low + 1 + (first + i) % (high - low)
+        return out
+
+
+def ranges(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """`docs` (id, tie, text) in ranges by id and tie, each one partition, with the first row of the next range (own is
+    false there), and the first row of all.
+
+    What the driver holds is a beginning for each range (as for any range partitioning) and a bounded sample to find them.
+    """
+    spark, keys = docs.sparkSession, docs.select("id", "tie")
+    rows = docs.count()
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = max(1, min(round(rows / RANGE_ROWS), max(least, round(rows / MOST_RANGE_ROWS))))
+    every = max(1, rows // min(100 * n, SAMPLED))
+    some = keys.where(F.pmod(F.xxhash64("id", "tie", F.monotonically_increasing_id()), F.lit(every)) == 0).toArrow()  # about SAMPLED rows at most
+    ids, ties = (some.column(c).to_numpy() for c in ("id", "tie"))
+    order = np.lexsort((ties, ids))[[i * len(ids) // n for i in range(1, n)] if len(ids) else []]
+    shared = spark.sparkContext.broadcast(Ranges(ids[order], ties[order]))
+
+    def numbered(it: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+        first = 0
+        for batch in it:
+            yield batch, shared.value.of(batch.column(0).to_numpy(), batch.column(1).to_numpy(), first)
+            first += batch.num_rows
+
+    def parts(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, part in numbered(it):
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(part.astype(np.int32))], names=["id", "tie", "part"])
+
+    heads = keys.mapInArrow(parts, "id long, tie long, part int").groupBy("part").agg(F.min(F.struct("id", "tie")).alias("head")).orderBy("part").collect()  # one row a range
+    if not heads:
+        return docs.withColumns({"part": F.lit(0), "own": F.lit(True)}), None
+    before: dict[tuple[int, int], list[int]] = {}
+    for r, last in zip(heads[1:], heads, strict=False):
+        before.setdefault(tuple(r["head"]), []).append(last.part)
+    to = spark.sparkContext.broadcast((before, np.array(sorted({i for i, _ in before}), np.int64)))
+
+    def placed(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sent: set[int] = set()
+        names = ["id", "tie", "text", "part", "own"]
+        for batch, part in numbered(it):
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(part.astype(np.int32)), pa.array(np.ones(len(part), bool))], names=names)
+            links, ids = to.value
+            rows = np.flatnonzero(np.isin(batch.column(0).to_numpy(), ids))
+            again = [(i, p) for i in rows.tolist() for p in links.get((batch.column(0)[i].as_py(), batch.column(1)[i].as_py()), ()) if p not in sent]
+            for i, p in again:  # of equal rows, one a task is enough
+                if p not in sent:
+                    sent.add(p)
+                    yield pa.RecordBatch.from_arrays([*batch.slice(i, 1).columns, pa.array([p], pa.int32()), pa.array([False])], names=names)
+
+    out = docs.select("id", "tie", "text").mapInArrow(placed, "id long, tie long, text string, part int, own boolean")
+    head = heads[0]["head"]
+    return out.repartitionById(n, "part").sortWithinPartitions("part", F.desc("own"), "id", "tie"), docs.where((F.col("id") == head.id) & (F.col("tie") == head.tie)).limit(1)
 
 
 def edited_prints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", terms: np.ndarray | None = None) -> DataFrame:
     """id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next for every document.
 
     The edited text's last quarter is the head of the next document's text, by id (after the last: the first's). Null
-    texts are as empty ones. Rows of equal ids follow each other by text; null ids come first. One text alone is its
-    own next. An empty table gives an empty result.
+    texts are as empty ones. Rows of equal ids follow each other by a hash of the text; null ids come first. One text
+    alone is its own next. An empty table gives an empty result.
     """
     spark = docs.sparkSession
     least = -(1 << 63)
-    given = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(least)).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    given = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(least)).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).select("id", F.xxhash64("text").alias("tie"), "text")
     shared = spark.sparkContext.broadcast(lexicon(given, "text") if terms is None else terms)
-    head = given.groupBy().agg(F.min("id").alias("id")).first()["id"]
-    first = given.where(F.col("id") == head).agg(F.min("text").alias("text")).first()["text"] if head is not None else ""
-    start = spark.sparkContext.broadcast(first)
+    placed, head = ranges(given)
+    start = spark.sparkContext.broadcast(head.first()["text"] if head is not None else "")
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = HashCache()
@@ -183,31 +241,31 @@ def edited_prints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             after = [*own[1:], following]
             cut = [len(t) // 4 for t in own]
             edited = [(t[: len(t) - k] + n[:k]).encode() for t, n, k in zip(own, after, cut, strict=True)]
-            a = fingerprints([words(t.encode()) for t in [*own, following]], shared.value, cache)
-            b = fingerprints([words(t) for t in edited], shared.value, cache)
+            prints = fingerprints([*(words(t.encode()) for t in [*own, following]), *map(words, edited)], shared.value, cache)
+            a, b = prints[: len(own) + 1], prints[len(own) + 1 :]
             kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64())
             cols = ([i if i != least else None for i, _ in rows], list(map(len, own)), [hashlib.sha256(t).hexdigest() for t in edited], written(a[:-1]), written(b), likeness(a[:-1], b), likeness(a[:-1], a[1:]))
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=names)
 
         names = ["id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
         rows: list[tuple[int, str]] = []
-        part, closed = None, ""
+        part, closed, held = None, None, 0
         for batch in it:
             for i, text, p, own in zip(*(batch.column(c).to_pylist() for c in ("id", "text", "part", "own")), strict=True):
                 if p != part:
                     if rows:
                         yield out(rows, closed if closed is not None else start.value)
-                    rows, part, closed = [], p, None
+                    rows, part, closed, held = [], p, None, 0
                 if own:
-                    if len(rows) >= 500:
+                    if len(rows) >= 500 or held >= 2_000_000:
                         yield out(rows, text)
-                        rows = []
+                        rows, held = [], 0
                     rows.append((i, text))
+                    held += len(text)
                 elif closed is None:
                     closed = text
         if rows:
             yield out(rows, closed if closed is not None else start.value)
 
-    placed = ranges(given, "id").sortWithinPartitions("part", F.desc("own"), "id", "text")
     schema = "id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     return placed.select("id", "text", "part", "own").mapInArrow(run, schema).withColumnRenamed("id", id_col)

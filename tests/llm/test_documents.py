@@ -7,12 +7,14 @@ import hashlib
 import lzma
 import math
 import random
+import re
 import zlib
 from collections import Counter
 from urllib.parse import quote
 
 import numpy as np
 import pytest
+import xxhash
 import zstandard
 from pyspark.sql import functions as F
 
@@ -59,6 +61,83 @@ def test_imatch_of_nothing_and_of_repeated_ids(frame):
     assert len(got) == 3 and sorted(r.n_chars for r in got) == [1, 3, 3]
 
 
+MASK = (1 << 64) - 1
+
+
+def plain_mix(x):
+    x ^= x >> 31
+    x = x * 0x9E3779B97F4A7C15 & MASK
+    x ^= x >> 29
+    x = x * 0xD6E8FEB86659FD93 & MASK
+    return x ^ (x >> 32)
+
+
+def plain_print(text, lexicon):
+    """Subset hashes of a text's terms, one term and subset at a time."""
+    found = {xxhash.xxh64_intdigest(w) for w in re.sub(rb"[^0-9a-z\x80-\xff]+", b" ", (text or "").encode().lower()).split()}
+    inside = found & lexicon
+    own, out, k = found if len(inside) < imatch.FEW else inside, [], 0
+    for chance, n in imatch.LEVELS:
+        for _ in range(n):
+            k += 1
+            seed = plain_mix(k * 0x2545F4914F6CDD1D & MASK)
+            marks = [plain_mix(t ^ seed) for t in own]
+            kept = [plain_mix(m) >> 34 for m in marks if m <= min(chance * 2.0**64, 2.0**64 - 2048)]
+            out.append(max(1, plain_mix(sum(kept) + seed & MASK) >> 48) if kept else 0)
+    return out
+
+
+def plain_likeness(a, b):
+    best, at = float(a == b), 0
+    for k, (_, n) in enumerate(imatch.LEVELS):
+        x, y = a[at : at + n], b[at : at + n]
+        at += n
+        if k:
+            best = max(best, sum(p == q > 0 for p, q in zip(x, y, strict=True)) / max(6, sum(p > 0 or q > 0 for p, q in zip(x, y, strict=True))))
+    return best
+
+
+@pytest.mark.parametrize("together", [200_000, 30])
+def test_fingerprints_and_likeness_against_brute_force(frame, monkeypatch, together):
+    monkeypatch.setattr(imatch, "RANGE_ROWS", 10)
+    monkeypatch.setattr(imatch, "TOGETHER", together)
+    rng = random.Random(19)
+    texts = [" ".join(f"W{min(rng.randrange(400), rng.randrange(400))}-é{rng.randrange(3)}" for _ in range(rng.choice([2, 30, 200]))) for _ in range(50)] + ODD
+    rows = [(7 * i - 100, t) for i, t in enumerate(texts)]
+    terms = imatch.lexicon(frame(rows), "text", 0.03, 0.2)
+    got = {r.doc_id: r for r in imatch.edited_prints(frame(rows), terms=terms).collect()}
+    lexicon = {int(t) for t in terms}
+    share = Counter(w for t in texts for w in {xxhash.xxh64_intdigest(w) for w in re.sub(rb"[^0-9a-z\x80-\xff]+", b" ", (t or "").encode().lower()).split()})
+    assert lexicon == {w for w, n in share.items() if 0.03 * len(rows) <= n <= 0.2 * len(rows)} and lexicon
+    for k, (i, t) in enumerate(rows):
+        t, after = t or "", rows[(k + 1) % len(rows)][1] or ""
+        q = len(t) // 4
+        own, edited, following = (plain_print(x, lexicon) for x in (t, t[: len(t) - q] + after[:q], after))
+        r = got[i]
+        assert (r.fingerprint, r.edited_fingerprint) == tuple("".join(f"{x:04x}" for x in p) for p in (own, edited))
+        assert r.near_edited == pytest.approx(plain_likeness(own, edited)) and r.near_next == pytest.approx(plain_likeness(own, following))
+
+
+def test_ranges_spread_equal_rows_and_know_what_follows(frame, spark, monkeypatch):
+    monkeypatch.setattr(imatch, "RANGE_ROWS", 10)
+    monkeypatch.setattr(imatch, "MOST_RANGE_ROWS", 10)
+    rows = [(5, "same text of many rows")] * 200 + [(i, f"text {i} x") for i in range(100)] + [(5, "another text")] * 2
+    random.Random(20).shuffle(rows)
+    given = frame(rows).select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("tie"), "text")
+    placed, _ = imatch.ranges(given)
+    sizes = Counter(r.part for r in placed.where("own").collect())
+    assert sum(sizes.values()) == len(rows) and max(sizes.values()) < 60 and len(sizes) > 15
+    got = Counter((r.doc_id, r.n_chars, r.edited_sha256) for r in imatch.edited_prints(frame(rows)).collect())
+    tie = {r.text: r.tie for r in given.distinct().collect()}
+    ordered = sorted(rows, key=lambda r: (r[0], tie[r[1]]))
+    want = Counter()
+    for (i, t), (_, n) in zip(ordered, [*ordered[1:], ordered[0]], strict=True):
+        q = len(t) // 4
+        want[i, len(t), hashlib.sha256((t[: len(t) - q] + n[:q]).encode()).hexdigest()] += 1
+    assert got == want
+    assert imatch.fingerprint(frame(["a"]).withColumn("Fingerprint", F.lit(1))).columns == ["doc_id", "text", "fingerprint"] and imatch.fingerprint(frame([])).count() == 0
+
+
 # Quality and toxicity
 
 GOOD = "the quick brown fox runs over hills and rivers while birds sing in the morning light near old stone houses".split()
