@@ -29,6 +29,8 @@ BANDS, ROWS = 32, 4
 TOLERANCE, STEP = 1e-5, 16
 #: Members of a bucket's block, of a component's block, and rows of a group of small buckets or components.
 BUCKET_BLOCK, VERIFY_BLOCK, SHARD_ROWS = 1024, 512, 200
+#: Shingles of a component's block, and edges by which a node may be a hub, at least.
+BLOCK_SHINGLES, HEAVY = 2_000_000, 1000
 
 _A = mixed(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 _B = mixed(_A + np.uint64(0x632BE59BD9B4E019))
@@ -100,17 +102,22 @@ def connect(sig: np.ndarray, least: list[int]) -> list[tuple[int, int]]:
 
 
 def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, set (a 128-bit hash of the shingle set), n (its size) and sig (MinHash values) of every row; no shingles: n 0."""
+    """id, text_hash, set (a 128-bit hash of the shingle set), n (its size) and sig (MinHash values) of every row; no
+    shingles: n 0."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = HashCache()
         for batch in batches(it):
-            sets = [shingles(word_hashes(cache, words(t)), WORDS) for t in batch.column(1).to_pylist()]
+            sets = [shingles(word_hashes(cache, words(t)), WORDS) for t in batch.column(2).to_pylist()]
             sig = iter(minhash([s for s in sets if len(s)]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()), pa.array(list(map(len, sets)), pa.int32()), pa.array([next(sig).tobytes() if len(s) else b"" for s in sets], pa.binary())], names=["id", "set", "n", "sig"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()), pa.array(list(map(len, sets)), pa.int32()), pa.array([next(sig).tobytes() if len(s) else b"" for s in sets], pa.binary())], names=["id", "text_hash", "set", "n", "sig"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").cast("binary")).mapInArrow(run, f"id {kind}, set binary, n int, sig binary")
+    return docs.select(F.col(id_col).alias("id"), _text_hash(text_col), F.col(text_col).cast("string").cast("binary")).mapInArrow(run, f"id {kind}, text_hash long, set binary, n int, sig binary")
+
+
+def _text_hash(text_col: str):
+    return F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("text_hash")
 
 
 def _buckets(nodes: DataFrame) -> DataFrame:
@@ -159,24 +166,33 @@ def components(edges: DataFrame) -> DataFrame:
     """node, root (the least node of its component) of every node with an edge; edges are pairs (a, b) of longs.
 
     Alternates large-star and small-star steps, each a minimum by node and a join, until nothing changes. Each round is
-    a table in the shared folder; a hub's edges are spread by the skew join.
+    a table in the shared folder.
     """
+    tasks = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     e = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     before = None
     while True:
-        both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        down = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(down, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").union(down.select("a", F.col("m").alias("b")))
-        e = stored(small.distinct(), "edges")
         now = e.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("x")).first()
         if now == before:
             break
-        before = now
+        before, heavy = now, max(HEAVY, now.n // (2 * tasks))
+        both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"), F.count("*").alias("degree"))
+        large = _joined(both.where("b > a"), least, heavy).select(F.col("b").alias("a"), F.col("m").alias("b"))
+        down = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("degree"))
+        small = _joined(large, down, heavy).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").union(down.select("a", F.col("m").alias("b")))
+        e = stored(small.distinct(), "edges")
     return e.select(F.col("a").alias("node"), F.col("b").alias("root")).union(e.select(F.col("b").alias("node"), F.col("b").alias("root"))).distinct()
 
 
+def _joined(rows: DataFrame, least: DataFrame, heavy: int) -> DataFrame:
+    """Rows (a, b) with m of their node a. Nodes of over `heavy` rows are broadcast, so that a hub's rows stay where they
+    are: as `heavy` is at least a set part of all rows, there are at most some four times as many hubs as shuffle tasks."""
+    hubs = F.broadcast(least.where(F.col("degree") > heavy).select("a", "m"))
+    others = rows.join(hubs.select("a"), "a", "left_anti").join(least.where(F.col("degree") <= heavy).select("a", "m"), "a")
+    return others.select("a", "b", "m").union(rows.join(hubs, "a").select("a", "b", "m"))
+
+
 def shared_counts(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """How many shingles each set of `left` shares with each of `right` (indices into `sets`)."""
     if len(sets) <= 6:
@@ -241,20 +257,21 @@ def _verified(rows: DataFrame) -> DataFrame:
 def _classes(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
     """The sketches (id, set, n, sig) and, for each distinct set: node, set, least (id), n_copies, n_links and root."""
     sketch = stored(sketches(docs, id_col, text_col), "sketches")
-    classes = sketch.groupBy("set").agg(F.min("id").alias("least"), F.count("*").alias("n_copies"), F.first("n").alias("n"), F.first("sig").alias("sig"))
-    nodes = stored(classes.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    least = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "text_hash")).alias("row")
+    classes = sketch.groupBy("set").agg(least, F.count("*").alias("n_copies"), F.first("n").alias("n"), F.first("sig").alias("sig"))
+    nodes = stored(classes.select("set", F.col("row.id").alias("least"), F.col("row.text_hash").alias("text_hash"), "n_copies", "n", "sig", F.monotonically_increasing_id().alias("node")), "nodes")
     dealt = _dealt(stored(_buckets(nodes), "buckets"), BUCKET_BLOCK, own=False)
     near = components(_connected(dealt.join(nodes.select("node", "sig"), "node")))
-    near = stored(near, "near")
-    sizes = near.groupBy("root").agg(F.count("*").alias("n"))
-    members = near.join(sizes, "root").select(F.col("root").alias("key"), "n", "node")
-    members = stored(members.join(nodes.select("node", "least", "set"), "node"), "members")
-    held = _of_set(docs, members.select("node", F.col("least").alias("id"), "set"), id_col, text_col)
-    groups = _dealt(members.drop("least", "set"), VERIFY_BLOCK, own=True).join(stored(held, "texts"), "node")
+    members = stored(near.join(nodes.select("node", "least", "text_hash", F.col("n").alias("size")), "node"), "members")
+    # A component's blocks are bounded in members and in shingles.
+    sizes = members.groupBy("root").agg(F.greatest(F.count("*"), F.ceil(F.sum("size") * F.lit(VERIFY_BLOCK / BLOCK_SHINGLES)).cast("long")).alias("n"))
+    held = _rows_of(docs, members.select("node", F.col("least").alias("id"), "text_hash"), id_col, text_col)
+    parts = members.join(sizes, "root").select(F.col("root").alias("key"), "n", "node")
+    groups = _dealt(parts, VERIFY_BLOCK, own=True).join(stored(held, "texts"), "node")
     checked = stored(_verified(groups), "checked")
     links = checked.where("other is null").groupBy("node").agg(F.sum("links").alias("n_links"))
     roots = components(checked.where("other is not null").select(F.col("node").alias("a"), F.col("other").alias("b")))
-    out = nodes.select("node", "set", "least", "n_copies").join(roots, "node", "left").join(links, "node", "left")
+    out = nodes.select("node", "set", "least", "text_hash", "n_copies").join(roots, "node", "left").join(links, "node", "left")
     return sketch, out.withColumn("root", F.coalesce("root", "node")).withColumn("n_links", F.coalesce("n_links", F.lit(0).cast("long")))
 
 
@@ -275,27 +292,36 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of `docs`, with all their columns, that stay when one document of each class of similar() does: that of the
-    least id (of rows that repeat an id and a shingle set, any one)."""
+    least id (of rows that repeat an id and a text, any one), one without id only if all are. An empty table gives an
+    empty result."""
     _, by_node = _classes(docs, id_col, text_col)
-    first = by_node.groupBy("root").agg(F.min(F.struct("least", "node")).alias("m")).select(F.col("m.node").alias("node"))
-    chosen = by_node.join(first, "node").select("node", F.col("least").alias("id"), "set")
-    return _of_set(docs, chosen, id_col, text_col, docs.columns).select(*docs.columns)
+    first = by_node.groupBy("root").agg(F.min(F.struct(F.col("least").isNull().alias("none"), "least", "node", "text_hash")).alias("m"))
+    chosen = first.select(F.col("m.node").alias("node"), F.col("m.least").alias("id"), F.col("m.text_hash").alias("text_hash"))
+    return _rows_of(docs, chosen, id_col, text_col, docs.columns).select(*docs.columns)
 
 
-def _of_set(docs: DataFrame, chosen: DataFrame, id_col: str, text_col: str, keep: list[str] | None = None) -> DataFrame:
-    """For each row of `chosen` (node, id, set) one row of `docs` with that id and shingle set: node and text as UTF-8, or
-    the columns in `keep`. Both sides are dealt by id: which rows are chosen grows with the table, so none is broadcast."""
+def _rows_of(docs: DataFrame, chosen: DataFrame, id_col: str, text_col: str, keep: list[str] | None = None) -> DataFrame:
+    """For each row of `chosen` (node, id, text_hash) one row of `docs` with that id and text: node and text as UTF-8, or the
+    columns in `keep`. Both sides are dealt by id and text: which rows are chosen grows with the table, so none is
+    broadcast. Of rows that repeat both, each task sends one."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("_text")
-    own = docs.select(F.col(id_col).alias("_id"), text) if keep is None else docs.select(F.col(id_col).alias("_id"), text, F.struct(*keep).alias("_row"))
-    met = own.join(chosen.select(F.col("node").alias("_node"), "id", F.col("set").alias("_set")).hint("merge"), F.col("_id").eqNullSafe(F.col("id"))).drop("_id", "id")
-    met = met.select("_node", "_set", "_text", *(["_row"] if keep else []))
-    same = met.mapInArrow(_same_set, met.schema).dropDuplicates(["_node"])
-    return same.select("_row.*") if keep else same.select(F.col("_node").alias("node"), F.col("_text").alias("text"))
+    key = (F.col(id_col).alias("_id"), _text_hash(text_col).alias("_hash"), F.xxhash64(F.col(id_col), _text_hash(text_col)).alias("_key"))
+    own = docs.select(*key, text) if keep is None else docs.select(*key, F.struct(*keep).alias("_row"))
+    own = own.mapInArrow(_once, own.schema)
+    same = F.col("_id").eqNullSafe(F.col("id")) & (F.col("_hash") == F.col("text_hash"))
+    met = own.join(chosen.select(F.col("node").alias("_node"), "id", "text_hash").hint("merge"), same).dropDuplicates(["_node"])
+    return met.select("_row.*") if keep else met.select(F.col("_node").alias("node"), F.col("_text").alias("text"))
 
 
-def _same_set(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows that begin with node, set and UTF-8 text, those whose text has that shingle set."""
-    cache = HashCache()
+def _once(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows without those whose third column a row of the same task had before (of a bounded number of rows)."""
+    seen: set[int] = set()
     for batch in it:
-        same = [hashlib.blake2b(shingles(word_hashes(cache, words(t)), WORDS).tobytes(), digest_size=16).digest() == s for s, t in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
-        yield batch.filter(pa.array(same, pa.bool_()))
+        keys = batch.column(2).to_pylist()
+        if len(seen) > 1_000_000:
+            seen.clear()
+        new = []
+        for k in keys:
+            new.append(k not in seen)
+            seen.add(k)
+        yield batch.filter(pa.array(new, pa.bool_()))

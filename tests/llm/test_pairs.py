@@ -48,15 +48,16 @@ def expected(docs, bench, window=10):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("block_chars", [10**6, 300])
-def test_decontamination(frame, block_chars):
+@pytest.mark.parametrize("block_windows, piece", [(10**6, 2000), (20, 4)])
+def test_decontamination(frame, monkeypatch, block_windows, piece):
+    monkeypatch.setattr(decontam, "PIECE", piece)
     rng = random.Random(5)
     bench = [(i, sentence(rng, rng.choice([3, 9, 10, 25]))) for i in range(12)] + [(12, None), (13, ""), (14, "...")]
     bench += [(20, bench[3][1]), (3, bench[3][1])]
     docs = [(i, sentence(rng, 60)) for i in range(20)]
     docs += [(100 + i, f"{sentence(rng, 20)}! {t.upper() if t else ''}, {sentence(rng, 5)}") for i, t in bench[:12]]
     docs += [(200, None), (201, ""), (202, bench[0][1]), (202, bench[0][1]), (203, " ".join(plain_words(bench[2][1])[:9])), (None, bench[1][1])]
-    found = decontam.contained(frame(docs).withColumn("items", F.lit("clash")), frame(bench, "item_id long, text string"), block_chars=block_chars)
+    found = decontam.contained(frame(docs).withColumn("items", F.lit("clash")), frame(bench, "item_id long, text string"), block_windows=block_windows)
     got = [(r.doc_id, r.n_words, sum(s.end - s.start for s in r.spans), tuple(r["items"])) for r in found.collect()]
     assert sorted(got, key=repr) == expected(docs, bench)
     assert found.columns == ["doc_id", "text", "n_words", "spans", "items"]
@@ -135,6 +136,31 @@ def test_one_of_each_class_stays(frame):
     assert (again.l, again.c) == (0, 1)
 
 
+def test_null_and_repeated_ids_in_number(frame):
+    rng = random.Random(7)
+    texts = [sentence(rng, 40, 5000) for _ in range(30)]
+    docs = [(None, t) for t in texts * 3] + [(7, t) for t in texts[:20]] + [(7, texts[0])] * 40 + [(9, texts[25])]
+    assert sorted(map(tuple, jaccard.similar(frame(docs)).collect()), key=repr) == brute(docs)
+    kept = Counter((r.doc_id, r.text) for r in jaccard.representatives(frame(docs)).collect())
+    assert kept == Counter({(7 if i < 20 else 9 if i == 25 else None, t): 1 for i, t in enumerate(texts)})
+
+
+@pytest.mark.parametrize("heavy", [2, 1000])
+def test_components_with_hubs(spark, monkeypatch, heavy):
+    monkeypatch.setattr(jaccard, "HEAVY", heavy)
+    edges = [(0, i) for i in range(1, 60)] + [(999, i) for i in range(500, 560)] + [(999, 30)] + [(2000 + i, 2001 + i) for i in range(9)]
+    got = {r.node: r.root for r in jaccard.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {**dict.fromkeys([*range(60), *range(500, 560), 999], 0), **dict.fromkeys(range(2000, 2010), 2000)}
+
+
+def test_blocks_are_bounded_in_shingles(frame, monkeypatch):
+    monkeypatch.setattr(jaccard, "BLOCK_SHINGLES", 400)
+    rng = random.Random(8)
+    base = sentence(rng, 150, 5000).split()
+    docs = [(i, " ".join([*base[:i], f"y{i}", *base[i + 1 :]])) for i in range(20)]
+    assert sorted(map(tuple, jaccard.similar(frame(docs)).collect()), key=repr) == brute(docs)
+
+
 def test_no_documents(frame):
     assert jaccard.similar(frame([])).count() == 0 and jaccard.representatives(frame([])).count() == 0
 
