@@ -9,6 +9,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 WHITE = r"\p{IsWhite_Space}+"
+#: The same characters for Python's patterns.
+WHITE_CLASS = "[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
 
 
 def ascii_lower(c: Column) -> Column:

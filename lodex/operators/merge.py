@@ -5,6 +5,8 @@ Plain Parquet has no row updates: each job computes the new table, and the calle
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -87,23 +89,33 @@ def set_clean_names(listings: DataFrame, trims: DataFrame) -> DataFrame:
 
 
 def fingerprint(rows: DataFrame) -> DataFrame:
-    """Row count and an order-free hash of all columns."""
-    return rows.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64(*rows.columns)).alias("hash"), F.bit_xor(F.xxhash64(*rows.columns, F.lit(1))).alias("hash2"))
+    """Row count and order-free hashes of all columns: the exclusive or, and the sum, which minds equal rows."""
+    return rows.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64(*rows.columns)).alias("hash"), F.sum(F.xxhash64(*rows.columns, F.lit(1)).cast("decimal(38,0)")).alias("sum"))
 
 
 def snapshot(rows: DataFrame, path: str) -> DataFrame:
-    """Writes the table as zstd Parquet to a folder beside `path`, reads it back, compares counts and hashes, and only then
-    renames it to `path`. Returns the fingerprint with verified = true; a difference fails the job and publishes nothing."""
-    spark = rows.sparkSession
-    draft = f"{path.rstrip('/')}.draft"
-    rows.sortWithinPartitions("created_at").write.mode("overwrite").option("compression", "zstd").parquet(draft)
-    copy = spark.read.schema(rows.schema).parquet(draft)
-    if fingerprint(rows).first() != fingerprint(copy).first():
+    """Writes the table as zstd Parquet to a new folder in `path`, reads it back, compares counts and hashes, and only then
+    makes it the current one by renaming a pointer file over the last: a reader finds the old snapshot or the new one,
+    whenever the job stops. Returns the fingerprint with verified = true; a difference fails the job and publishes
+    nothing. Older folders are left for the caller to clear."""
+    spark, name = rows.sparkSession, f"data-{uuid.uuid4().hex}"
+    rows.sortWithinPartitions("created_at").write.option("compression", "zstd").parquet(f"{path}/{name}")
+    copy = fingerprint(spark.read.schema(rows.schema).parquet(f"{path}/{name}")).withColumn("verified", F.lit(True))
+    if fingerprint(rows).first() != copy.drop("verified").first():
         raise ValueError("the snapshot differs from the table")
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    old, new = (jvm.org.apache.hadoop.fs.Path(p) for p in (draft, path))
-    fs = new.getFileSystem(conf)
-    fs.delete(new, True)
-    if not fs.rename(old, new):
-        raise OSError("the snapshot could not be published")
-    return fingerprint(spark.read.schema(rows.schema).parquet(path)).withColumn("verified", F.lit(True))
+    hadoop = jvm.org.apache.hadoop.fs
+    draft, current = hadoop.Path(f"{path}/{name}.txt"), hadoop.Path(f"{path}/current.txt")
+    out = draft.getFileSystem(conf).create(draft, True)
+    out.write(bytearray(name.encode()))
+    out.close()
+    how = spark.sparkContext._gateway.new_array(getattr(hadoop, "Options$Rename"), 1)
+    how[0] = getattr(hadoop, "Options$Rename").OVERWRITE
+    hadoop.FileContext.getFileContext(draft.getFileSystem(conf).getUri(), conf).rename(draft, current, how)
+    return copy
+
+
+def read_snapshot(spark: SparkSession, path: str, schema) -> DataFrame:
+    """The current snapshot."""
+    name = spark.read.option("wholetext", True).text(f"{path}/current.txt").first()[0]
+    return spark.read.schema(schema).parquet(f"{path}/{name}")

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from lodex.functions import keys
+from lodex.sources.shared import stored
 
 CAPACITY, BATCH = 1 << 14, 70
 
@@ -34,9 +34,10 @@ def best_seeders(given: DataFrame, replies: DataFrame, key: str = "hash") -> Dat
     return given.select(key).distinct().join(best, key, "left").select(key, F.coalesce("best", F.lit(0)).alias("seeders"))
 
 
-def rank_counters(ranked: DataFrame, replies: DataFrame) -> DataFrame:
-    """scraped, seeded and errors, one row."""
-    return ranked.agg(F.count("*").alias("scraped"), F.count_if(F.col("seeders") > 0).alias("seeded")).crossJoin(replies.agg(F.count_if(F.col("seeders").isNull()).alias("errors")))
+def rank_counters(ranked: DataFrame, replies: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """scraped, seeded, evicted (what a queue of this capacity can't hold of them) and errors, one row."""
+    evicted = F.greatest(F.lit(0).cast("long"), F.count("*") - capacity).alias("evicted")
+    return ranked.agg(F.count("*").alias("scraped"), F.count_if(F.col("seeders") > 0).alias("seeded"), evicted).crossJoin(replies.agg(F.count_if(F.col("seeders").isNull()).alias("errors")))
 
 
 def aligned(requests: DataFrame, answers: DataFrame) -> DataFrame:
@@ -61,13 +62,15 @@ def evicted(rows: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 def numbered(rows: DataFrame, order: list[Column], size: int, batch: str = "batch", place: str = "i") -> DataFrame:
     """Adds the number of the row's batch of `size` (from 0) and its place there (from 1), in the given order.
 
-    The rows are range-partitioned and sorted, and numbered with the partitions' counts before them: no task sees more
-    than its own partition.
+    The rows are range-partitioned, sorted and stored with their place in the partition, and numbered with the partitions'
+    counts before them: no task sees more than its own partition.
     """
-    ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order)
-    schema = T.StructType([*ordered.schema.fields, T.StructField("_row", T.LongType())])
-    indexed = ordered.rdd.zipWithIndex().map(lambda x: (*x[0], x[1])).toDF(schema)
-    return indexed.withColumn(batch, F.floor(F.col("_row") / size)).withColumn(place, (F.col("_row") % size + 1).cast("int")).drop("_row")
+    placed = stored(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()), "numbered")
+    part, own = F.shiftright("_at", 33), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    counts = placed.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
+    before = counts.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))  # one row a partition
+    numbers = placed.withColumn("_part", part).join(F.broadcast(before), "_part").withColumn("_row", F.col("_before") + own)
+    return numbers.withColumn(batch, F.floor(F.col("_row") / size)).withColumn(place, (F.col("_row") % size + 1).cast("int")).select(*rows.columns, batch, place)
 
 
 def numbered_by(rows: DataFrame, by: str, order: list, size: int) -> DataFrame:

@@ -6,9 +6,11 @@ import ipaddress
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 RATE, BURST, IDLE = 3.0, 30.0, 600.0
 
@@ -54,17 +56,40 @@ def bucket_audit(log: DataFrame, rate: float = RATE, burst: float = BURST, idle:
     """client, allowed, rejected over a log (client, ts): a bucket fills at `rate` a second up to `burst`; a request takes one
     token if there is one; after more than `idle` seconds the bucket is full again.
 
-    A client's requests are folded in order of time in one row, which holds its times only; the streaming form keeps one
-    number a client instead.
+    A client's requests lie sorted in one task, which keeps two numbers for the client at hand, however many they are.
+    Requests without a time are left out; those without a client are one client's.
     """
-    times = log.groupBy("client").agg(F.array_sort(F.collect_list(F.col("ts").cast("double"))).alias("t"))
-
-    def step(acc: Column, t: Column) -> Column:
-        gap = t - acc["last"]
-        filled = F.least(F.lit(float(burst)), acc["tokens"] + gap * F.lit(float(rate)))
-        level = F.when(acc["last"].isNull() | ((gap > F.lit(float(idle))) if idle else F.lit(False)), F.lit(float(burst))).otherwise(filled)
-        ok = level >= 1
-        return F.struct(F.when(ok, level - 1).otherwise(level).alias("tokens"), t.alias("last"), (acc["yes"] + ok.cast("long")).alias("yes"), (acc["no"] + (~ok).cast("long")).alias("no"))
-
-    start = F.struct(F.lit(float(burst)).alias("tokens"), F.lit(None).cast("double").alias("last"), F.lit(0).cast("long").alias("yes"), F.lit(0).cast("long").alias("no"))
-    return times.withColumn("a", F.aggregate("t", start, step)).select("client", F.col("a.yes").alias("allowed"), F.col("a.no").alias("rejected"))
+    kind = log.schema["client"].dataType
+    rows = log.select("client", F.col("ts").cast("timestamp").cast("double").alias("t")).where("t is not null").repartition("client").sortWithinPartitions("client", "t")
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, client, tokens, last, yes, no = False, None, burst, None, 0, 0
+        for batch in it:
+            done: list[tuple] = []
+            for c, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if not known or c != client:
+                    if known:
+                        done.append((client, yes, no))
+                    known, client, tokens, last, yes, no = True, c, burst, None, 0, 0
+                tokens = level(tokens, last, t, rate, burst, idle)
+                last = t
+                if tokens >= 1:
+                    tokens, yes = tokens - 1, yes + 1
+                else:
+                    no += 1
+            yield counted(done, batch.schema.field(0).type)
+        if known:
+            yield counted([(client, yes, no)], to_arrow_type(kind))
+
+    return rows.mapInArrow(run, T.StructType([T.StructField("client", kind), T.StructField("allowed", T.LongType()), T.StructField("rejected", T.LongType())]))
+
+
+def level(tokens: float, last: float | None, now: float, rate: float, burst: float, idle: float | None) -> float:
+    """A bucket's tokens before a request."""
+    if last is None or (idle and now - last > idle):
+        return burst
+    return min(burst, tokens + (now - last) * rate)
+
+
+def counted(rows: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], kind), *(pa.array([r[i] for r in rows], pa.int64()) for i in (1, 2))], names=["client", "allowed", "rejected"])

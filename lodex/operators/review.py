@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodex.functions import text
@@ -50,9 +50,12 @@ def verdicts(replies: DataFrame) -> DataFrame:
 
 
 def judged(rows: DataFrame, answered: DataFrame, replies: DataFrame) -> DataFrame:
-    """Batched candidates of answered batches with label ('ok' where none is given), clean ('' where none is accepted)."""
+    """Batched candidates of the answered batches before the first without a readable reply, where a run stops, with label
+    ('ok' where none is given) and clean ('' where none is accepted)."""
     done = replies.where(F.from_json(text.unfenced(F.col("content")), VERDICTS).isNotNull()).select("batch_id").distinct()
-    met = rows.join(done, "batch_id", "left_semi").join(answered, ["batch_id", "i"], "left")
+    failed = rows.select("batch_id").distinct().join(done, "batch_id", "left_anti").agg(F.min("batch_id").alias("_failed"))  # one row
+    met = rows.join(F.broadcast(failed), F.col("_failed").isNull() | (F.col("batch_id") < F.col("_failed"))).drop("_failed")
+    met = met.join(answered, ["batch_id", "i"], "left")
     return met.withColumn("label", F.coalesce("label", F.lit("ok"))).withColumn("clean", F.when(F.col("label") == "ok", text.accepted_title(F.col("name"), F.coalesce("clean", F.lit("")))).otherwise(""))
 
 
@@ -75,6 +78,16 @@ def audit(rows: DataFrame, dry_run: bool = False) -> DataFrame:
     return rows.withColumn("kind", kind).where("kind is not null").select("kind", "info_hash", F.col("name").alias("title"), "clean", F.lit(dry_run).alias("dry_run"))
 
 
+def append_audit(rows: DataFrame, path: str, run: int) -> None:
+    """Adds a run's audit rows to the audit table; a run that is done again replaces its own rows."""
+    rows.write.mode("overwrite").parquet(f"{path}/run={run}")
+
+
+def audit_log(spark: SparkSession, path: str) -> DataFrame:
+    """All runs' audit rows, with run."""
+    return spark.read.schema("kind string, info_hash string, title string, clean string, dry_run boolean, run long").parquet(path)
+
+
 def apply(listings: DataFrame, blocked: DataFrame, rows: DataFrame, now: int, dry_run: bool = False) -> Applied:
     """Applies judged rows: trims, rejects to the block-list, stamps. A dry run only stamps."""
     out, grown = listings, blocked

@@ -37,12 +37,13 @@ def without_exceptions(c: Column, rules: Rules) -> Column:
     return c
 
 
-def term_hit(c: Column, rules: Rules) -> Column:
-    """The kind and text of a category signal in lower-cased text, the exceptions left out; null without one."""
-    plain = without_exceptions(c, rules)
-    first = lambda p: F.nullif(F.regexp_extract(plain, f"({p})", 1), F.lit(""))
-    term, domain = first(text.terms_pattern(list(rules.terms))), first(rules.domain)
-    return F.when(term.isNotNull(), F.concat(F.lit("term:"), term)).when(domain.isNotNull(), F.concat(F.lit("domain:"), domain))
+def term_hit(plain: Column, rules: Rules) -> Column:
+    """The kind and text of a category signal in lower-cased text without the exceptions; '' without one. Each pattern is
+    looked for once."""
+    first = lambda p: F.regexp_extract(plain, f"({p})", 1)
+    pair = F.array(F.struct(first(text.terms_pattern(list(rules.terms))).alias("term"), first(rules.domain).alias("domain")))
+    said = lambda x: F.when(x["term"] != "", F.concat(F.lit("term:"), x["term"])).when(x["domain"] != "", F.concat(F.lit("domain:"), x["domain"])).otherwise("")
+    return F.element_at(F.transform(pair, said), 1)
 
 
 def term_hits(listings: DataFrame, rules: Rules) -> DataFrame:
@@ -53,18 +54,32 @@ def term_hits(listings: DataFrame, rules: Rules) -> DataFrame:
     return listings.where(any_hit).select("info_hash", F.explode(found).alias("term"))
 
 
-def reasons(rules: Rules) -> Column:
-    """Codes of all signals of a listing row, in the rules' order: category, spam, size."""
+def file_hits(rules: Rules) -> Column:
+    """The signals of a listing's paths. One test of each path comes first; only where it holds are the patterns told
+    apart."""
+    any_signal = f"(?:{text.terms_pattern(list(rules.terms))})|(?:{rules.domain})"
+    plain = F.transform(F.col("files.path"), lambda p: without_exceptions(text.lower(p), rules))
+    hits = F.transform(F.filter(plain, lambda p: p.rlike(any_signal)), lambda p: term_hit(p, rules))
+    return F.transform(F.filter(hits, lambda h: h != ""), lambda h: F.concat(F.lit("file-"), h))
+
+
+def with_reasons(listings: DataFrame, rules: Rules, tested: bool = True) -> DataFrame:
+    """The listings and reasons: the codes of all signals in the rules' order: category, spam, size (the last two if
+    `tested`). Each signal is a column of its own first, so that none is computed twice."""
     name = text.lower(F.col("name"))
-    by_name = term_hit(name, rules)
-    banner = F.nullif(F.regexp_extract(name, f"({text.terms_pattern(list(rules.name_terms))})", 1), F.lit(""))
-    studio = F.nullif(F.regexp_extract(name, f"({rules.strong})", 1), F.lit(""))
-    files = F.transform(F.filter(F.transform(F.col("files.path"), lambda p: term_hit(text.lower(p), rules)), lambda h: h.isNotNull()), lambda h: F.concat(F.lit("file-"), h))
-    named = by_name.isNotNull() | banner.isNotNull() | studio.isNotNull()
-    category = F.array_compact(F.array(F.concat(F.lit("name-"), by_name), F.when(by_name.isNull(), F.concat(F.lit("banner:"), banner)), F.when(by_name.isNull() & banner.isNull(), F.concat(F.lit("strong:"), studio))))
-    weak = F.when((named | (F.size(files) > 0)) & F.col("name").rlike(rules.weak), F.lit("weak"))
-    tests = title_tests(rules) | size_tests(rules) | file_tests(rules)
-    return F.concat(category, files, F.array_compact(F.array(weak, *(F.when(t, F.lit(code)) for code, t in tests.items()))))
+    rows = listings.withColumns({
+        "_name": term_hit(without_exceptions(name, rules), rules),
+        "_banner": F.regexp_extract(name, f"({text.terms_pattern(list(rules.name_terms))})", 1),
+        "_studio": F.regexp_extract(name, f"({rules.strong})", 1),
+        "_files": file_hits(rules),
+        "_weak": F.col("name").rlike(rules.weak),
+    })
+    has = lambda c: F.col(c) != ""
+    found = F.when(has("_name"), F.concat(F.lit("name-"), "_name")).when(has("_banner"), F.concat(F.lit("banner:"), "_banner")).when(has("_studio"), F.concat(F.lit("strong:"), "_studio"))
+    weak = F.when((found.isNotNull() | (F.size("_files") > 0)) & F.col("_weak"), F.lit("weak"))
+    tests = title_tests(rules) | size_tests(rules) | file_tests(rules) if tested else {}
+    said = F.concat(F.array_compact(F.array(found)), F.col("_files"), F.array_compact(F.array(weak, *(F.when(t, F.lit(code)) for code, t in tests.items()))))
+    return rows.withColumn("reasons", said).drop("_name", "_banner", "_studio", "_files", "_weak")
 
 
 def title_tests(rules: Rules) -> dict[str, Column]:
@@ -86,8 +101,8 @@ def size_tests(rules: Rules) -> dict[str, Column]:
 
 def file_tests(rules: Rules) -> dict[str, Column]:
     n = F.size("files")
-    odd = F.size(F.filter(F.col("files.path"), lambda p: text.random_looking(p, rules.random_length)))
-    return {"files": n > rules.most_files, "random-files": (n >= rules.random_files) & (odd / n > rules.random_share)}
+    odd = F.size(F.filter(F.col("files.path"), lambda p: (F.length(p) >= rules.random_length) & text.random_looking(p, rules.random_length)))
+    return {"files": n > rules.most_files, "random-files": F.when(n >= rules.random_files, odd / n > rules.random_share).otherwise(False)}
 
 
 CATEGORY_CODES = r"\A(?:name-|banner:|strong:|file-|weak)"
@@ -96,7 +111,7 @@ CATEGORY_CODES = r"\A(?:name-|banner:|strong:|file-|weak)"
 def screened(listings: DataFrame, rules: Rules) -> DataFrame:
     """The listings with reasons, category, spam, too_small, rejected and route (the one counter of the row: category
     before spam before size, else fetched)."""
-    rows = listings.withColumn("reasons", reasons(rules))
+    rows = with_reasons(listings, rules)
     is_category = F.exists("reasons", lambda r: r.rlike(CATEGORY_CODES))
     spam = F.exists("reasons", lambda r: ~r.rlike(CATEGORY_CODES) & (r != "small"))
     small = F.array_contains("reasons", "small")

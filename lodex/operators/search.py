@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -27,7 +29,9 @@ def matches(words: list[str]) -> Column:
 
 
 def query_words(q: str) -> list[str]:
-    return "".join(c.lower() if c.isascii() else c for c in q).split()[:8]
+    """The keywords of a query, as text.keywords() of its first QUERY_BYTES bytes gives them."""
+    whole = q.encode("utf-8", "surrogatepass")[:QUERY_BYTES].decode("utf-8", "ignore")
+    return [w for w in re.split(text.WHITE_CLASS, "".join(c.lower() if c.isascii() else c for c in whole)) if w][:8]
 
 
 def results(rows: DataFrame) -> DataFrame:

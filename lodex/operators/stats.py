@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodex.sources.shared import stored
+
 
 def totals(deltas: DataFrame) -> DataFrame:
     """key, value: the sums of appended deltas."""
@@ -12,9 +14,16 @@ def totals(deltas: DataFrame) -> DataFrame:
 
 
 def differences(readings: DataFrame) -> DataFrame:
-    """name, ts, delta of running counters (name, ts, value): from the reading before, the first in full."""
-    before = F.lag("value", 1, 0).over(Window.partitionBy("name").orderBy("ts"))
-    return readings.select("name", "ts", (F.col("value") - before).alias("delta"))
+    """name, ts, delta of running counters (name, ts, value): from the reading before (of equal times, in order of value),
+    the first in full. Readings lie in ranges of name and time, and each range's first takes the last value before, so a
+    counter of any number of readings is never in one task."""
+    order = ["name", "ts", "value"]
+    rows = stored(readings.select(*order).repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "readings")
+    within = F.lag("value").over(Window.partitionBy("name", "_part").orderBy("ts", "value"))
+    ends = rows.groupBy("name", "_part").agg(F.max(F.struct("ts", "value"))["value"].alias("_last"))  # a row for each counter and range
+    ends = ends.select(F.col("name").alias("_name"), F.col("_part").alias("_own"), F.lag("_last", 1, 0).over(Window.partitionBy("name").orderBy("_part")).alias("_before"))
+    met = rows.withColumn("_lag", within).join(ends, F.col("name").eqNullSafe(F.col("_name")) & (F.col("_part") == F.col("_own")))
+    return met.select("name", "ts", (F.col("value") - F.coalesce("_lag", "_before")).alias("delta"))
 
 
 def report(counters: DataFrame, listings: DataFrame, blocked: DataFrame, names: list[str]) -> DataFrame:

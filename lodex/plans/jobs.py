@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lodex.operators import merge, rank, review
+from lodex.sources.shared import stored
 from lodex.sources.tables import LISTING
 
 
@@ -39,6 +40,7 @@ def sync_once(spark: SparkSession, source: DataFrame, target_path: str, version:
 
 
 def review_once(listings: DataFrame, blocked: DataFrame, replies: DataFrame, now: int, limit: int = review.BATCH * review.BATCHES, dry_run: bool = False) -> review.Applied:
-    """One sweep: candidates of answered batches are judged and applied; other batches stay unreviewed and come again."""
-    rows = review.judged(review.sweep(listings, limit), review.verdicts(replies), replies)
+    """One sweep: candidates are judged and applied batch by batch up to the first without a readable reply; it and later
+    ones stay unreviewed and come again."""
+    rows = stored(review.judged(review.sweep(listings, limit), review.verdicts(replies), replies), "judged")  # read for each change
     return review.apply(listings, blocked, rows, now, dry_run)

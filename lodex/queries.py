@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +11,7 @@ from lodex.functions import keys, text
 from lodex.operators import charts, merge, rank, requests, review, rules, schedule, search, stats
 from lodex.plans import jobs
 from lodex.sources import tables as T
+from lodex.sources.shared import scratch
 from lodex.streaming import jobs as streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -42,14 +41,6 @@ def query(sql: str | None = None, ctes: tuple[str, ...] = ()):
     return register
 
 
-def scratch(spark: SparkSession, what: str) -> str:
-    """A new folder name in the shared folder of the session, or in a local one where none is set."""
-    where = spark.conf.get("spark.checkpoint.dir", None) or getattr(scratch, "own", None)
-    if not where:
-        where = scratch.own = tempfile.mkdtemp(prefix="lodex-")
-    return f"{where.rstrip('/')}/{what}-{uuid.uuid4().hex}"
-
-
 # Search.
 
 
@@ -133,8 +124,7 @@ _CATEGORY = (
 
 @query("SELECT info_hash, array_to_string(reasons, '|') AS reasons FROM category", (LISTING, _CATEGORY))
 def rule_reasons(spark, sf_dir):
-    kinds = F.filter(rules.reasons(RULES), lambda r: r.rlike(rules.CATEGORY_CODES))
-    return T.listing(spark, sf_dir).select("info_hash", F.array_join(kinds, "|").alias("reasons"))
+    return rules.with_reasons(T.listing(spark, sf_dir), RULES, tested=False).select("info_hash", F.array_join("reasons", "|").alias("reasons"))
 
 
 @query(r"SELECT info_hash, regexp_matches(lower(name), '[a-z0-9]+\.(?:com|org)') AS has_domain, regexp_matches(lower(name), 'akia[a-z0-9]{4,}') AS has_strong, regexp_matches(name, '[A-Z]{2,6}-?[0-9]{3,5}') AS has_weak FROM listing", (LISTING,))
@@ -192,6 +182,15 @@ def rule_eval(spark, sf_dir):
     return rules.evaluate(rules.screened(T.listing(spark, sf_dir), RULES).join(truth, "info_hash"))
 
 
+@query("SELECT p_partkey AS part, lower(p_type) AS term FROM part WHERE p_type <> '' AND length(p_type) > 4 UNION ALL SELECT p_partkey, t FROM part, (SELECT DISTINCT lower(p_brand) AS t FROM part) WHERE regexp_matches(lower(p_brand), t) AND length(t) > 4")
+def rule_term_files(spark, sf_dir):
+    """Types and brands of the parts as term lists, one a line, written, read back and looked for."""
+    part, out = T.table(spark, sf_dir, "part"), scratch(spark, "terms")
+    part.select(F.concat(F.lit(" "), F.lower("p_type"), F.lit("\t"))).union(part.select(F.lower("p_brand"))).union(part.limit(1).select(F.lit(""))).write.text(out)
+    named = part.select(F.col("p_partkey").alias("info_hash"), F.concat_ws(" ", "p_type", "p_brand").alias("name"))
+    return rules.term_hits(named, rules.Rules(terms=T.term_list(spark, out))).select(F.col("info_hash").alias("part"), "term")
+
+
 # Merge.
 
 
@@ -283,12 +282,12 @@ def best_seeders(spark, sf_dir):
     return rank.best_seeders(given, T.replies(spark, sf_dir))
 
 
-@query("SELECT count(*) AS scraped, count(*) FILTER (WHERE q > 20) AS seeded, (SELECT count(*) FROM lineitem WHERE l_quantity <= 20) AS errors FROM (SELECT p_partkey, max(l_quantity) AS q FROM part LEFT JOIN lineitem ON l_partkey = p_partkey GROUP BY p_partkey)")
+@query("SELECT count(*) AS scraped, count(*) FILTER (WHERE q > 20) AS seeded, greatest(0, count(*) - 150)::BIGINT AS evicted, (SELECT count(*) FROM lineitem WHERE l_quantity <= 20) AS errors FROM (SELECT p_partkey, max(l_quantity) AS q FROM part LEFT JOIN lineitem ON l_partkey = p_partkey GROUP BY p_partkey)")
 def rank_counters(spark, sf_dir):
     """Small quantities stand for trackers that failed."""
     given = T.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("hash"))
     replies = T.replies(spark, sf_dir).withColumn("seeders", F.when(F.col("seeders") > 20, F.col("seeders")))
-    return rank.rank_counters(rank.best_seeders(given, replies), replies)
+    return rank.rank_counters(rank.best_seeders(given, replies), replies, 150)
 
 
 @query(
@@ -346,19 +345,19 @@ def review_requests(spark, sf_dir):
 
 
 def answers(spark, sf_dir) -> DataFrame:
-    """Replies about all candidates, fenced: long names are rejected, others get a shorter title; batch 1 has no JSON."""
+    """Replies about all candidates, fenced: long names are rejected, others get a shorter title; batch 3 has no JSON."""
     rows = review.sweep(T.listing(spark, sf_dir), 0)
     label = F.when(F.length("name") % 7 == 0, " Spam").when(F.length("name") % 11 == 0, "ADULT").when(F.length("name") % 3 == 0, "ok").otherwise("unsure")
     item = F.struct("i", label.alias("label"), F.regexp_replace("name", r" [^ ]+\z", "").alias("clean"))
     told = F.concat(F.lit("```json\n"), F.to_json(F.array_sort(F.collect_list(item))), F.lit("\n```"))
-    return rows.groupBy("batch_id").agg(told.alias("content")).withColumn("content", F.when(F.col("batch_id") == 1, "no answer").otherwise(F.col("content")))
+    return rows.groupBy("batch_id").agg(told.alias("content")).withColumn("content", F.when(F.col("batch_id") == 3, "no answer").otherwise(F.col("content")))
 
 
 _LABEL = "CASE WHEN length(name) % 7 = 0 THEN 'spam' WHEN length(name) % 11 = 0 THEN 'adult' END"
 _PROPOSED = "regexp_replace(name, ' [^ ]+$', '')"
 
 
-@query(f"SELECT batch_id, i, {_LABEL} AS label, {_PROPOSED} AS clean FROM numbered WHERE batch_id <> 1", (LISTING, _NUMBERED))
+@query(f"SELECT batch_id, i, {_LABEL} AS label, {_PROPOSED} AS clean FROM numbered WHERE batch_id <> 3", (LISTING, _NUMBERED))
 def parse_verdicts(spark, sf_dir):
     return review.verdicts(answers(spark, sf_dir))
 
@@ -381,7 +380,7 @@ def accept_titles(spark, sf_dir):
     return T.listing(spark, sf_dir).select("info_hash", text.accepted_title(name, proposed).alias("clean"))
 
 
-_JUDGED = f"judged AS (SELECT *, coalesce({_LABEL}, 'ok') AS label, CASE WHEN ({_LABEL}) IS NULL THEN {_accepted(_PROPOSED)} ELSE '' END AS clean FROM numbered WHERE batch_id <> 1)"
+_JUDGED = f"judged AS (SELECT *, coalesce({_LABEL}, 'ok') AS label, CASE WHEN ({_LABEL}) IS NULL THEN {_accepted(_PROPOSED)} ELSE '' END AS clean FROM numbered WHERE batch_id < 3)"
 _REVIEW = (LISTING, BLOCKED, _NUMBERED, _JUDGED)
 
 
@@ -404,6 +403,16 @@ def review_audit(spark, sf_dir):
     return reviewed(spark, sf_dir).audit
 
 
+@query("SELECT CASE WHEN label <> 'ok' THEN label ELSE 'trim' END AS kind, info_hash, name AS title, clean, run = 2 AS dry_run, run FROM judged, (VALUES (1::BIGINT), (2)) r(run) WHERE label <> 'ok' OR clean <> ''", _REVIEW)
+def review_audit_log(spark, sf_dir):
+    """Two runs, the second a dry one and done twice, in the audit table."""
+    out = scratch(spark, "audit")
+    listings, blocked, replies = T.listing(spark, sf_dir), T.blocked(spark, sf_dir), answers(spark, sf_dir)
+    for run in (1, 2, 2):
+        review.append_audit(jobs.review_once(listings, blocked, replies, NOW, 0, dry_run=run == 2).audit, out, run)
+    return review.audit_log(spark, out)
+
+
 # Counters.
 
 
@@ -528,28 +537,76 @@ def stream_dedupe(spark, sf_dir):
     return spark.read.schema(kept.schema).parquet(f"{out}/rows").select("info_hash")
 
 
-@query(
-    "SELECT key, delta FROM (SELECT 'inserted' AS key, count(*) FILTER (WHERE rn = 1 AND info_hash NOT IN (SELECT info_hash FROM blocked)) AS delta FROM (SELECT *, row_number() OVER (PARTITION BY info_hash) AS rn FROM plain WHERE NOT long AND NOT small) UNION ALL SELECT CASE WHEN long THEN 'filtered_spam' WHEN small THEN 'filtered_small' ELSE 'fetched' END, count(*) FROM plain GROUP BY 1)",
-    (BLOCKED, "plain AS (SELECT lpad(lower(to_hex(doc_id + 1)), 40, '0') AS info_hash, n_chars * 65536 < 104857600 AS small, length(lang || source) > 6 AS long FROM documents)"),
-)
+@query("SELECT route AS key, count(*) AS delta FROM routed GROUP BY route UNION ALL SELECT 'inserted', count(*) FROM routed WHERE route = 'fetched' AND info_hash NOT IN (SELECT info_hash FROM blocked)", (*_ROUTED, BLOCKED))
 def stream_index(spark, sf_dir):
-    """The names are short here; what is long for them is set low."""
     out = scratch(spark, "index")
-    docs = streams.read_table(spark, sf_dir, "documents")
-    name = F.concat("lang", "source")
-    records = docs.select(T.key_of(F.col("doc_id")).alias("info_hash"), name.alias("name"), (F.col("n_chars") * 65536).alias("total_size"), F.lit(1).alias("file_count"), F.array(F.struct(name.alias("path"), F.col("n_chars").alias("size"))).alias("files"), (F.lit(1704067200) + F.col("doc_id") * 60).alias("created_at"))
-    rule = rules.Rules(most_name=6)
-    finished(streams.index(records, out, lambda s: T.blocked(s, sf_dir), rule, f"{out}/state"))
+    records = T.records(streams.read_table(spark, sf_dir, "documents"))
+    finished(streams.index(records, out, lambda s: T.blocked(s, sf_dir), RULES, f"{out}/state"))
     return stats.totals(spark.read.schema("key string, delta long").parquet(f"{out}/counters")).withColumnRenamed("value", "delta")
 
 
-@query("SELECT hash, seeders, seq FROM (SELECT l_partkey AS hash, l_quantity::INTEGER AS seeders, l_orderkey * 8 + l_linenumber AS seq FROM lineitem) ORDER BY seeders DESC, seq LIMIT 1000")
-def stream_rank(spark, sf_dir):
-    out = scratch(spark, "rank")
+@query("SELECT 'seen' AS key, count(*) AS delta FROM events UNION ALL SELECT 'inserted', count(DISTINCT user_id) FILTER (WHERE lpad(lower(to_hex(user_id + 1)), 40, '0') NOT IN (SELECT info_hash FROM blocked)) FROM events", (BLOCKED,))
+def stream_bare_keys(spark, sf_dir):
+    out = scratch(spark, "bare")
+    keys_of = streams.read_table(spark, sf_dir, "events").select(T.key_of(F.col("user_id")).alias("info_hash"), "ts")
+    finished(streams.index(streams.bare_records(keys_of), out, lambda s: T.blocked(s, sf_dir), None, f"{out}/state"))
+    return stats.totals(spark.read.schema("key string, delta long").parquet(f"{out}/counters")).withColumnRenamed("value", "delta")
+
+
+_STREAM_RANK = "ranked AS (SELECT l_partkey AS hash, l_quantity::INTEGER AS seeders, l_orderkey * 8 + l_linenumber AS seq, row_number() OVER (ORDER BY l_quantity::INTEGER DESC, l_orderkey * 8 + l_linenumber) AS place FROM lineitem)"
+
+
+def rank_stream(spark, sf_dir, out: str, hand_out: int = 0):
     rows = streams.read_table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("hash"), F.col("l_quantity").cast("int").alias("seeders"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("seq"))
-    stream = streams.ranked(rows, out, f"{out}-state", 1000)
+    stream = streams.ranked(rows, out, f"{out}-state", 1000, hand_out=hand_out)
     finished(stream)
-    return spark.read.schema(rows.schema).parquet(f"{out}/batch={stream.lastProgress['batchId']}")
+    return rows.schema, stream.lastProgress["batchId"]
+
+
+@query("SELECT hash, seeders, seq FROM ranked WHERE place <= 1000", (_STREAM_RANK,))
+def stream_rank(spark, sf_dir):
+    out = scratch(spark, "rank")
+    return streams.drained(spark, out, *rank_stream(spark, sf_dir, out))
+
+
+@query("SELECT hash, seeders, seq, place <= 300 AS handed_out FROM ranked WHERE place <= 1000", (_STREAM_RANK,))
+def stream_hand_out(spark, sf_dir):
+    """The best of the queue leave it, the others wait."""
+    out = scratch(spark, "rank")
+    schema, n = rank_stream(spark, sf_dir, out, 300)
+    gone = spark.read.schema(schema).parquet(f"{out}/out").drop("batch")
+    return gone.withColumn("handed_out", F.lit(True)).unionByName(streams.drained(spark, out, schema, n).withColumn("handed_out", F.lit(False)))
+
+
+@query("SELECT user_id AS hash, event_id AS seq, ((row_number() OVER (ORDER BY event_id) - 1) // 70)::BIGINT AS batch, ((row_number() OVER (ORDER BY event_id) - 1) % 70 + 1)::INTEGER AS i FROM events")
+def stream_batches(spark, sf_dir):
+    out = scratch(spark, "requests")
+    rows = streams.read_table(spark, sf_dir, "events").select(F.col("user_id").alias("hash"), F.col("event_id").alias("seq"))
+    finished(streams.batched(rows, out, f"{out}-state", [F.col("seq")], every=None))
+    return spark.read.schema("hash long, seq long, batch long, i int").parquet(out).drop("part")
+
+
+_DUE = "RECURSIVE e AS (SELECT user_id AS addr, epoch_us(ts) / 1000000.0 AS t, CASE WHEN event_type = 'purchase' THEN CASE WHEN coalesce(k, 0) <= 0 THEN 900 ELSE least(greatest(k, 60), 7200) END ELSE 0 END AS wait, row_number() OVER (PARTITION BY user_id ORDER BY ts, CASE WHEN event_type = 'purchase' THEN CASE WHEN coalesce(k, 0) <= 0 THEN 900 ELSE least(greatest(k, 60), 7200) END ELSE 0 END) AS n FROM (SELECT *, CAST(json_extract(props, '$.k') AS BIGINT) * 120 AS k FROM events WHERE event_type <> 'error')), d AS (SELECT addr, n, t, CASE WHEN wait > 0 THEN t + wait ELSE t + 3600 END AS due, wait = 0 AS offered FROM e WHERE n = 1 UNION ALL SELECT e.addr, e.n, e.t, CASE WHEN e.wait > 0 THEN e.t + e.wait WHEN e.t >= d.due THEN e.t + 3600 ELSE d.due END, e.wait = 0 AND e.t >= d.due FROM d JOIN e ON e.addr = d.addr AND e.n = d.n + 1)"
+
+
+@query("SELECT addr, t AS at FROM d WHERE offered", (_DUE,))
+def stream_due(spark, sf_dir):
+    """Purchases stand for replies, other events for sightings, an hour is reserved."""
+    out = scratch(spark, "due")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", streams.ROCKSDB)
+    e = streams.read_table(spark, sf_dir, "events")
+    obs = e.select(F.col("user_id").alias("addr"), F.when(F.col("event_type") == "error", 0).otherwise(6881).alias("port"), "ts", (F.col("event_type") == "purchase").alias("answered"), (F.get_json_object("props", "$.k").cast("long") * 120).alias("interval_s"))
+    return kept_rows(spark, streams.due_nodes(obs, 3600.0, late="60 days"), out)
+
+
+def kept_rows(spark, rows: DataFrame, out: str) -> DataFrame:
+    """What a stream of updates gives over all its batches."""
+
+    def write(batch: DataFrame, n: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/rows/batch={n}")
+
+    finished(rows.writeStream.foreachBatch(write).outputMode("update").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start())
+    return spark.read.schema(rows.schema).parquet(f"{out}/rows").drop("batch")
 
 
 @query(_BUCKET_ROWS, (_BUCKET,))
@@ -557,10 +614,18 @@ def stream_bucket(spark, sf_dir):
     out = scratch(spark, "bucket")
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", streams.ROCKSDB)
     log = request_log(streams.read_table(spark, sf_dir, "events"))
-    rows = streams.buckets(log, 1 / 14400, 2.0)
+    rows = kept_rows(spark, streams.buckets(log, 1 / 14400, 2.0), out)
+    return rows.groupBy("client").agg(F.sum("allowed").alias("allowed"), F.sum("rejected").alias("rejected"))
 
-    def write(batch: DataFrame, n: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/rows/batch={n}")
 
-    finished(rows.writeStream.foreachBatch(write).outputMode("update").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start())
-    return spark.read.schema(rows.schema).parquet(f"{out}/rows").groupBy("client").agg(F.sum("allowed").alias("allowed"), F.sum("rejected").alias("rejected"))
+_IDLE = _BUCKET.replace("(CASE WHEN least(2.0", "(CASE WHEN e.t - b.t > 36000 THEN 1.0::DOUBLE WHEN least(2.0").replace("END)::DOUBLE, least(2.0", "END)::DOUBLE, e.t - b.t > 36000 OR least(2.0")
+
+
+@query(_BUCKET_ROWS, (_IDLE,))
+def stream_bucket_idle(spark, sf_dir):
+    """Clients idle for ten hours are forgotten."""
+    out = scratch(spark, "bucket")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", streams.ROCKSDB)
+    log = request_log(streams.read_table(spark, sf_dir, "events"))
+    rows = kept_rows(spark, streams.buckets(log, 1 / 14400, 2.0, 36000.0, "60 days"), out)
+    return rows.groupBy("client").agg(F.sum("allowed").alias("allowed"), F.sum("rejected").alias("rejected"))

@@ -26,6 +26,21 @@ def upgraded(df: DataFrame) -> DataFrame:
     return df.select(*(F.col(c).cast(kind).alias(c) for c, kind in LISTING.items()))
 
 
+def term_list(spark: SparkSession, path: str, most: int = 100_000) -> tuple[str, ...]:
+    """The terms of a text file or folder, one a line, without blanks around them, each once and in order. They go into the
+    rules' patterns, so more than `most` are an error."""
+    line = F.trim(F.regexp_replace("value", r"\A\p{IsWhite_Space}+|\p{IsWhite_Space}+\z", "")).alias("term")
+    return terms_of(spark.read.text(path).select(line), most)
+
+
+def terms_of(rows: DataFrame, most: int = 100_000) -> tuple[str, ...]:
+    """The same from a table with a column `term`."""
+    got = rows.select("term").where("term is not null and term <> ''").distinct().orderBy("term").limit(most + 1).collect()
+    if len(got) > most:
+        raise ValueError(f"more than {most} terms")
+    return tuple(r.term for r in got)
+
+
 def journal(spark: SparkSession, path: str) -> DataFrame:
     """label, info_hash, title of the lines `<label> <40 hex digits> "<title>"`; other lines are skipped."""
     return parsed_journal(spark.read.text(path))
@@ -55,17 +70,22 @@ def _files(paths: Column) -> Column:
 
 def listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    lines = F.split("text", "\n", -1)
     reviewed = labels.select("doc_id", F.lit(1).cast("long").alias("reviewed_at")).distinct()
-    return docs.join(reviewed, "doc_id", "left").select(
+    rows = records(docs.join(reviewed, "doc_id", "left"), "reviewed_at")
+    return rows.withColumns({"reviewed_at": F.coalesce("reviewed_at", F.lit(0).cast("long")), "clean_name": F.lit("")})
+
+
+def records(docs: DataFrame, *kept: str) -> DataFrame:
+    """Documents as fetched records: the first line is the name, all lines are files."""
+    lines = F.split("text", "\n", -1)
+    return docs.select(
         key_of(F.col("doc_id")).alias("info_hash"),
         F.element_at(lines, 1).alias("name"),
         (F.col("n_chars") * 65536).alias("total_size"),
         F.size(lines).alias("file_count"),
         _files(lines).alias("files"),
         (F.lit(1704067200) + F.col("doc_id") * 60).alias("created_at"),
-        F.coalesce("reviewed_at", F.lit(0).cast("long")).alias("reviewed_at"),
-        F.lit("").alias("clean_name"),
+        *kept,
     )
 
 

@@ -12,7 +12,8 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from lodex.functions import keys
 from lodex.operators import merge, rank, rules
-from lodex.operators.requests import BURST, RATE
+from lodex.operators.requests import BURST, RATE, level
+from lodex.sources.tables import FILES
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -61,65 +62,109 @@ def index(records: DataFrame, path: str, blocked: Callable[[SparkSession], DataF
     return records.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def ranked(items: DataFrame, path: str, checkpoint: str, capacity: int = rank.CAPACITY, every: str | None = None):
+def bare_records(keys: DataFrame, key: str = "info_hash", ts: str = "ts") -> DataFrame:
+    """Records of keys alone, as index() takes them without rules: the key is the name, and the size is 1."""
+    c = F.col(key)
+    return keys.select(c.alias("info_hash"), c.alias("name"), F.lit(1).cast("long").alias("total_size"), F.lit(0).alias("file_count"), F.array().cast(FILES).alias("files"), F.unix_timestamp(F.col(ts).cast("timestamp")).alias("created_at"))
+
+
+def triggered(every: str | None) -> dict:
+    return {"processingTime": every} if every else {"availableNow": True}
+
+
+def ranked(items: DataFrame, path: str, checkpoint: str, capacity: int = rank.CAPACITY, every: str | None = None, hand_out: int = 0):
     """Starts the ranking stream: each batch (hash, seeders, seq) is merged into the queue of the last, and the best
-    `capacity` stay, in <path>/batch=n."""
+    `capacity` stay. Of these the best `hand_out` leave, to <path>/out/batch=n; the others wait in <path>/queue/batch=n.
+    What waits when nothing more comes is handed out by drained()."""
 
     def run(batch: DataFrame, n: int) -> None:
         spark = batch.sparkSession
-        last = spark.read.schema(batch.schema).parquet(f"{path}/batch={n - 1}") if n else spark.createDataFrame([], batch.schema)
-        rank.queue(last, batch, capacity).write.mode("overwrite").parquet(f"{path}/batch={n}")
+        last = spark.read.schema(batch.schema).parquet(f"{path}/queue/batch={n - 1}") if n else spark.createDataFrame([], batch.schema)
+        best = rank.queue(last, batch, capacity).persist()  # `capacity` rows
+        best.limit(hand_out).write.mode("overwrite").parquet(f"{path}/out/batch={n}")
+        best.offset(hand_out).write.mode("overwrite").parquet(f"{path}/queue/batch={n}")
+        best.unpersist()
 
-    trigger = {"processingTime": every} if every else {"availableNow": True}
-    return items.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(**trigger).start()
+    return items.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(**triggered(every)).start()
+
+
+def drained(spark: SparkSession, path: str, schema, n: int) -> DataFrame:
+    """What waits after batch `n` of a ranking stream, best first."""
+    return rank.queue(spark.read.schema(schema).parquet(f"{path}/queue/batch={n}"))
+
+
+def batched(keys: DataFrame, path: str, checkpoint: str, order: list, size: int = rank.BATCH, every: str | None = "2 seconds"):
+    """Starts a stream that parts keys into requests of `size`, or of what came within `every`: each micro-batch is numbered
+    (batch from 0, i from 1) in the given order and written to <path>/part=n."""
+
+    def run(batch: DataFrame, n: int) -> None:
+        rank.numbered(batch, order, size).write.mode("overwrite").parquet(f"{path}/part={n}")
+
+    return keys.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(**triggered(every)).start()
 
 
 class Bucket(StatefulProcessor):
-    """A token bucket: of each client, its tokens and last time. Idle clients' state expires."""
+    """A token bucket: of each client, its tokens and last time. With `idle`, a timer forgets a client once the log's
+    watermark is that many seconds beyond its last request; its bucket would be full again by then."""
 
     def __init__(self, rate: float, burst: float, idle: float | None):
         self.rate, self.burst, self.idle = rate, burst, idle
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.state = handle.getValueState("bucket", "tokens double, last double")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         tokens, last = self.state.get() if self.state.exists() else (self.burst, None)
         yes = no = 0
         for t in sorted(t for part in rows for t in part["t"]):
-            gap = 0.0 if last is None else t - last
-            full = last is None or (self.idle and gap > self.idle)
-            tokens, last = (self.burst if full else min(self.burst, tokens + gap * self.rate)), t
+            tokens, last = level(tokens, last, t, self.rate, self.burst, self.idle), t
             if tokens >= 1:
                 tokens, yes = tokens - 1, yes + 1
             else:
                 no += 1
         self.state.update((tokens, last))
+        if self.idle:
+            for at in list(self.handle.listTimers()):
+                self.handle.deleteTimer(at)
+            self.handle.registerTimer(int((last + self.idle) * 1000) + 1)
         yield pd.DataFrame({"client": pd.Series([key[0]]).astype(object), "allowed": [yes], "rejected": [no]})
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.state.clear()
+        return iter(())
+
     def close(self) -> None:
         pass
 
 
-def buckets(log: DataFrame, rate: float = RATE, burst: float = BURST, idle: float | None = None) -> DataFrame:
-    """client, allowed, rejected of each batch of a log stream (client, ts). The session needs the RocksDB state store."""
+def buckets(log: DataFrame, rate: float = RATE, burst: float = BURST, idle: float | None = None, late: str = "1 minute") -> DataFrame:
+    """client, allowed, rejected of each batch of a log stream (client, ts). The session needs the RocksDB state store.
+
+    With `idle` the state is bounded by the clients of the last `idle` seconds of the log, and requests that come more
+    than `late` behind it are dropped. A micro-batch's requests of one client are sorted in memory; limit the files of a
+    micro-batch (maxFilesPerTrigger) where one client may have any number.
+    """
     kind = log.schema["client"].dataType.simpleString()
-    rows = log.select("client", F.col("ts").cast("timestamp").cast("double").alias("t"))
-    return rows.groupBy("client").transformWithStateInPandas(Bucket(rate, burst, idle), f"client {kind}, allowed long, rejected long", "Update", "None")
+    rows = log.select("client", F.col("ts").cast("timestamp").alias("ts"))
+    rows = (rows.withWatermark("ts", late) if idle else rows).withColumn("t", F.col("ts").cast("double"))
+    return rows.groupBy("client").transformWithStateInPandas(Bucket(rate, burst, idle), f"client {kind}, allowed long, rejected long", "Update", "EventTime" if idle else "None")
 
 
 class Due(StatefulProcessor):
-    """When a node may be offered again. A sighting offers a node that is due and reserves it; a reply sets its interval."""
+    """When a node may be offered again. A sighting offers a node that is due and reserves it; a reply sets its interval. A
+    timer forgets a node some time after its last row."""
 
-    def __init__(self, reserve: float, forget_ms: int):
-        self.reserve, self.forget_ms = reserve, forget_ms
+    def __init__(self, reserve: float, forget: float):
+        self.reserve, self.forget = reserve, forget
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("due", "next double", self.forget_ms)
+        self.handle = handle
+        self.state = handle.getValueState("due", "next double")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         due = self.state.get()[0] if self.state.exists() else 0.0
-        offered = []
+        offered, t = [], 0.0
         for t, wait in sorted((r.t, r.wait) for part in rows for r in part.itertuples()):
             if wait > 0:
                 due = t + wait
@@ -127,22 +172,30 @@ class Due(StatefulProcessor):
                 offered.append(t)
                 due = t + self.reserve
         self.state.update((due,))
+        for at in list(self.handle.listTimers()):
+            self.handle.deleteTimer(at)
+        self.handle.registerTimer(int((max(due, t) + self.forget) * 1000) + 1)
         if offered:
             yield pd.DataFrame({"addr": pd.Series([key[0]] * len(offered)).astype(object), "at": offered})
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.state.clear()
+        return iter(())
+
     def close(self) -> None:
         pass
 
 
-def due_nodes(observations: DataFrame, reserve: float = 60.0, forget: str = "2 hours") -> DataFrame:
+def due_nodes(observations: DataFrame, reserve: float = 60.0, forget: float = 7200.0, late: str = "10 minutes") -> DataFrame:
     """addr, at (seconds) of the nodes to ask, from a stream of sightings and replies (addr, port, ts, answered, interval_s).
 
     A sighting of a node that is due offers it and keeps it from being offered for `reserve` seconds; a reply keeps it for
-    its interval, from a minute to two hours. Port 0 is skipped. A node not seen for the time `forget` is forgotten, which
-    bounds the state by time instead of by a number of nodes.
+    its interval, from a minute to two hours. Port 0 is skipped. A node is forgotten `forget` seconds of the stream's
+    time after it was due, which bounds the state by time instead of by a number of nodes; it would be offered anyway
+    then. Rows that come more than `late` behind are dropped.
     """
     kind = observations.schema["addr"].dataType.simpleString()
     wait = F.when(F.col("answered"), keys.interval(F.col("interval_s"))).otherwise(0).cast("double")
-    rows = observations.where("port <> 0").select("addr", F.col("ts").cast("timestamp").cast("double").alias("t"), wait.alias("wait"))
-    millis = int(pd.Timedelta(forget).total_seconds() * 1000)
-    return rows.groupBy("addr").transformWithStateInPandas(Due(reserve, millis), f"addr {kind}, at double", "Update", "ProcessingTime")
+    rows = observations.where("port <> 0").select("addr", F.col("ts").cast("timestamp").alias("ts"), wait.alias("wait")).withWatermark("ts", late)
+    rows = rows.withColumn("t", F.col("ts").cast("double"))
+    return rows.groupBy("addr").transformWithStateInPandas(Due(reserve, forget), f"addr {kind}, at double", "Update", "EventTime")
