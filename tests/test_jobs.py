@@ -133,7 +133,10 @@ def test_old_tables_are_upgraded(spark):
 
 def test_snapshot_is_published_whole(spark, tmp_path):
     got = merge.snapshot(listings(spark, ("aa", "x", 1)), f"{tmp_path}/s").first()
-    assert got.n == 1 and got.verified and spark.read.parquet(f"{tmp_path}/s").count() == 1
+    assert got.n == 1 and got.verified and merge.read_snapshot(spark, f"{tmp_path}/s", SCHEMA).count() == 1
+    merge.snapshot(listings(spark, ("aa", "x", 1), ("bb", "y", 1)), f"{tmp_path}/s")
+    assert merge.read_snapshot(spark, f"{tmp_path}/s", SCHEMA).count() == 2
+    assert merge.fingerprint(listings(spark, ("aa", "x", 1), ("aa", "x", 1))).drop("n").first() != merge.fingerprint(listings(spark)).drop("n").first()
 
 
 def test_journal_lines(spark):
@@ -151,7 +154,8 @@ def test_ranking(spark):
     replies = spark.createDataFrame([("a", 2), ("b", 40), ("b", None), ("c", 900), ("d", None)], "hash string, seeders int")
     best = rank.best_seeders(given, replies)
     assert {r.hash: r.seeders for r in best.collect()} == {"a": 2, "b": 40, "c": 900, "d": 0}
-    assert rank.rank_counters(best, replies).first().asDict() == {"scraped": 4, "seeded": 3, "errors": 2}
+    assert rank.rank_counters(best, replies, 3).first().asDict() == {"scraped": 4, "seeded": 3, "evicted": 1, "errors": 2}
+    assert rank.rank_counters(best, replies).first().evicted == 0
 
 
 def test_queue_is_stable_and_evicts(spark):
@@ -175,6 +179,10 @@ def test_numbered(spark):
     rows = rank.numbered(spark.range(205).select(F.col("id").alias("v")), [F.desc("v")], 100)
     got = {r.v: (r.batch, r.i) for r in rows.collect()}
     assert got[204] == (0, 1) and got[105] == (0, 100) and got[104] == (1, 1) and got[0] == (2, 5)
+    assert "ExistingRDD" not in rows._jdf.queryExecution().executedPlan().toString()
+    assert rank.numbered(spark.range(0), [F.col("id")], 7).count() == 0
+    same = rank.numbered(spark.range(30).select(F.lit(1).alias("v"), "id"), [F.col("v")], 7)
+    assert sorted((r.batch, r.i) for r in same.collect()) == [(k // 7, k % 7 + 1) for k in range(30)]
 
 
 VERDICT = '```json\n[{"i":1,"label":" Spam "},{"i":1,"label":"ok"},{"i":2,"label":"odd","clean":"x"},{"i":99,"label":"adult"},{"i":2,"label":"ok","clean":"Jungle Book"}]\n```'
@@ -193,6 +201,54 @@ def test_verdicts_and_review(spark):
     assert dry.listings.where("reviewed_at = 9 and clean_name = ''").count() == 2 and dry.blocked.count() == 0
 
 
+def test_a_sweep_stops_at_the_first_failed_batch(spark):
+    rows = listings(spark, *((f"{i:02}", f"[x] Name number {i}", i) for i in range(6)))
+    reply = '[{"i":1,"label":"spam"}]'
+    replies = spark.createDataFrame([(0, reply), (1, "error"), (2, reply)], "batch_id long, content string")
+    out = jobs.review_once(rows, blocked(spark), replies, 9, 0)
+    assert out.summary.first().reviewed == 6 and keys(out.blocked) == ["00"]  # one batch of a hundred
+    judged = review.judged(review.sweep(rows, 0, 2), review.verdicts(replies), replies)
+    assert sorted(keys(judged)) == ["00", "01"]
+    late = replies.where("batch_id = 0")  # no reply at all is a failure, too
+    assert sorted(keys(review.judged(review.sweep(rows, 0, 2), review.verdicts(late), late))) == ["00", "01"]
+    assert review.judged(review.sweep(rows, 0, 2), review.verdicts(replies.where("batch_id > 0")), replies.where("batch_id > 0")).count() == 0
+
+
+def test_audit_rows_are_appended_once(spark, tmp_path):
+    rows = spark.createDataFrame([("spam", "aa", "t", "", False)], "kind string, info_hash string, title string, clean string, dry_run boolean")
+    for run in (1, 2, 2):
+        review.append_audit(rows, f"{tmp_path}/audit", run)
+    assert sorted(r.run for r in review.audit_log(spark, f"{tmp_path}/audit").collect()) == [1, 2]
+
+
+def test_term_lists(spark, tmp_path):
+    (tmp_path / "terms.txt").write_text("  One term\t\n\nsecond\n\u3000second\n")
+    assert T.term_list(spark, str(tmp_path / "terms.txt")) == ("One term", "second")
+    assert T.terms_of(spark.createDataFrame([("b",), ("a",), (None,)], "term string")) == ("a", "b")
+    with pytest.raises(ValueError):
+        T.term_list(spark, str(tmp_path / "terms.txt"), 1)
+
+
+@pytest.mark.parametrize("q", ["The AND", "a\x1cb c", "a\u3000B\x85c\u2003d e f g h i", "é" * 120 + " x", "x " * 150, "", "\u200b y"])
+def test_query_words_are_those_of_a_batch(spark, q):
+    asked = spark.createDataFrame([(1, q, None, None)], "query_id long, q string, page string, page_size string")
+    assert search.query_words(q) == search.page_parameters(asked).first().words
+
+
+def test_differences_over_ranges(spark):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        rows = [(n, t, 10 * t + t % 3) for n in ("a", "b", None) for t in range(60)] + [("a", 5, 90), ("c", 1, 4)]
+        got = stats.differences(spark.createDataFrame(rows, "name string, ts int, value long").repartition(5))
+        want, last = [], {}
+        for n, t, v in sorted(rows, key=lambda r: (str(r[0]), r[1], r[2])):
+            want.append((n, t, v - last.get(n, 0)))
+            last[n] = v
+        assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 def test_counters(spark):
     deltas = spark.createDataFrame([("seen", 3), ("seen", 2)], "key string, delta long")
     assert stats.totals(deltas).first().value == 5 and stats.as_map(stats.totals(deltas)).first().stats == {"seen": 5}
@@ -225,6 +281,12 @@ def test_bucket_audit(spark):
     assert requests.bucket_audit(idle, 0.0, 2.0, 600.0).first().allowed == 3 and requests.bucket_audit(idle, 0.0, 2.0, None).first().allowed == 2
 
 
+def test_bucket_audit_of_odd_logs(spark):
+    log = spark.createDataFrame([("hot", t) for t in range(3000)] + [(None, 1), (None, 1), ("x", None)], "client string, t long").select("client", F.timestamp_seconds("t").alias("ts"))
+    got = {r.client: (r.allowed, r.rejected) for r in requests.bucket_audit(log.repartition(6), 0.5, 1.0).collect()}
+    assert got == {"hot": (1500, 1500), None: (1, 1)} and requests.bucket_audit(log.where("false")).count() == 0
+
+
 def files(spark, tmp_path, parts, schema):
     for i, rows in enumerate(parts):
         spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/in/{i}")
@@ -248,8 +310,47 @@ def test_rank_stream_merges_batches(spark, tmp_path):
     rows = files(spark, tmp_path, [[("a", 5, 1), ("b", 9, 2)], [("c", 7, 3), ("d", 1, 4)]], "hash string, seeders int, seq int")
     stream = streams.ranked(rows, f"{tmp_path}/out", f"{tmp_path}/c", 3)
     stream.awaitTermination(120)
-    last = spark.read.parquet(f"{tmp_path}/out/batch={stream.lastProgress['batchId']}")
-    assert {r.hash for r in last.collect()} == {"a", "b", "c"}
+    last = streams.drained(spark, f"{tmp_path}/out", "hash string, seeders int, seq int", stream.lastProgress["batchId"])
+    assert [r.hash for r in last.collect()] == ["b", "c", "a"]
+
+
+def test_rank_stream_hands_out_the_best_of_each_batch(spark, tmp_path):
+    rows = files(spark, tmp_path, [[("a", 5, 1), ("b", 9, 2), ("c", 9, 3)], [("d", 7, 4), ("e", 1, 5)]], "hash string, seeders int, seq int")
+    stream = streams.ranked(rows, f"{tmp_path}/out", f"{tmp_path}/c", 3, hand_out=1)
+    stream.awaitTermination(120)
+    n = stream.lastProgress["batchId"]
+    assert {(r.hash, r.batch) for r in spark.read.parquet(f"{tmp_path}/out/out").collect()} == {("b", n - 1), ("c", n)}
+    assert [r.hash for r in streams.drained(spark, f"{tmp_path}/out", "hash string, seeders int, seq int", n).collect()] == ["d", "a"]
+
+
+def test_batch_stream_numbers_each_micro_batch(spark, tmp_path):
+    rows = files(spark, tmp_path, [[(f"a{i}", i) for i in range(5)], [("b", 0)]], "hash string, seq int")
+    streams.batched(rows, f"{tmp_path}/out", f"{tmp_path}/c", [F.col("seq")], 2, None).awaitTermination(120)
+    got = sorted((r.hash, r.batch, r.i) for r in spark.read.parquet(f"{tmp_path}/out").collect())
+    assert got == [("a0", 0, 1), ("a1", 0, 2), ("a2", 1, 1), ("a3", 1, 2), ("a4", 2, 1), ("b", 0, 1)]
+
+
+def test_idle_clients_leave_the_state(spark, tmp_path):
+    log = files(spark, tmp_path, [[("a", 1000)] * 3 + [("b", 1000)], [("c", 9000)], [("a", 9001), ("d", 9001)]], "client string, t long").select("client", F.timestamp_seconds("t").alias("ts"))
+    got, held = {}, []
+
+    def take(batch, _):
+        for r in batch.collect():
+            got.setdefault(r.client, []).append((r.allowed, r.rejected))
+
+    stream = streams.buckets(log, 0.0, 2.0, 600.0).writeStream.foreachBatch(take).outputMode("update").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
+    stream.awaitTermination(120)
+    held = [o["numRowsTotal"] for p in stream.recentProgress for o in p["stateOperators"]]
+    assert got == {"a": [(2, 1), (1, 0)], "b": [(1, 0)], "c": [(1, 0)], "d": [(1, 0)]}
+    assert held[-1] == 3  # of a, b, c and d
+
+
+def test_bare_keys_are_indexed_without_rules(spark, tmp_path):
+    rows = files(spark, tmp_path, [[("aa", 5), ("aa", 6)], [("aa", 7), ("zz", 8)]], "info_hash string, t long").select("info_hash", F.timestamp_seconds("t").alias("ts"))
+    streams.index(streams.bare_records(rows), f"{tmp_path}/out", lambda s: blocked(s, "zz"), None, f"{tmp_path}/c").awaitTermination(120)
+    assert [(r.info_hash, r.name, r.total_size, r.created_at) for r in spark.read.parquet(f"{tmp_path}/out/listing").collect()] == [("aa", "aa", 1, 5)]
+    counts = {r.key: r.value for r in stats.totals(spark.read.schema("key string, delta long").parquet(f"{tmp_path}/out/counters")).collect()}
+    assert counts == {"seen": 4, "inserted": 1}
 
 
 def test_index_stream_inserts_once_over_batches(spark, tmp_path):
@@ -281,3 +382,12 @@ def test_due_stream_over_batches(spark, tmp_path):
     got = []
     streams.due_nodes(obs).writeStream.foreachBatch(lambda batch, _: got.extend((r.addr, r["at"]) for r in batch.collect())).outputMode("update").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start().awaitTermination(120)
     assert got == [("a", 100.0), ("a", 450.0)]
+
+
+def test_due_stream_forgets(spark, tmp_path):
+    rows = [[("a", 1, 100, False, None), ("b", 1, 100, True, 7200)], [("c", 1, 90_000, False, None)], [("a", 1, 90_001, False, None)]]
+    obs = files(spark, tmp_path, rows, "addr string, port int, t long, answered boolean, interval_s long").withColumn("ts", F.timestamp_seconds("t"))
+    got = []
+    stream = streams.due_nodes(obs).writeStream.foreachBatch(lambda batch, _: got.extend((r.addr, r["at"]) for r in batch.collect())).outputMode("update").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
+    assert stream.awaitTermination(120)
+    assert got == [("a", 100.0), ("c", 90000.0), ("a", 90001.0)] and [o["numRowsTotal"] for p in stream.recentProgress for o in p["stateOperators"]][-1] == 2
