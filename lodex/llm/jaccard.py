@@ -30,7 +30,7 @@ TOLERANCE, STEP = 1e-5, 16
 #: Members of a bucket's block, of a component's block, and rows of a group of small buckets or components.
 BUCKET_BLOCK, VERIFY_BLOCK, SHARD_ROWS = 1024, 512, 200
 #: Shingles of a component's block, and edges by which a node may be a hub, at least.
-BLOCK_SHINGLES, HEAVY = 2_000_000, 1000
+BLOCK_SHINGLES, HEAVY = 2_000_000, 100
 
 _A = mixed(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 _B = mixed(_A + np.uint64(0x632BE59BD9B4E019))
@@ -165,20 +165,21 @@ def _connected(rows: DataFrame) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """node, root (the least node of its component) of every node with an edge; edges are pairs (a, b) of longs.
 
-    Alternates large-star and small-star steps, each a minimum by node and a join, until nothing changes. Each round is
+    Alternates large-star and small-star steps, each a minimum by node and a join, until nothing changes. Each step is
     a table in the shared folder.
     """
-    tasks = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tasks, heavy = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions")), HEAVY
     e = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     before = None
     while True:
         now = e.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("x")).first()
         if now == before:
             break
-        before, heavy = now, max(HEAVY, now.n // (2 * tasks))
+        heavy = heavy if before else max(HEAVY, now.n // (2 * tasks))  # rounds never add edges; one number, one compiled plan
+        before = now
         both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"), F.count("*").alias("degree"))
-        large = _joined(both.where("b > a"), least, heavy).select(F.col("b").alias("a"), F.col("m").alias("b"))
+        large = stored(_joined(both.where("b > a"), least, heavy).select(F.col("b").alias("a"), F.col("m").alias("b")), "stars")
         down = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("degree"))
         small = _joined(large, down, heavy).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").union(down.select("a", F.col("m").alias("b")))
         e = stored(small.distinct(), "edges")
@@ -187,7 +188,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 def _joined(rows: DataFrame, least: DataFrame, heavy: int) -> DataFrame:
     """Rows (a, b) with m of their node a. Nodes of over `heavy` rows are broadcast, so that a hub's rows stay where they
-    are: as `heavy` is at least a set part of all rows, there are at most some four times as many hubs as shuffle tasks."""
+    are: as `heavy` is at least a set part of all rows, there are at most about four times as many hubs as shuffle tasks."""
     hubs = F.broadcast(least.where(F.col("degree") > heavy).select("a", "m"))
     others = rows.join(hubs.select("a"), "a", "left_anti").join(least.where(F.col("degree") <= heavy).select("a", "m"), "a")
     return others.select("a", "b", "m").union(rows.join(hubs, "a").select("a", "b", "m"))
