@@ -5,7 +5,8 @@ into every control string, so no text looks like a mark and every text can be re
 choose the windows: a window takes the turns that lie wholly within one stretch of the budget, and the turn across a
 stretch's end where it still fits, else that turn has a window of its own. Windows after the first repeat the
 conversation's system turn and the last turns before them, up to a number of turns and tokens; in what is repeated no
-text is a target. Prefix sums run over blocks of turns first, so a conversation of any length is never in one task.
+text is a target. Prefix sums run over the parts of a range partitioning first, without the texts, so a conversation of
+any length, or with any turn numbers, is never in one task.
 """
 
 from __future__ import annotations
@@ -17,8 +18,6 @@ from lodex.llm.common import stored
 
 #: Tokens (words and marks) of a window and of the repeated turns, the number of those, and a turn's own tokens.
 BUDGET, HISTORY, HISTORY_TURNS, TURN_TOKENS = 2048, 256, 2, 8
-#: Turns in a block of the prefix sums.
-BLOCK = 256
 # The roles' marks; other roles have ROLE and their name, URL-escaped.
 MARKS = {"system": "SYS", "user": "INST", "assistant": "OUT"}
 _CONTROL = r"(?=/?s>|/?(?:SYS|INST|OUT)\]|/?ROLE[:\]])"
@@ -38,15 +37,16 @@ def tokens(text: Column) -> Column:
     return F.regexp_count(text, F.lit(r"\w+|[^\w\s]")) + TURN_TOKENS
 
 
-def prefix_sums(rows: DataFrame, by: str, block: str, order: list, value: Column, name: str) -> DataFrame:
-    """Adds the sum of `value` over the rows of `by` up to and with each, in order of `block` and then `order`. Blocks are
-    summed first; only a conversation's blocks, not its turns, come together."""
-    inner = rows.withColumn(name, F.sum(value).over(Window.partitionBy(by, block).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
-    blocks = rows.groupBy(by, block).agg(F.sum(value).alias("_sum"))
-    before = blocks.withColumn("_before", F.coalesce(F.sum("_sum").over(Window.partitionBy(by).orderBy(block).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_sum")
-    before = before.select(F.col(by).alias("_by"), F.col(block).alias("_block"), "_before")
-    joined = inner.join(before, inner[by].eqNullSafe(before["_by"]) & (inner[block] == before["_block"]))
-    return joined.withColumn(name, F.col(name) + F.col("_before")).drop("_by", "_block", "_before")
+def prefix_sums(rows: DataFrame, by: str, part: str, order: list, values: dict[str, Column]) -> DataFrame:
+    """Adds the sums of `values` (by name) over the rows of `by` up to and with each, in order of `part` and then `order`.
+    Parts are summed first; only a conversation's parts, not its turns, come together."""
+    up_to = Window.partitionBy(by, part).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    inner = rows.withColumns({n: F.sum(v).over(up_to) for n, v in values.items()})
+    before = Window.partitionBy(by).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    parts = rows.groupBy(by, part).agg(*(F.sum(v).alias(n) for n, v in values.items()))
+    parts = parts.select(F.col(by).alias("_by"), F.col(part).alias("_part"), *(F.coalesce(F.sum(n).over(before), F.lit(0)).alias(f"_{n}") for n in values))
+    joined = inner.join(parts, inner[by].eqNullSafe(parts["_by"]) & (inner[part] == parts["_part"]))
+    return joined.withColumns({n: F.col(n) + F.col(f"_{n}") for n in values}).drop("_by", "_part", *(f"_{n}" for n in values))
 
 
 def windows(conversations: DataFrame, id_col: str = "conv_id", budget: int = BUDGET, history: int = HISTORY, history_turns: int = HISTORY_TURNS) -> DataFrame:
@@ -54,36 +54,39 @@ def windows(conversations: DataFrame, id_col: str = "conv_id", budget: int = BUD
     (ranges of code points, end exclusive: the assistant texts of turns that aren't repeated).
 
     A turn alone over the budget has a window of its own, whole. Null texts are as empty ones, null roles as the role
-    ''. Turns are in order of turn, role and text, null turns first, repeated rows stay repeated; rows with a null id are
-    one conversation. An empty table gives an empty result; further columns are left out.
+    ''. Turns are in order of turn, role and a hash of the text, null turns first, repeated rows stay repeated; rows with a
+    null id are one conversation. An empty table gives an empty result; further columns are left out.
     """
     text, role = F.coalesce(F.col("text").cast("string"), F.lit("")), F.coalesce(F.col("role").cast("string"), F.lit(""))
-    rows = conversations.select(F.col(id_col).alias("conv"), F.coalesce(F.col("turn").cast("long"), F.lit(-(1 << 62))).alias("turn"), role.alias("role"), text.alias("text"))
-    rows = rows.withColumn("block", F.floor(F.col("turn") / BLOCK)).withColumn("n", tokens(F.col("text")))
-    order = ["turn", "role", "text"]
-    rows = prefix_sums(rows, "conv", "block", order, F.lit(1).cast("long"), "place")
-    rows = stored(prefix_sums(rows, "conv", "block", ["place"], F.col("n").cast("long"), "sum"), "turns")
-    system = rows.where((F.col("place") == 1) & (F.col("role") == "system")).select(F.col("conv").alias("_conv"), F.col("text").alias("system"), F.col("n").alias("system_n"))
+    texts = conversations.select(F.col(id_col).alias("conv"), F.coalesce(F.col("turn").cast("long"), F.lit(-(1 << 62))).alias("turn"), role.alias("role"), text.alias("text"))
+    texts = stored(texts.withColumns({"tie": F.xxhash64("text"), "n": tokens(F.col("text")).cast("long"), "row": F.monotonically_increasing_id()}), "texts")
+    order = ["conv", "turn", "role", "tie", "row"]
+    slim = texts.select(*order, "n").repartitionByRange(*order).sortWithinPartitions(*order)
+    slim = stored(slim.withColumn("part", F.spark_partition_id()), "turns")  # the parts lie in the conversations' order
+    rows = prefix_sums(slim, "conv", "part", order[1:], {"place": F.lit(1).cast("long"), "sum": F.col("n")})
+    rows = stored(rows.select("conv", "part", "place", "sum", "role", "row", "n"), "sums")
+    system = rows.where((F.col("place") == 1) & (F.col("role") == "system")).select(F.col("conv").alias("_conv"), F.col("row").alias("system"), F.col("n").alias("system_n"))
     rows = rows.join(system.select("_conv", "system_n"), rows["conv"].eqNullSafe(system["_conv"]), "left").drop("_conv")
     stretch = F.greatest(F.lit(budget - history) - F.coalesce("system_n", F.lit(0)), F.lit(budget // 4)).cast("long")
     rows = rows.withColumn("stretch", stretch).withColumn("first", F.floor((F.col("sum") - F.col("n")) / F.col("stretch"))).withColumn("last", F.floor((F.col("sum") - 1) / F.col("stretch")))
     whole = rows.where("first = last").groupBy(F.col("conv").alias("_conv"), F.col("first").alias("_first")).agg(F.sum("n").alias("inner"))
     rows = rows.join(whole, rows["conv"].eqNullSafe(whole["_conv"]) & (rows["first"] == whole["_first"]), "left").drop("_conv", "_first")
     alone = (F.col("first") < F.col("last")) & (F.coalesce("inner", F.lit(0)) + F.col("n") > F.col("stretch"))
-    rows = rows.withColumn("key", 2 * F.col("first") + alone.cast("int"))
-    # A window begins where the key differs from the turn before's; blocks meet through the places.
+    rows = stored(rows.select("conv", "part", "place", "role", "row", "n", (2 * F.col("first") + alone.cast("int")).alias("key")), "keys")
+    # A window begins where the key differs from the turn before's; parts meet through the places.
     before = rows.select(F.col("conv").alias("_conv"), (F.col("place") + 1).alias("_place"), F.col("key").alias("_key"))
     rows = rows.join(before, rows["conv"].eqNullSafe(before["_conv"]) & (rows["place"] == before["_place"]), "left").drop("_conv", "_place")
-    rows = prefix_sums(rows.withColumn("begins", (~F.col("key").eqNullSafe(F.col("_key"))).cast("long")), "conv", "block", ["place"], F.col("begins"), "window")
-    rows = stored(rows.select("conv", "turn", "place", "role", "text", "n", (F.col("window") - 1).alias("window")), "windows")
-    own = rows.select("conv", "window", F.lit(False).alias("repeated"), "place", "role", "text", "n")
+    rows = prefix_sums(rows, "conv", "part", ["place"], {"window": (~F.col("key").eqNullSafe(F.col("_key"))).cast("long")})
+    rows = stored(rows.select("conv", "place", "role", "row", "n", (F.col("window") - 1).alias("window")), "windows")
+    own = rows.select("conv", "window", F.lit(False).alias("repeated"), "place", "row", "n")
     back = Window.partitionBy("conv", "window").orderBy(F.desc("place"))
     tail = rows.withColumn("_rank", F.row_number().over(back)).withColumn("_sum", F.sum("n").over(back)).where((F.col("_rank") <= history_turns) & (F.col("_sum") <= history) & (F.col("role") != "system"))
     heads = rows.groupBy(F.col("conv").alias("_conv"), F.col("window").alias("_window")).agg(F.min("place").alias("_head")).where("_window > 0")
     tail = tail.withColumn("window", F.col("window") + 1)
-    tail = tail.join(heads, tail["conv"].eqNullSafe(heads["_conv"]) & (tail["window"] == heads["_window"]), "left_semi").select("conv", "window", F.lit(True).alias("repeated"), "place", "role", "text", "n")
-    kept = heads.join(system.withColumnRenamed("_conv", "conv"), heads["_conv"].eqNullSafe(F.col("conv"))).select("conv", F.col("_window").alias("window"), F.lit(True).alias("repeated"), F.lit(0).cast("long").alias("place"), F.lit("system").alias("role"), F.col("system").alias("text"), F.col("system_n").alias("n"))
-    all_turns = own.unionByName(tail).unionByName(kept)
+    tail = tail.join(heads, tail["conv"].eqNullSafe(heads["_conv"]) & (tail["window"] == heads["_window"]), "left_semi").select("conv", "window", F.lit(True).alias("repeated"), "place", "row", "n")
+    kept = heads.join(system.withColumnRenamed("_conv", "conv"), heads["_conv"].eqNullSafe(F.col("conv"))).select("conv", F.col("_window").alias("window"), F.lit(True).alias("repeated"), F.lit(0).cast("long").alias("place"), F.col("system").alias("row"), F.col("system_n").alias("n"))
+    # Only now, with the windows known, do the texts move.
+    all_turns = own.unionByName(tail).unionByName(kept).join(texts.select("row", "role", "text"), "row")
     mark = F.lit(None).cast("string")
     for r, m in MARKS.items():
         mark = F.when(F.col("role") == r, F.lit(m)).otherwise(mark)
