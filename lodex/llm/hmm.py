@@ -269,8 +269,9 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, id_col: str = "doc_i
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)
     blocks = max(1, math.ceil(model.total * 7 / 6 / BLOCK), docs.count() // 20_000)
-    block = F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.length(text_col)), F.lit(blocks)).cast("int")
-    dealt = docs.select(block.alias("block"), F.col(id_col).alias("id"), F.col(text_col).cast("string").cast("binary").alias("text"))
+    # By the row's place, too, so that neither an id nor a text that many rows have makes a block large.
+    block = F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.monotonically_increasing_id()), F.lit(blocks)).cast("int")
+    dealt = docs.select(block.alias("block"), F.col(id_col).alias("id"), F.col(text_col).cast("string").cast("binary").alias("text")).repartition(blocks, "block")
 
     def asked(rows: pa.Table) -> pa.Table:
         found: set[bytes] = {END}
