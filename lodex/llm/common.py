@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,6 +11,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lodex.sources.shared import shared_dir, stored
+
+__all__ = ["HashCache", "batches", "fold", "mixed", "others", "shared_dir", "shingles", "stored", "table", "texts", "word_hashes", "words"]
+
 #: ASCII bytes that end a word: everything but digits, letters and the bytes of non-ASCII characters.
 SEPARATORS = bytes([*range(0x00, 0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)])
 _TO_SPACE = bytes.maketrans(SEPARATORS, b" " * len(SEPARATORS))
@@ -24,25 +25,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where it is unset and all
-    runs in this process, as in tests."""
-    where = spark.conf.get("spark.checkpoint.dir", None) or getattr(shared_dir, "own", None)
-    if not where and not re.fullmatch(r"local(\[.*\])?", spark.conf.get("spark.master", "local")):
-        raise ValueError("a cluster needs spark.checkpoint.dir, a folder that driver and executors share")
-    if not where:
-        where = shared_dir.own = tempfile.mkdtemp(prefix="lodex-")
-    return where.rstrip("/")
-
-
-def stored(df: DataFrame, what: str) -> DataFrame:
-    """Writes `df` as a Parquet table in the shared folder and reads it back: cuts the lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/lodex-{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def others(df: DataFrame, *added: str) -> list[T.StructField]:
     """The fields of `df` but those named like a column to add, in letters of either case, as Spark tells them apart."""
     return [f for f in df.schema.fields if f.name.lower() not in {a.lower() for a in added}]

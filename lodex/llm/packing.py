@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodex.llm.common import stored
+from lodex.llm.common import others, stored
 
 #: Bins and pieces that a group holds at most, on average; both bound a task's memory.
 GROUP_BINS, GROUP_PIECES = 2048, 200_000
@@ -102,7 +102,8 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id:
     """Rows `id_col`, piece, start, length, ids_crc32 and, if asked for, ids (little-endian unsigned 32-bit).
 
     A document's ids are those of its text and then `end_id`; only longer ones are cut, into pieces of `capacity`. A
-    null or empty text has the end id alone; repeated rows give repeated pieces. `tokenizer` is a file's path.
+    null or empty text has the end id alone; repeated rows give repeated pieces, null ids pieces with a null id; an empty
+    table gives an empty result. Further columns are left out. `tokenizer` is a file's path.
     """
 
     def cut(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,9 +174,11 @@ def pack_pieces(pieces: DataFrame, capacity: int = 4096, length_col: str = "leng
     `capacity`.
 
     Lengths are from 1 to `capacity`, else the job fails; null lengths fail, too. Repeated rows are packed one by one.
-    An empty table gives an empty result. Columns named like the added ones are replaced.
+    An empty table gives an empty result. Whether the number of sequences is the least is what certificate() tells: bins with
+    at most a 512th free stay as they are, and after `max_rounds`, or where rounds no longer gain, so does the rest.
+    Columns named like the added ones, in letters of either case, are replaced.
     """
-    spark, names = pieces.sparkSession, [c for c in pieces.columns if c not in ("sequence_id", "offset")]
+    spark, names = pieces.sparkSession, [f.name for f in others(pieces, "sequence_id", "offset")]
     length = F.col(length_col)
     fits = F.when((length >= 1) & (length <= capacity), length).otherwise(F.raise_error(F.lit("a piece's length isn't between 1 and the capacity")))
     pieces = stored(pieces.select(*[fits.cast("long").alias(c) if c == length_col else c for c in names]), "pieces")
@@ -209,6 +212,14 @@ def pack_pieces(pieces: DataFrame, capacity: int = 4096, length_col: str = "leng
     return result
 
 
+def certificate(packed: DataFrame, capacity: int = 4096, length_col: str = "length") -> DataFrame:
+    """One row: sequences of a packed table, bound (no packing of these pieces has fewer) and certified (they are equal)."""
+    counts = packed.groupBy(F.col(length_col).alias("length")).agg(F.count("*").alias("n"), F.count_if(F.col("offset") == 0).alias("first")).collect()  # at most `capacity` rows
+    bound = lower_bound(dual_feasible(np.array([r.length for r in counts], int), capacity, np.array([r.n for r in counts], float)))
+    n = sum(r["first"] for r in counts)
+    return packed.sparkSession.createDataFrame([(n, bound, n == bound)], "sequences long, bound long, certified boolean")
+
+
 def _pack_group(capacity: int, length_col: str, k: int):
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("_deal", kind="stable").reset_index(drop=True)

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lodex.llm.common import batches, others
 from lodex.llm.toxicity import labelled
 
 #: Labelled documents to fit on, at most.
@@ -142,12 +143,13 @@ def _scale(sample: DataFrame, model: Model) -> tuple[float, float]:
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """The columns of `docs` (or those in `keep`) and quality (0 to 1, higher: label 1 likelier). Null texts score as
-    empty ones; columns named like the added one are replaced."""
+    empty ones; repeated rows have equal scores; an empty table gives an empty result. Columns named like the added one,
+    in letters of either case, are replaced."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    fields = [f for f in docs.schema.fields if f.name != "quality" and (keep is None or f.name in keep)]
+    fields = [f for f in others(docs, "quality") if keep is None or f.name in keep]
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
+        for batch in batches(it):
             x = np.array([statistics(t) for t in batch.column(text_col).cast(pa.binary()).to_pylist()]).reshape(-1, len(NAMES))
             scores = shared.value.score(x) if len(x) else []
             yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in fields), pa.array(scores, pa.float64())], names=[*(f.name for f in fields), "quality"])

@@ -26,6 +26,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodex.llm.common import others
+
 KINDS = ("assign", "access", "hex")
 # The patterns of the base and the least lengths of what they find.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -402,10 +404,11 @@ def scan(docs: DataFrame, text_col: str = "text", keep_text: bool = False) -> Da
     """All columns of `docs`, the text only if asked for, and base, spans (arrays of kind, start, end, layer; code points, end exclusive,
     by start and then kind) and cut (in a compressed layer, a single run or data compressed again are over 64 MB, and were scanned in parts).
 
-    Null and empty texts have no spans; repeated rows each get theirs; columns named like the added ones are replaced.
+    Null and empty texts have no spans; repeated rows each get theirs; columns named like the added ones,
+    in letters of either case, are replaced.
     """
     added = ("base", "spans", "cut")
-    kept = [c for c in docs.columns if c not in added and (keep_text or c != text_col)]
+    kept = [f.name for f in others(docs, *added) if keep_text or f.name != text_col]
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("layer", pa.int32())]))
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
