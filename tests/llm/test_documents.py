@@ -159,6 +159,20 @@ def test_quality_is_learned(frame):
     assert np.mean(held) > 0.97 and all(0 <= v <= 1 for v in got.values()) and got[900] == got[901]
 
 
+def test_quality_of_odd_rows(frame):
+    rng = random.Random(24)
+    rows = [(i, quality_text(rng, i % 3 > 0)) for i in range(150)]
+    labels = frame([(i, int(i % 3 > 0)) for i in range(150)] + [(3, 1), (3, 0)], "doc_id long, quality int")
+    model = quality.fit(frame([*rows, rows[0], rows[0], (None, "x")]), labels)
+    docs = frame([*enumerate(ODD)] + [(50, "word " * 300_000), (None, "x"), (50, "word " * 300_000)])
+    got = quality.score(docs.repartition(3), model).collect()
+    assert len(got) == len(ODD) + 3 and all(0 <= r.quality <= 1 for r in got)
+    by = {}
+    for r in got:
+        by.setdefault(r.text or "", set()).add(r.quality)
+    assert all(len(v) == 1 for v in by.values())
+
+
 def test_quality_without_labels(frame):
     docs, none = frame(["a", "b"]), frame([], "doc_id long, quality int")
     model = quality.fit(docs, none)
@@ -339,6 +353,18 @@ def test_scores(frame):
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
+def test_scores_of_repeated_ids_and_texts(frame, monkeypatch):
+    monkeypatch.setattr(hmm, "BLOCK", 500)
+    rows = [(1, "same text again and again")] * 300 + [(1, f"text {i}") for i in range(100)] + [(None, "x y")] * 50
+    docs = frame(rows).repartition(5)
+    model, counts = hmm.train(docs, F.lit(True))
+    got = hmm.score(docs, model, counts)
+    c = Counter(w for _, t in rows for w in tokens(t))
+    n, v = sum(c.values()), len(c)
+    want = Counter((i, len(tokens(t)), len(tokens(t)), round(sum(math.log10((c[w] + 1) / (n + v + 1)) for w in tokens(t)), 6)) for i, t in rows)
+    assert Counter((r.doc_id, r.n_tokens, r.n_known, round(r.base_score, 6)) for r in got.collect()) == want
+
+
 def test_scores_without_texts(frame):
     model, counts = hmm.train(frame([]), F.lit(True))
     assert hmm.score(frame([]), model, counts).count() == 0
@@ -493,6 +519,74 @@ def test_base_patterns():
     assert spans("ſecret=abcdefgh") == []
 
 
+VALUE = set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-")
+
+
+def plain_assign(t, i):
+    """Where an assignment that begins at i ends, and the length of its value; None without one."""
+    low = "".join(c.lower() if c.isascii() else c for c in t)
+    key = next((k for k in ("password", "passwd", "secret", "token", "api_key", "apikey") if low.startswith(k, i)), None)
+    if key is None:
+        return None
+    at = i + len(key)
+    at += at < len(t) and t[at] in "\"'"
+    while at < len(t) and t[at] == " ":
+        at += 1
+    if at >= len(t) or t[at] not in ":=":
+        return None
+    at += 1
+    while at < len(t) and t[at] == " ":
+        at += 1
+    at += at < len(t) and t[at] in "\"'"
+    end = at
+    while end < len(t) and t[end] in VALUE:
+        end += 1
+    return (end, end - at) if end > at else None
+
+
+def plain_run(t, i, head, chars):
+    if not t.startswith(head, i):
+        return None
+    end = i + len(head)
+    while end < len(t) and t[end] in chars:
+        end += 1
+    return (end, end - i) if end > i + len(head) else None
+
+
+def plain_base(t):
+    """The base's spans, found character by character."""
+    out = []
+    for kind, find, least in (("assign", plain_assign, 6), ("access", lambda t, i: plain_run(t, i, "AKIA", set("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789")), 20), ("hex", lambda t, i: plain_run(t, i, "", set("0123456789abcdef")), 24)):
+        i = 0
+        while i < len(t):
+            got = find(t, i)
+            if got and got[1] >= least:
+                out.append((i, ("assign", "access", "hex").index(kind), kind, got[0]))
+            i = got[0] if got else i + 1
+    return [(k, a, b) for a, _, k, b in sorted(out)]
+
+
+def test_base_against_brute_force(frame):
+    rng = random.Random(23)
+    parts = ["password", "PassWd", "secret", "ToKen", "api_key", "APIKEY", "apı_key", "ſecret", " ", "  ", "\t", "\"", "'", ":", "=", "==", "abc", "Zz9+/_.=-", "x1", "é", "日", "AKIA", "AKIAAKIA", "ABCD1234EFGH5678IJ", "0123456789abcdef", "deadbeef", "F", "\n", "%41", "&#65;"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(1, 40))) for _ in range(1500)] + ODD
+    want = {}
+    for i, t in enumerate(texts):
+        base = plain_base(t or "")
+        kinds = Counter(k for k, _, _ in base)
+        want[i] = (kinds["assign"], kinds["access"], kinds["hex"], hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in base).encode()).hexdigest())
+        assert {(k, a, b) for k, a, b in base} <= {(k, a, b) for a, k, b, _ in secret_scan.scan_text(t or "")[1]}
+    got = {r.doc_id: (r.n_assign, r.n_access, r.n_hex, r.base_sha256) for r in secret_scan.report(secret_scan.scan(frame(texts))).collect()}
+    assert got == want and sum(v[0] for v in want.values()) > 50 and sum(v[1] for v in want.values()) > 50 and sum(v[2] for v in want.values()) > 50
+
+
+def test_scan_replaces_columns_of_either_case(frame):
+    found = secret_scan.scan(frame(["token=abcdefgh"]).withColumns({"Spans": F.lit(1), "BASE": F.lit(2)}))
+    assert found.columns == ["doc_id", "base", "spans", "cut"]
+    docs = quality.score(frame(["a"]).withColumn("Quality", F.lit(1)), quality.fit(frame(["a"]), frame([], "doc_id long, quality int")))
+    assert docs.columns == ["doc_id", "text", "quality"]
+
+
 def test_scan_of_odd_rows(frame):
     bomb = base64.b64encode(gzip.compress(b"z" * 100)).decode()
     found = secret_scan.scan(frame([*ODD, bomb, "%" * 50, "\\u00", "=" * 40]).withColumn("spans", F.lit(1)))
@@ -547,6 +641,9 @@ def test_packing_in_groups_meets_the_bound(spark, monkeypatch):
     rows = packing.pack_pieces(pieces, 100).collect()
     assert Counter((r.doc_id, r.length) for r in rows) == Counter([*enumerate(lengths), (3, lengths[3])])
     bound = packing.lower_bound(packing.dual_feasible(np.array([*lengths, lengths[3]]), 100))
+    told = packing.certificate(packing.pack_pieces(pieces, 100), 100).first()
+    assert (told.bound, told.certified) == (bound, told.sequences == bound) and told.sequences >= bound
+    assert packing.certificate(packing.pack_pieces(pieces.where("length = 100"), 100), 100).first().certified
     assert packing.best_fit(np.array(lengths), 100).max() + 1 <= bound <= check_packing(rows, 100) <= 1.015 * bound  # eight bins a group
 
 
@@ -563,7 +660,7 @@ def test_dual_feasible_bounds_hold_and_certify():
 
 def test_packing_of_odd_tables(spark):
     empty = spark.createDataFrame([], "doc_id long, length long")
-    assert packing.pack_pieces(empty, 10).count() == 0
+    assert packing.pack_pieces(empty, 10).count() == 0 and tuple(packing.certificate(packing.pack_pieces(empty, 10), 10).first()) == (0, 0, True)
     assert check_packing(packing.pack_pieces(spark.createDataFrame([(1, 10), (2, 10)], "doc_id long, length long"), 10).collect(), 10) == 2
     with pytest.raises(Exception, match="length"):
         packing.pack_pieces(spark.createDataFrame([(1, 11)], "doc_id long, length long"), 10).collect()
@@ -572,7 +669,7 @@ def test_packing_of_odd_tables(spark):
 # Licenses
 
 
-def test_license_windows_against_brute_force(frame):
+def test_license_windows_hold_what_is_there(frame):
     rng = random.Random(12)
     filler = lambda n: " ".join(f"q{rng.randrange(500)}" for _ in range(n))
     mit = licenses.TEMPLATES["MIT"].split()
@@ -594,6 +691,50 @@ def test_license_windows_against_brute_force(frame):
     assert licenses.scan(frame([])).count() == 0
 
 
+def test_all_places_against_brute_force(frame):
+    rng = random.Random(22)
+    names = list(licenses.TEMPLATES)
+    rows = []
+    for i in range(60):
+        parts = []
+        for _ in range(rng.choice([1, 3])):
+            w = licenses.TEMPLATES[rng.choice(names)].split()
+            for _ in range(rng.choice([0, 0, 1, 3])):
+                w[rng.randrange(len(w))] = f"q{rng.randrange(99)}"
+            parts += [" ".join(f"q{rng.randrange(500)}" for _ in range(rng.randrange(150))), " ".join(w)]
+        rows.append((i // 2 if i else None, "\n".join(parts)))
+    rows += [rows[5], rows[5], (None, rows[7][1]), (77, "the licensed software " * 3000 + licenses.TEMPLATES["ISC"])]
+    family, want = licenses.families(licenses.TEMPLATES), Counter()
+    for i, t in rows:
+        w, met = licenses.template_words(t), []
+        for name, template in licenses.TEMPLATES.items():
+            s, x = licenses.shape(template), licenses.template_words(template)
+            known = {tuple(x[a : a + s.k]) for a in range(len(x) - s.k + 1)}
+            for start in range(0, len(w), s.stride):
+                own = w[start : start + s.length]
+                share = len(known & {tuple(own[a : a + s.k]) for a in range(len(own) - s.k + 1)}) / len(known)
+                if share >= licenses.CONTAINMENT:
+                    met.append((family[name], start, start + len(own), name, share))
+        for f in {m[0] for m in met}:
+            places, end = [], 0
+            for m in sorted(m for m in met if m[0] == f):
+                if not places or m[1] >= end:
+                    places.append([])
+                places[-1].append(m)
+                end = max(end, m[2])
+            for p in places:
+                _, start, stop, name, share = min(p, key=lambda m: (-m[4], m[1], m[3]))
+                want[i, name, round(share, 9), start, stop] += 1
+    got = Counter((r.doc_id, r.license, round(r.containment, 9), r.first_word, r.end_word) for r in licenses.scan(frame(rows)).collect())
+    assert got == want and len({k[1] for k in want}) > 15
+
+
+def test_families():
+    f = licenses.families(licenses.TEMPLATES)
+    assert f["GPL-3.0 header"] == f["AGPL-3.0 header"] == f["GPL-2.0 header"] and f["MIT"] != f["ISC"] != f["BSD-2-Clause"]
+    assert f["Apache-2.0 line"] != f["Apache-2.0 header"]
+
+
 def test_license_anchors_hit_more_shingles_than_may_be_missing():
     for t in licenses.TEMPLATES.values():
         s, w = licenses.shape(t), licenses.template_words(t)
@@ -638,9 +779,67 @@ def test_chat_round_trip(spark):
     many = [r for r in read if r.conv_id == 3]
     assert len(many) > 5 and all(r.n_repeated >= 1 and r.formatted.startswith("<s>[SYS] ") for r in many[1:])
     digest = {r.conv_id: r for r in chat.report(out).collect()}
+    sizes = Counter()
+    for r in read:
+        sizes[r.conv_id] += len(r.formatted)
+    assert all((r.loss_chars, r.loss_sha256, r.formatted_chars) == (len(targets[c]), hashlib.sha256(targets[c].encode()).hexdigest(), sizes[c]) for c, r in digest.items())
     assert all(digest[c].n_turns == len(v) and digest[c].turns_sha256 == hashlib.sha256("".join(f"{a}\n{b}\n" for a, b in v).encode()).hexdigest() for c, v in want.items())
 
 
+def plain_windows(turns, budget, history, history_turns):
+    """formatted and loss of each window of a conversation (role, text in order), one turn at a time."""
+    mark = lambda r: {"system": "SYS", "user": "INST", "assistant": "OUT"}.get(r)
+    body = lambda t: re.sub(r"([<\[])(?=/?s>|/?(?:SYS|INST|OUT)\]|/?ROLE[:\]])", r"\1\\.", t.replace("\\", "\\\\"))
+    size = lambda t: len(re.findall(r"\w+|[^\w\s]", t, re.A)) + chat.TURN_TOKENS
+    system = turns[0] if turns[0][0] == "system" else None
+    stretch = max(budget - history - (size(system[1]) if system else 0), budget // 4)
+    total, spans, inner = 0, [], Counter()
+    for _, t in turns:
+        first, total = total // stretch, total + size(t)
+        spans.append((first, (total - 1) // stretch))
+        inner[first] += size(t) if spans[-1][0] == spans[-1][1] else 0
+    keys = [2 * a + (a < b and inner[a] + size(t) > stretch) for (a, b), (_, t) in zip(spans, turns, strict=True)]
+    groups = []
+    for k, turn in zip(keys, turns, strict=True):
+        if not groups or groups[-1][0] != k:
+            groups.append((k, []))
+        groups[-1][1].append(turn)
+    out = []
+    for i, (_, own) in enumerate(groups):
+        again = [system] if i and system else []
+        if i:
+            n = 0
+            tail = []
+            for turn in reversed(groups[i - 1][1][-history_turns:]):
+                n += size(turn[1])
+                if n <= history and turn[0] != "system":
+                    tail.insert(0, turn)
+            again += tail
+        text, loss = "", []
+        for j, (role, t) in enumerate([*again, *own]):
+            text += f"<s>[{mark(role) or 'ROLE:' + quote(role, safe='')}] "
+            if role == "assistant" and j >= len(again):
+                loss.append((len(text), len(text) + len(body(t))))
+            text += f"{body(t)} [/{mark(role) or 'ROLE'}]</s>"
+        out.append((text, loss))
+    return out
+
+
+def test_chat_windows_against_brute_force(spark):
+    rng = random.Random(21)
+    rows = conversations(rng)
+    rows = [(c, t // 3 if c % 4 == 0 else None if c % 4 == 1 else t, r, x) for c, t, r, x in rows]  # equal and null turns
+    given = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    tie = {r.text: r.tie for r in given.select(F.coalesce("text", F.lit("")).alias("text")).distinct().withColumn("tie", F.xxhash64("text")).collect()}
+    by = {}
+    for c, t, r, x in rows:
+        by.setdefault(c, []).append((-1 if t is None else t, r or "", tie[x or ""], x or ""))
+    got = {}
+    for r in chat.windows(given.repartition(7), budget=300, history=50).orderBy("conv_id", "window").collect():
+        got.setdefault(r.conv_id, []).append((r.formatted, [(x.start, x.end) for x in r.loss]))
+    assert got == {c: plain_windows([(r, x) for _, r, _, x in sorted(v)], 300, 50, chat.HISTORY_TURNS) for c, v in by.items()}
+
+
 def test_chat_of_odd_tables(spark):
     schema = "conv_id long, turn long, role string, text string"
     assert chat.report(chat.windows(spark.createDataFrame([], schema))).count() == 0
