@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodex.llm import binary_packing, chat, decontam, hmm, imatch, jaccard, licenses, packing, periodic, quality, secret_scan, toxicity
+from lodex.llm import binary_packing, chat, decontam, hmm, imatch, jaccard, licenses, packing, periodic, quality, secret_scan, toxicity, whitening
 from lodex.llm.common import fold, table
 
 
@@ -74,7 +74,12 @@ def op12_binary_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return binary_packing.sequences(binary_packing.decompose(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), with_ids=False))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_imatch_fingerprints, op2_quality_classifier, op3_hmm_scores, op4_secret_scan, op5_ngram_jaccard_join, op6_best_fit_packing, op7_toxicity, op8_benchmark_decontamination, op9_license_scan, op10_chat_formatting, op11_periodic_runs, op12_binary_packing)}
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return whitening.whiten(vectors, whitening.fit(vectors), keep=["vec_id"])
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_imatch_fingerprints, op2_quality_classifier, op3_hmm_scores, op4_secret_scan, op5_ngram_jaccard_join, op6_best_fit_packing, op7_toxicity, op8_benchmark_decontamination, op9_license_scan, op10_chat_formatting, op11_periodic_runs, op12_binary_packing, op13_embedding_whitening)}
 
 _WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 
