@@ -19,7 +19,6 @@ from collections.abc import Iterator
 from unicodedata import is_normalized
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -45,15 +44,15 @@ class ChunkIds(dict):
     letters goes to the tokenizer's merges as it is, written in its alphabet of bytes; any other chunk takes the whole way.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, special_as_text: bool = False):
         super().__init__({"": b""})
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.tokenizer.encode_special_tokens = special_as_text
         self.merge = self.tokenizer.model.tokenize
         level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        self.letters = {ord(c): level.pre_tokenize_str(c)[0][0] for c in map(chr, range(0xC0, 0x250)) if c.isalpha()}
+        self.letters = {ord(c): level.pre_tokenize_str(c)[0][0] for c in map(chr, range(0x80, 0x250)) if c.isalpha()}
         self.marks = {c: self.encode(c) for c in ".,"}
 
     def encode(self, chunk: str) -> bytes:
@@ -88,26 +87,27 @@ class ChunkIds(dict):
         for c in chunks.difference(self):
             end = c[-1]
             w = c[:-1] if end in ".," and c[:-1].isalpha() and "İ" not in c else c  # its small form ends in a mark
-            low = w.lower() if w.isascii() else w
+            low = w.lower() if w.isascii() and "<|" not in w else w  # a special token's string is one in small letters only
             ids = self.get(low)
             if ids is None:
                 self[low] = ids = self.word(low)
             self[c] = ids if w is c else ids + self.marks[end]
 
 
-_known: dict[str, ChunkIds] = {}
+_known: dict[tuple[str, bool], ChunkIds] = {}
 
 
-def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
+def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True, special_as_text: bool = False) -> DataFrame:
     """Rows `id_col`, piece, start, length, ids_crc32 and, if asked for, ids (little-endian unsigned 32-bit).
 
     A document's ids are those of its text and then `end_id`; only longer ones are cut, into pieces of `capacity`. A
     null or empty text has the end id alone; repeated rows give repeated pieces, null ids pieces with a null id; an empty
-    table gives an empty result. Further columns are left out. `tokenizer` is a file's path.
+    table gives an empty result. Further columns are left out. `tokenizer` is a file's path. The string of a special token in a
+    text is that token, as the tokenizer has it, or with `special_as_text` as any other text.
     """
 
     def cut(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = _known.setdefault(tokenizer, None) or _known.__setitem__(tokenizer, ChunkIds(tokenizer)) or _known[tokenizer]
+        ids = _known.get((tokenizer, special_as_text)) or _known.setdefault((tokenizer, special_as_text), ChunkIds(tokenizer, special_as_text))
         end = np.asarray([end_id], "<u4").tobytes()
         for whole in it:
             for at in range(0, whole.num_rows, 500):
@@ -176,40 +176,42 @@ def pack_pieces(pieces: DataFrame, capacity: int = 4096, length_col: str = "leng
     Lengths are from 1 to `capacity`, else the job fails; null lengths fail, too. Repeated rows are packed one by one.
     An empty table gives an empty result. Whether the number of sequences is the least is what certificate() tells: bins with
     at most a 512th free stay as they are, and after `max_rounds`, or where rounds no longer gain, so does the rest.
-    Columns named like the added ones, in letters of either case, are replaced.
+    Lengths come back as longs, all other columns as they were, whatever their names; columns named like the added ones, in letters of either case, are replaced.
     """
-    spark, names = pieces.sparkSession, [f.name for f in others(pieces, "sequence_id", "offset")]
-    length = F.col(length_col)
+    kept = others(pieces, "sequence_id", "offset")
+    names, size = [f"c{i}" for i in range(len(kept))], f"c{[f.name for f in kept].index(length_col)}"  # no name of a caller's meets ours
+    length = F.col(size)
+    given = pieces.select(*(F.col(f"`{f.name}`").alias(c) for f, c in zip(kept, names, strict=True)))
     fits = F.when((length >= 1) & (length <= capacity), length).otherwise(F.raise_error(F.lit("a piece's length isn't between 1 and the capacity")))
-    pieces = stored(pieces.select(*[fits.cast("long").alias(c) if c == length_col else c for c in names]), "pieces")
+    pieces = stored(given.withColumn(size, fits.cast("long")), "pieces")
     whole = pieces.where(length == capacity).withColumn("sequence_id", -1 - F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long"))
-    counts = pieces.where(length < capacity).groupBy(length_col).count().collect()  # at most `capacity` rows
+    counts = pieces.where(length < capacity).groupBy(size).count().collect()  # at most `capacity` rows
     lengths, n = np.array([r[0] for r in counts], int), np.array([r[1] for r in counts], float)
     bound = lower_bound(dual_feasible(lengths, capacity, n))
     done, settled = [whole], 0
     seed, rest = F.xxhash64(*names, F.spark_partition_id(), F.monotonically_increasing_id()), pieces.where(length < capacity)
-    rest = rest.withColumn("_deal", seed).withColumn("_bin", F.lit(None).cast("long"))
+    rest = rest.withColumn("deal", seed).withColumn("bin", F.lit(None).cast("long"))
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rest.schema) + ", sequence_id long, offset long, open boolean"
     tokens, items, before = float((lengths * n).sum()), float(n.sum()), 1 << 62
     for k in range(max_rounds if items else 0):
         groups = max(1, math.ceil(tokens / (capacity * GROUP_BINS)), math.ceil(items / GROUP_PIECES))
-        dealt = rest.withColumn("_group", F.pmod(F.xxhash64("_deal", F.lit(k)), F.lit(groups)).cast("int"))
-        out = dealt.groupBy("_group").applyInPandas(_pack_group(capacity, length_col, k), ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in dealt.schema if f.name != "_group") + ", sequence_id long, offset long, _open boolean")
-        out = stored(out, f"packed-{k}")
+        dealt = rest.withColumn("group", F.pmod(F.xxhash64("deal", F.lit(k)), F.lit(groups)).cast("int"))
+        out = stored(dealt.groupBy("group").applyInArrow(_pack_group(capacity, size, k), schema), f"packed-{k}")
         first = F.col("offset") == 0
-        s = out.agg(F.count_if(first & ~F.col("_open")).alias("shut"), F.count_if(first & F.col("_open")).alias("open"), F.sum(F.when(F.col("_open"), length)).alias("tokens"), F.count_if("_open").alias("items")).first()
+        s = out.agg(F.count_if(first & ~F.col("open")).alias("shut"), F.count_if(first & F.col("open")).alias("open"), F.sum(F.when(F.col("open"), length)).alias("tokens"), F.count_if("open").alias("items")).first()
         settled += s.shut
         final = groups == 1 or not s.open or settled + s.open <= bound or (s.open >= before and k > 3)
-        done.append((out if final else out.where("not _open")).select(*names, "sequence_id", "offset"))
+        done.append((out if final else out.where("not open")).select(*names, "sequence_id", "offset"))
         if final or k == max_rounds - 1:
             if not final:
-                done.append(out.where("_open").select(*names, "sequence_id", "offset"))
+                done.append(out.where("open").select(*names, "sequence_id", "offset"))
             break
-        rest = out.where("_open").withColumn("_bin", F.col("sequence_id")).drop("sequence_id", "offset", "_open")
+        rest = out.where("open").withColumn("bin", F.col("sequence_id")).drop("sequence_id", "offset", "open")
         tokens, items, before = float(s.tokens), float(s["items"]), s.open
     result = done[0]
     for d in done[1:]:
         result = result.unionByName(d)
-    return result
+    return result.select(*(F.col(c).alias(f.name) for f, c in zip(kept, names, strict=True)), "sequence_id", "offset")
 
 
 def certificate(packed: DataFrame, capacity: int = 4096, length_col: str = "length") -> DataFrame:
@@ -220,13 +222,13 @@ def certificate(packed: DataFrame, capacity: int = 4096, length_col: str = "leng
     return packed.sparkSession.createDataFrame([(n, bound, n == bound)], "sequences long, bound long, certified boolean")
 
 
-def _pack_group(capacity: int, length_col: str, k: int):
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("_deal", kind="stable").reset_index(drop=True)
-        lengths = rows[length_col].to_numpy(np.int64)
+def _pack_group(capacity: int, size: str, k: int):
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        rows = rows.drop_columns("group").sort_by("deal")
+        lengths = rows[size].to_numpy().astype(np.int64)
         bins = best_fit(lengths, capacity)
         if k:  # where the documents came from fewer bins, those stay
-            old = pd.factorize(rows["_bin"])[0]
+            old = np.unique(rows["bin"].to_numpy(), return_inverse=True)[1]
             bins = old if old.max() < bins.max() else bins
         used = np.bincount(bins, lengths)
         sums = dual_feasible(lengths, capacity)
@@ -237,6 +239,9 @@ def _pack_group(capacity: int, length_col: str, k: int):
         offset = np.empty(len(bins), np.int64)
         offset[order] = starts - np.maximum.accumulate(np.where(first, starts, 0))
         open_bin = (capacity - used > capacity // 512) & (gap > 1e-6)
-        return rows.drop(columns="_group").assign(sequence_id=(k << 56) + (int(key[0]) << 24) + bins, offset=offset, _open=open_bin[bins])
+        added = {"sequence_id": (k << 56) + (key[0].as_py() << 24) + bins, "offset": offset, "open": open_bin[bins]}
+        for name, values in added.items():
+            rows = rows.append_column(name, pa.array(values))
+        return rows
 
     return run

@@ -607,7 +607,7 @@ def test_token_pieces(frame, tokenizer):
     from tokenizers import Tokenizer
 
     rng = random.Random(9)
-    alphabet = "aB é'É.,!²½ßÑ_-́ \t\n\x1c\x85İΣς日3x9'sre'llﬁ한ǅ"
+    alphabet = "aB é'É.,!²½ßÑ_-́ \t\n\x1c\x85İΣς日3x9'sre'llﬁ한ǅªºµ"
     texts = [*ODD, "don't it's O'REILLY we'll", *("".join(rng.choice(alphabet) for _ in range(rng.randrange(60))) for _ in range(800))]
     plain = Tokenizer.from_file(tokenizer)
     got = {}
@@ -620,6 +620,37 @@ def test_token_pieces(frame, tokenizer):
         assert [r.start for r in own] == list(range(0, len(ids), 8)) and all(r.ids_crc32 == zlib.crc32(r.ids) and r.length == len(r.ids) // 4 for r in own)
 
 
+def test_ids_of_single_characters(tokenizer):
+    ids = packing.ChunkIds(tokenizer)
+    for c in map(chr, range(0x250)):
+        for chunk in (c, f"a{c}", f"{c}b", f"1{c}", f"{c}2", f"m{c}n.", f"{c}{c}", f"A{c}É", f"{c}'s", f"-{c}-"):
+            if set(chunk) & set(" \n"):
+                continue
+            ids.learn({chunk})
+            assert ids[chunk] == ids.encode(chunk), repr(chunk)
+
+
+def test_special_strings_and_ordinals(frame, tokenizer):
+    from tokenizers import Tokenizer
+
+    texts = ["a<|startoftext|>b", "<|endoftext|>", "x <|endoftext|>, y.", "<|ENDOFTEXT|>", "nº 5", "µm", "1ª", "10µm", "São 2ª, ½º"]
+    for as_text in (False, True):
+        plain = Tokenizer.from_file(tokenizer)
+        plain.encode_special_tokens = as_text
+        for r in packing.token_pieces(frame(texts), tokenizer, special_as_text=as_text).collect():
+            assert np.frombuffer(r.ids, "<u4").tolist() == [*plain.encode(texts[r.doc_id], add_special_tokens=False).ids, 1], texts[r.doc_id]
+
+
+def test_packing_keeps_all_columns(spark, monkeypatch):
+    monkeypatch.setattr(packing, "GROUP_BINS", 2)
+    rng = random.Random(4)
+    rows = [(i, rng.randrange(1, 30), f"b{i}" if i % 3 else None, i if i % 2 else None, i / 7, [i] * (i % 3), (i, None)) for i in range(200)]
+    pieces = spark.createDataFrame(rows, "_bin long, length int, _open string, _deal int, `_group` double, `c0` array<int>, `a.b` struct<x:int,y:string>")
+    got = packing.pack_pieces(pieces, 32).collect()
+    assert sorted(tuple(map(repr, r[:7])) for r in got) == sorted(tuple(map(repr, r)) for r in pieces.collect())
+    assert check_packing(got, 32) >= sum(r[1] for r in rows) / 32
+
+
 def check_packing(rows, capacity):
     bins = {}
     for r in rows:
