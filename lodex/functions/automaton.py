@@ -15,6 +15,8 @@ import numpy as np
 
 #: Characters of a lane, and of texts that are walked together.
 LANE, BLOCK = 512, 4_000_000
+#: States times symbols up to which all steps are in one table, with the failure links followed beforehand.
+CELLS = 1 << 24
 _WORD = np.array([chr(c) in string.ascii_letters + string.digits + "_" for c in range(0x80)] + [False])
 
 
@@ -50,6 +52,20 @@ class Automaton:
     def sizes(self) -> np.ndarray:
         return np.array([len(t) for t in self.terms] or [0], np.int64)
 
+    @cached_property
+    def steps(self) -> np.ndarray | None:
+        """Each state's next one for each symbol, or none where that were too many."""
+        if len(self.fail) * self.width > CELLS:
+            return None
+        table = np.zeros((len(self.fail), self.width), np.int32)
+        parents, level = self.keys // self.width, np.array([0])
+        while len(level):  # a state has its suffix's steps, but for its own edges
+            table[level] = table[self.fail[level]]
+            edges = np.arange(*np.searchsorted(parents, [level[0], level[-1] + 1]))
+            table[parents[edges], self.keys[edges] % self.width] = edges + 1
+            level = edges + 1
+        return table.ravel()
+
     def step(self, state: np.ndarray, symbol: np.ndarray) -> np.ndarray:
         """The states after reading a symbol each."""
         out = self.root[symbol]
@@ -94,7 +110,7 @@ class Automaton:
         lanes, at, states = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for t in range(int(length.max(initial=0))):
             m = np.searchsorted(-length, -t)  # lanes longer than t
-            state = self.step(state[:m], symbol[first[:m] + t])
+            state = self.step(state[:m], symbol[first[:m] + t]) if self.steps is None else self.steps[state[:m] * self.width + symbol[first[:m] + t]]
             hit = np.flatnonzero(ending[state])
             if len(hit):
                 hit = hit[first[hit] + t >= begin[hit]]  # an overlap's places are the lane's before
@@ -140,7 +156,7 @@ def automaton(terms: tuple[str, ...]) -> Automaton:
     sizes = np.array([len(t) for t in known], np.int64)
     points = np.frombuffer("".join(known).encode("utf-32-le"), np.uint32)
     used = np.unique(points)
-    symbols = np.zeros(int(used.max(initial=0)) + 2, np.int64)
+    symbols = np.zeros(int(used.max(initial=0)) + 2, np.int32)
     symbols[used] = np.arange(1, len(used) + 1)
     width, starts = len(used) + 1, np.cumsum(sizes) - sizes
     state, levels, n = np.zeros(len(known), np.int64), [], 1

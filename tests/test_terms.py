@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from lodex.functions import automaton as A
@@ -21,7 +22,10 @@ def plain_places(terms, texts):
     return out
 
 
-def test_all_places(monkeypatch):
+@pytest.mark.parametrize("cells", [0, 1 << 24])
+def test_all_places(monkeypatch, cells):
+    monkeypatch.setattr(A, "CELLS", cells)
+    A.automaton.cache_clear()
     monkeypatch.setattr(A, "LANE", 7)
     monkeypatch.setattr(A, "BLOCK", 60)
     rng = random.Random(1)
@@ -53,27 +57,21 @@ def test_no_terms_and_no_texts():
     assert A.first_of(A.automaton(("a",)).occurrences(["b"]), np.array([0]), 1).tolist() == [-1]
 
 
-def test_many_terms_cost_what_few_do():
-    """Steps, not seconds: the walk takes as many, and each looks at a bounded number of edges."""
+def test_many_terms_cost_what_few_do(monkeypatch):
+    """Steps, not seconds: the walk takes as many, with failure links no more than two edges are looked at for each character."""
+    monkeypatch.setattr(A, "CELLS", 0)
     rng = random.Random(3)
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(12))
     texts = [" ".join(word() for _ in range(60)) for _ in range(50)]
-    looked = {}
+    steps, looked, search = {}, {}, np.searchsorted
     for n in (20, 10_000):
-        a, count = A.automaton(tuple(word() for _ in range(n))), [0]
-        step = A.Automaton.step
-
-        def counted(self, state, symbol, count=count, step=step):
-            count[0] += 1
-            return step(self, state, symbol)
-
-        A.Automaton.step = counted
-        try:
-            a.occurrences(texts)
-        finally:
-            A.Automaton.step = step
-        looked[n] = count[0]
-    assert looked[20] == looked[10_000]
+        a = A.automaton(tuple(word() for _ in range(n)))
+        own = []
+        monkeypatch.setattr(A.np, "searchsorted", lambda x, v, own=own: own.append(np.size(v)) or search(x, v))
+        a.occurrences(texts)
+        monkeypatch.setattr(A.np, "searchsorted", search)
+        steps[n], looked[n] = sum(v == 1 for v in own), sum(own)
+    assert looked[20] < looked[10_000] < 2.5 * sum(map(len, texts)) * (1 + 11 / 512)
 
 
 def by_pattern(name, given):
