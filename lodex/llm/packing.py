@@ -10,12 +10,14 @@ best-fit decreasing runs again. A group never uses more bins for given documents
 
 from __future__ import annotations
 
+import json
 import math
 import re
 import zlib
 from array import array
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from pathlib import Path
 from unicodedata import is_normalized
 
 import numpy as np
@@ -36,6 +38,11 @@ PARTS = re.compile(r"[^\W\d_]+|\d|(?:[^\w]|_)+")
 OTHER_NUMBERS = frozenset("²³¹¼½¾")
 
 
+def plain(word: str) -> bool:
+    """What the tokenizer's clean-up leaves as it is, below U+0250."""
+    return max(word) < "\u0250" and word.lower() == word and is_normalized("NFC", word)
+
+
 class ChunkIds(dict):
     """Little-endian 32-bit ids of the chunks of text between spaces or line ends.
 
@@ -54,6 +61,42 @@ class ChunkIds(dict):
         level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.letters = {ord(c): level.pre_tokenize_str(c)[0][0] for c in map(chr, range(0x80, 0x250)) if c.isalpha()}
         self.marks = {c: self.encode(c) for c in ".,"}
+        self.ranked = self.ids = None
+        self._rank(path, level)
+
+    def _rank(self, path: str, level) -> None:
+        """The merges over ranks, where the vocabulary's words end in </w>. A word's end is a line end here, which no word
+        has: the last byte takes it first, then all merges go in their order."""
+        import tiktoken
+
+        told = json.loads(Path(path).read_text())["model"]
+        vocabulary, merges = told["vocab"], [m.split(" ") if isinstance(m, str) else m for m in told["merges"]]
+        letters = {level.pre_tokenize_str(chr(b))[0][0][-1]: bytes([b]) for b in range(0xC0) if b != 10}  # a character's last byte is below 0xC0
+        letters |= {level.pre_tokenize_str(chr((b & 31) << 6))[0][0][0]: bytes([b]) for b in range(0xC2, 0xCA)}  # the first bytes below U+0280
+        spelled = lambda t: b"".join(letters[c] for c in t.removesuffix("</w>")) + b"\n" * t.endswith("</w>")
+        if told.get("end_of_word_suffix") != "</w>":
+            return
+        ranks, ids = {bytes([b]): b for b in range(256)}, [0] * 256
+        for t in (*letters, *(f"{c}</w>" for c in letters), *(a + b for a, b in merges)):
+            if set(t.removesuffix("</w>")) <= set(letters):
+                piece = spelled(t)
+                if len(piece) == 1:
+                    ids[piece[0]] = vocabulary[t]
+                elif piece not in ranks:
+                    ranks[piece] = len(ids)
+                    ids.append(vocabulary[t])
+        self.ranked = tiktoken.Encoding("ranked", pat_str=r"[^\n]+\n", mergeable_ranks=ranks, special_tokens={})
+        self.ids = np.array(ids, "<u4")
+        self.ends = np.zeros(len(ids), bool)
+        self.ends[[r for piece, r in ranks.items() if piece.endswith(b"\n")]] = True
+
+    def merged(self, words: list[str]) -> Iterator[bytes]:
+        """Ids of words of small letters below U+0250, all at once."""
+        ranks = np.array(self.ranked.encode_ordinary("".join(w + "\n" for w in words)), np.int64)
+        data, at = self.ids[ranks].tobytes(), 0
+        for end in (4 * np.flatnonzero(self.ends[ranks]) + 4).tolist():
+            yield data[at:end]
+            at = end
 
     def encode(self, chunk: str) -> bytes:
         return np.asarray(self.tokenizer.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
@@ -63,7 +106,7 @@ class ChunkIds(dict):
         if word.isascii():
             if word.isalpha():
                 return array("I", [t.id for t in self.merge(word)]).tobytes()
-        elif max(word) < "\u0250" and word.lower() == word and is_normalized("NFC", word) and OTHER_NUMBERS.isdisjoint(word):
+        elif plain(word) and OTHER_NUMBERS.isdisjoint(word):
             if word.isalpha():
                 return array("I", [t.id for t in self.merge(word.translate(self.letters))]).tobytes()
         else:
@@ -84,14 +127,19 @@ class ChunkIds(dict):
         if len(self) + len(chunks) > CACHED:
             self.clear()
             self[""] = b""
+        parted = []
         for c in chunks.difference(self):
             end = c[-1]
             w = c[:-1] if end in ".," and c[:-1].isalpha() and "İ" not in c else c  # its small form ends in a mark
-            low = w.lower() if w.isascii() and "<|" not in w else w  # a special token's string is one in small letters only
-            ids = self.get(low)
+            parted.append((c, w.lower() if w.isascii() and "<|" not in w else w, "" if w is c else end))  # a special token's string is one in small letters only
+        if self.ranked:
+            words = [w for w in {w for _, w, _ in parted}.difference(self) if w.isalpha() and (w.isascii() or plain(w))]
+            self.update(zip(words, self.merged(words), strict=True))
+        for c, w, end in parted:
+            ids = self.get(w)
             if ids is None:
-                self[low] = ids = self.word(low)
-            self[c] = ids if w is c else ids + self.marks[end]
+                self[w] = ids = self.word(w)
+            self[c] = ids + self.marks[end] if end else ids
 
 
 _known: dict[tuple[str, bool], ChunkIds] = {}

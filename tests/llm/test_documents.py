@@ -630,6 +630,15 @@ def test_ids_of_single_characters(tokenizer):
             assert ids[chunk] == ids.encode(chunk), repr(chunk)
 
 
+def test_merges_over_ranks(tokenizer):
+    ids, rng = packing.ChunkIds(tokenizer), random.Random(5)
+    assert ids.ranked
+    known = [t.removesuffix("</w>") for t in ids.tokenizer.get_vocab() if t.removesuffix("</w>").isascii() and t.removesuffix("</w>").isalpha() and t.islower()]
+    words = known + ["".join(rng.choice(known) for _ in range(rng.randrange(1, 4))) for _ in range(20_000)] + ["".join(rng.choice("etaoinshrdluéüñßªºµøęž") for _ in range(rng.randrange(1, 16))) for _ in range(20_000)] + list("abcxyz") + ["z" * 3000]
+    for w, got in zip(words, ids.merged(words), strict=True):
+        assert np.frombuffer(got, "<u4").tolist() == [t.id for t in ids.merge(w.translate(ids.letters))], w
+
+
 def test_special_strings_and_ordinals(frame, tokenizer):
     from tokenizers import Tokenizer
 
