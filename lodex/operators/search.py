@@ -80,15 +80,21 @@ def search_batch(listings: DataFrame, queries: DataFrame) -> DataFrame:
         own = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(n)) == k)
         low = listings.select("info_hash", display_name().alias("name"), "created_at", text.ascii_lower(F.col("name")).alias("_a"), text.ascii_lower(F.col("clean_name")).alias("_b"))
         hit = low.join(F.broadcast(own), F.forall("words", lambda w: F.contains(F.col("_a"), w) | F.contains(F.col("_b"), w))).drop("_a", "_b", "words")
-        total = hit.groupBy("query_id").agg(F.count("*").alias("total"))
-        order = Window.partitionBy("query_id").orderBy(F.desc("created_at"), "info_hash")
-        placed = hit.withColumn("place", F.row_number().over(order)).where(F.col("place") <= MOST_OFFSET + MOST_PAGE_SIZE)
-        page = placed.where((F.col("place") > (F.col("page") - 1) * F.col("page_size")) & (F.col("place") <= F.col("page") * F.col("page_size")))
-        page = page.join(F.broadcast(total), "query_id").select("query_id", "total", "place", "info_hash", "name")
+        page = pages(hit)
         out = page if out is None else out.unionByName(page)
     return out
 
 
+def pages(hit: DataFrame) -> DataFrame:
+    """query_id, total, place, info_hash, name of the pages of all hits (query_id, page, page_size, info_hash, name, created_at):
+    newest first, then by key."""
+    total = hit.groupBy("query_id").agg(F.count("*").alias("total"))
+    order = Window.partitionBy("query_id").orderBy(F.desc("created_at"), "info_hash")
+    placed = hit.withColumn("place", F.row_number().over(order)).where(F.col("place") <= MOST_OFFSET + MOST_PAGE_SIZE)
+    page = placed.where((F.col("place") > (F.col("page") - 1) * F.col("page_size")) & (F.col("place") <= F.col("page") * F.col("page_size")))
+    return page.join(F.broadcast(total), "query_id").select("query_id", "total", "place", "info_hash", "name")
+
+
 def links(listings: DataFrame, trackers: list[str] | None = None) -> DataFrame:
     return listings.select("info_hash", keys.magnet(F.col("info_hash"), display_name(), trackers).alias("link"))
 

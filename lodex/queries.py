@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodex.functions import keys, text
-from lodex.operators import charts, merge, rank, requests, review, rules, schedule, search, stats
+from lodex.operators import charts, merge, rank, requests, review, rules, schedule, search, search_index, stats
 from lodex.plans import jobs
 from lodex.sources import tables as T
 from lodex.sources.shared import scratch
@@ -59,10 +59,11 @@ def latest_page(spark, sf_dir):
     return search.latest(T.listing(spark, sf_dir), 2)
 
 
-@query(
-    "SELECT query_id, total, place, info_hash, name FROM (SELECT query_id, info_hash, name, page, page_size, count(*) OVER (PARTITION BY query_id) AS total, row_number() OVER (PARTITION BY query_id ORDER BY created_at DESC, info_hash)::INTEGER AS place FROM hits) WHERE place > (page - 1) * page_size AND place <= page * page_size",
-    (LISTING, "asked(query_id, a, b, page, page_size) AS (VALUES (1::BIGINT, 'the', 'and', 1, 20), (2, 'ist', '', 2, 5), (3, '', '', 1, 3), (4, 'que', 'los', 101, 100), (5, '100%', '', 1, 20))", f"hits AS (SELECT * FROM listing, asked WHERE contains({LOW_NAME}, a) AND contains({LOW_NAME}, b))"),
-)
+_PAGES = "SELECT query_id, total, place, info_hash, name FROM (SELECT query_id, info_hash, name, page, page_size, count(*) OVER (PARTITION BY query_id) AS total, row_number() OVER (PARTITION BY query_id ORDER BY created_at DESC, info_hash)::INTEGER AS place FROM hits) WHERE place > (page - 1) * page_size AND place <= page * page_size"
+_HITS = f"hits AS (SELECT * FROM listing, asked WHERE contains({LOW_NAME}, a) AND contains({LOW_NAME}, b))"
+
+
+@query(_PAGES, (LISTING, "asked(query_id, a, b, page, page_size) AS (VALUES (1::BIGINT, 'the', 'and', 1, 20), (2, 'ist', '', 2, 5), (3, '', '', 1, 3), (4, 'que', 'los', 101, 100), (5, '100%', '', 1, 20))", _HITS))
 def search_batch(spark, sf_dir):
     asked = spark.createDataFrame(ASKED, "query_id long, q string, page string, page_size string")
     return search.search_batch(T.listing(spark, sf_dir), asked)
