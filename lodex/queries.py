@@ -69,6 +69,16 @@ def search_batch(spark, sf_dir):
     return search.search_batch(T.listing(spark, sf_dir), asked)
 
 
+@query(_PAGES, (LISTING, "asked(query_id, a, b, page, page_size) AS (VALUES (1::BIGINT, 'the', 'and', 1, 20), (2, 'ist', '', 2, 5), (3, '', '', 1, 3), (4, 'que', 'los', 101, 100), (5, '100%', '', 1, 20), (6, 'ie', 'dieser', 1, 50), (7, 'réau', 'é', 1, 50), (8, 'e', 'a', 3, 10), (9, 'thing', 'edesst', 1, 100))", _HITS))
+def search_index_batch(spark, sf_dir):
+    """An index of all listings in two segments, and a table of queries of long, short and no keywords by it."""
+    out, listings = scratch(spark, "search"), T.listing(spark, sf_dir)
+    for k in range(2):
+        search_index.add(listings.where(F.col("created_at") / 60 % 2 == k), out, k)
+    asked = [*ASKED, (6, "ie DIESER", None, "50"), (7, "réau é", "1", "50"), (8, "E a", "3", "10"), (9, "thing edesst", None, "100")]
+    return search_index.search_batch(spark, out, spark.createDataFrame(asked, "query_id long, q string, page string, page_size string"))
+
+
 @query("SELECT info_hash, 'magnet:?xt=urn:btih:' || info_hash || '&dn=' || replace(url_encode(name), '%20', '+') || '&tr=udp%3A%2F%2Ft.example%3A80%2Fa' AS link FROM listing", (LISTING,))
 def listing_links(spark, sf_dir):
     return search.links(T.listing(spark, sf_dir), ["udp://t.example:80/a", " "])
