@@ -38,6 +38,13 @@ PARTS = re.compile(r"[^\W\d_]+|\d|(?:[^\w]|_)+")
 OTHER_NUMBERS = frozenset("²³¹¼½¾")
 
 
+#: How the tokenizer parts a text of small letters below U+0250 (a fixed value), and the white space in it.
+MARKS = re.compile(r"'(?:s|t|re|ve|m|ll|d)|[^\W\d_²³¹¼½¾]+|[\d²³¹¼½¾]|(?:[^\w\t-\r \x85\xa0]|_)+")
+SPACES = r"\t-\r \x85\xa0"
+#: Stretches without letters and blanks.
+ODD = re.compile("[^ " + "".join(c for c in map(chr, range(0x250)) if c.isalpha()) + "]+")
+
+
 def plain(word: str) -> bool:
     """What the tokenizer's clean-up leaves as it is, below U+0250."""
     return max(word) < "\u0250" and word.lower() == word and is_normalized("NFC", word)
@@ -62,6 +69,7 @@ class ChunkIds(dict):
         self.letters = {ord(c): level.pre_tokenize_str(c)[0][0] for c in map(chr, range(0x80, 0x250)) if c.isalpha()}
         self.marks = {c: self.encode(c) for c in ".,"}
         self.ranked = self.ids = None
+        self.odd: dict[str, str] = {}
         self._rank(path, level)
 
     def _rank(self, path: str, level) -> None:
@@ -85,11 +93,32 @@ class ChunkIds(dict):
                 elif piece not in ranks:
                     ranks[piece] = len(ids)
                     ids.append(vocabulary[t])
-        self.ranked = tiktoken.Encoding("ranked", pat_str=r"[^\n]+\n", mergeable_ranks=ranks, special_tokens={})
+        self.ranked = tiktoken.Encoding("ranked", pat_str=rf"[^{SPACES}]+\n", mergeable_ranks=ranks, special_tokens={})
         self.ids = np.array(ids, "<u4")
         self.ends = np.zeros(len(ids), bool)
         self.ends[[r for piece, r in ranks.items() if piece.endswith(b"\n")]] = True
 
+    def text(self, text: str) -> bytes | None:
+        """Ids of a whole text of characters below U+0250 without a special token's string; none for others."""
+        if self.ranked is None or "<|" in text:
+            return None
+        low = text.lower()
+        if not low.isascii() and (max(low) >= "\u0250" or max(text) >= "\u0250" or not is_normalized("NFC", text)):
+            return None
+        low = low.replace("\n", " ")
+        marked = "\n".join(MARKS.findall(low)) if "'" in low else ODD.sub(self._odd, low).replace(" ", "\n ")
+        ranks = self.ranked.encode_ordinary(marked + "\n")
+        return self.ids[np.frombuffer(array("I", ranks), np.uint32)].tobytes()
+
+    def _odd(self, m: re.Match) -> str:
+        """A stretch without letters, its parts and the letters around it told apart by line ends."""
+        known = self.odd.get(m[0])
+        if known is None:
+            if len(self.odd) > CACHED:
+                self.odd.clear()
+            known = self.odd[m[0]] = "\n" + "\n".join(MARKS.findall(m[0])) + "\n"
+        return known
+
     def merged(self, words: list[str]) -> Iterator[bytes]:
         """Ids of words of small letters below U+0250, all at once."""
         ranks = np.array(self.ranked.encode_ordinary("".join(w + "\n" for w in words)), np.int64)
@@ -160,11 +189,12 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id:
         for whole in it:
             for at in range(0, whole.num_rows, 500):
                 batch = whole.slice(at, 500)
-                chunks = [(t or "").replace("\n", " ").split(" ") for t in batch.column(1).to_pylist()]
-                ids.learn(set().union(*chunks))
+                found = [ids.text(t or "") for t in batch.column(1).to_pylist()]
+                chunks = {i: (batch.column(1)[i].as_py() or "").replace("\n", " ").split(" ") for i, data in enumerate(found) if data is None}
+                ids.learn(set().union(*chunks.values()))
                 rows: list[tuple] = []
-                for doc, own in zip(batch.column(0).to_pylist(), chunks, strict=True):
-                    data = b"".join(map(ids.__getitem__, own)) + end
+                for i, (doc, data) in enumerate(zip(batch.column(0).to_pylist(), found, strict=True)):
+                    data = (b"".join(map(ids.__getitem__, chunks[i])) if data is None else data) + end
                     for k, a in enumerate(range(0, len(data), 4 * capacity)):
                         piece = data[a : a + 4 * capacity]
                         rows.append((doc, k, a // 4, len(piece) // 4, zlib.crc32(piece), piece))

@@ -622,12 +622,17 @@ def test_token_pieces(frame, tokenizer):
 
 def test_ids_of_single_characters(tokenizer):
     ids = packing.ChunkIds(tokenizer)
-    for c in map(chr, range(0x250)):
+    for c in map(chr, [*range(0x260), 0x307, 0x3A3, 0x2C65]):
         for chunk in (c, f"a{c}", f"{c}b", f"1{c}", f"{c}2", f"m{c}n.", f"{c}{c}", f"A{c}É", f"{c}'s", f"-{c}-"):
             if set(chunk) & set(" \n"):
                 continue
             ids.learn({chunk})
             assert ids[chunk] == ids.encode(chunk), repr(chunk)
+        text = f"a{c} {c}b 1{c}2 {c}{c}. A{c}É {c}'s -{c}- don{c}'t\n{c}\t'{c}'ll"
+        for other in (text.replace("'", ""), text.replace("'", "").replace(" ", "  ")):
+            assert ids.text(other) in (None, ids.encode(other)), repr(other)
+        assert ids.text(text) in (None, ids.encode(text)), repr(text)
+        assert ids.text(text) is not None or not c.isascii() or c == "<", repr(text)
 
 
 def test_merges_over_ranks(tokenizer):
