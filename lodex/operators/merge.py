@@ -20,6 +20,10 @@ def first_of_key(rows: DataFrame, order: list, key: str = "info_hash") -> DataFr
     return rows.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where("_n = 1").drop("_n")
 
 
+def without(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    return rows.join(keys.select("info_hash"), "info_hash", "left_anti")
+
+
 def fresh(rows: DataFrame, target: DataFrame, blocked: DataFrame, order: list) -> DataFrame:
     """Rows to insert: the first of each key, if it is neither in the target nor blocked. All three steps share the
     exchange on the key."""

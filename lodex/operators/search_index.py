@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from lodex.functions import text
 from lodex.operators import rank, search
-from lodex.sources.shared import stored
+from lodex.sources.shared import folders, stored
 
 BLOCK_ROWS = 1 << 16
 #: Trigrams of a query that are intersected at most, and how much more frequent than its rarest one they may be: a list that is
@@ -63,9 +63,7 @@ def _read(spark: SparkSession, segment: str, what: str, schema: str) -> DataFram
 
 
 def segments(spark: SparkSession, path: str) -> list[str]:
-    hadoop, conf = spark.sparkContext._jvm.org.apache.hadoop.fs, spark.sparkContext._jsc.hadoopConfiguration()
-    at = hadoop.Path(path)
-    return sorted(str(s.getPath()) for s in at.getFileSystem(conf).listStatus(at) if s.getPath().getName().startswith("segment="))
+    return folders(spark, path, "segment=")
 
 
 def listings(spark: SparkSession, path: str) -> DataFrame:

@@ -548,10 +548,25 @@ def stream_dedupe(spark, sf_dir):
     return spark.read.schema(kept.schema).parquet(f"{out}/rows").select("info_hash")
 
 
-@query("SELECT route AS key, count(*) AS delta FROM routed GROUP BY route UNION ALL SELECT 'inserted', count(*) FROM routed WHERE route = 'fetched' AND info_hash NOT IN (SELECT info_hash FROM blocked)", (*_ROUTED, BLOCKED))
+def fed(rows: DataFrame, by: str, parts: int = 5, **again: DataFrame) -> DataFrame:
+    """The rows as a stream of as many files, one a micro-batch, in order of `by`; then those of `again`, a file each."""
+    spark, out = rows.sparkSession, scratch(rows.sparkSession, "fed")
+    at = F.col(by).cast("double") if dict(rows.dtypes)[by] != "timestamp_ntz" else F.col(by).cast("timestamp").cast("double")
+    low, high = rows.agg(F.min(at), F.max(at)).first()
+    step = (high - low) / parts
+    for k in range(parts):
+        own = rows.where((at >= low + k * step) & ((at < low + (k + 1) * step) if k + 1 < parts else F.lit(True)))
+        own.coalesce(1).write.mode("append").parquet(out)
+    for rest in again.values():
+        rest.coalesce(1).write.mode("append").parquet(out)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(out)
+
+
+@query("SELECT route AS key, (count(*) + count(*) FILTER (WHERE doc_id % 3 = 0) + count(*) FILTER (WHERE doc_id % 5 = 0))::BIGINT AS delta FROM routed GROUP BY route UNION ALL SELECT 'inserted', count(*) FROM routed WHERE route = 'fetched' AND info_hash NOT IN (SELECT info_hash FROM blocked)", (*_ROUTED, BLOCKED))
 def stream_index(spark, sf_dir):
-    out = scratch(spark, "index")
-    records = T.records(streams.read_table(spark, sf_dir, "documents"))
+    """Seven micro-batches: all documents in five, then a third and a fifth of them again."""
+    out, docs = scratch(spark, "index"), T.table(spark, sf_dir, "documents")
+    records = T.records(fed(docs, "doc_id", third=docs.where("doc_id % 3 = 0"), fifth=docs.where("doc_id % 5 = 0")))
     finished(streams.index(records, out, lambda s: T.blocked(s, sf_dir), RULES, f"{out}/state"))
     return stats.totals(spark.read.schema("key string, delta long").parquet(f"{out}/counters")).withColumnRenamed("value", "delta")
 
@@ -559,7 +574,7 @@ def stream_index(spark, sf_dir):
 @query("SELECT 'seen' AS key, count(*) AS delta FROM events UNION ALL SELECT 'inserted', count(DISTINCT user_id) FILTER (WHERE lpad(lower(to_hex(user_id + 1)), 40, '0') NOT IN (SELECT info_hash FROM blocked)) FROM events", (BLOCKED,))
 def stream_bare_keys(spark, sf_dir):
     out = scratch(spark, "bare")
-    keys_of = streams.read_table(spark, sf_dir, "events").select(T.key_of(F.col("user_id")).alias("info_hash"), "ts")
+    keys_of = fed(T.table(spark, sf_dir, "events"), "event_id").select(T.key_of(F.col("user_id")).alias("info_hash"), "ts")
     finished(streams.index(streams.bare_records(keys_of), out, lambda s: T.blocked(s, sf_dir), None, f"{out}/state"))
     return stats.totals(spark.read.schema("key string, delta long").parquet(f"{out}/counters")).withColumnRenamed("value", "delta")
 
@@ -605,7 +620,7 @@ def stream_due(spark, sf_dir):
     """Purchases stand for replies, other events for sightings, an hour is reserved."""
     out = scratch(spark, "due")
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", streams.ROCKSDB)
-    e = streams.read_table(spark, sf_dir, "events")
+    e = fed(T.table(spark, sf_dir, "events"), "ts")
     obs = e.select(F.col("user_id").alias("addr"), F.when(F.col("event_type") == "error", 0).otherwise(6881).alias("port"), "ts", (F.col("event_type") == "purchase").alias("answered"), (F.get_json_object("props", "$.k").cast("long") * 120).alias("interval_s"))
     return kept_rows(spark, streams.due_nodes(obs, 3600.0, late="60 days"), out)
 
@@ -624,7 +639,7 @@ def kept_rows(spark, rows: DataFrame, out: str) -> DataFrame:
 def stream_bucket(spark, sf_dir):
     out = scratch(spark, "bucket")
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", streams.ROCKSDB)
-    log = request_log(streams.read_table(spark, sf_dir, "events"))
+    log = request_log(fed(T.table(spark, sf_dir, "events"), "ts"))
     rows = kept_rows(spark, streams.buckets(log, 1 / 14400, 2.0), out)
     return rows.groupBy("client").agg(F.sum("allowed").alias("allowed"), F.sum("rejected").alias("rejected"))
 
@@ -637,6 +652,6 @@ def stream_bucket_idle(spark, sf_dir):
     """Clients idle for ten hours are forgotten."""
     out = scratch(spark, "bucket")
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", streams.ROCKSDB)
-    log = request_log(streams.read_table(spark, sf_dir, "events"))
+    log = request_log(fed(T.table(spark, sf_dir, "events"), "ts"))
     rows = kept_rows(spark, streams.buckets(log, 1 / 14400, 2.0, 36000.0, "60 days"), out)
     return rows.groupBy("client").agg(F.sum("allowed").alias("allowed"), F.sum("rejected").alias("rejected"))

@@ -29,3 +29,11 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     path = scratch(df.sparkSession, what)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def folders(spark: SparkSession, path: str, prefix: str) -> list[str]:
+    """The folders or files in a folder whose names begin so, in order of their names; none if there is no such folder."""
+    hadoop, conf = spark.sparkContext._jvm.org.apache.hadoop.fs, spark.sparkContext._jsc.hadoopConfiguration()
+    at = hadoop.Path(path)
+    system = at.getFileSystem(conf)
+    return sorted(str(s.getPath()) for s in system.listStatus(at) if s.getPath().getName().startswith(prefix)) if system.exists(at) else []

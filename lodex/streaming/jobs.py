@@ -7,11 +7,10 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from lodex.functions import keys
-from lodex.operators import merge, rank, rules
+from lodex.operators import keystore, rank, rules
 from lodex.operators.requests import BURST, RATE, level
 from lodex.sources.tables import FILES
 
@@ -29,33 +28,22 @@ def dedupe(keys: DataFrame, key: str = "info_hash", ts: str = "ts", horizon: str
     return keys.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, horizon).dropDuplicatesWithinWatermark([key])
 
 
-def read_versions(spark: SparkSession, path: str, schema) -> DataFrame:
-    """A table that is appended to by batches: each batch has its folder, so a repeated batch replaces its own rows."""
-    try:
-        return spark.read.schema(schema).parquet(path).drop("batch")
-    except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        return spark.createDataFrame([], schema)
-
-
-def index(records: DataFrame, path: str, blocked: Callable[[SparkSession], DataFrame], rule: rules.Rules | None, checkpoint: str):
+def index(records: DataFrame, path: str, blocked: Callable[[SparkSession], DataFrame], rule: rules.Rules | None, checkpoint: str, buckets: int = keystore.BUCKETS):
     """Starts the indexing stream: records are screened, counted by route and inserted if new and not blocked.
 
-    Listings go to <path>/listing/batch=n, counter deltas to <path>/counters/batch=n; a batch that is run again after a
-    failure writes the same folders again. Without rules (bare keys), each record counts as seen and is inserted.
+    Listings go to <path>/listing/batch=n, counter deltas to <path>/counters/batch=n, keys to the key store <path>/keys; a batch
+    that is run again after a failure writes the same folders again. What earlier batches inserted is asked of the key
+    store, so a batch costs what it brings. Without rules (bare keys), each record counts as seen and is inserted.
     """
 
     def run(batch: DataFrame, n: int) -> None:
         spark = batch.sparkSession
         rows = rules.screened(batch, rule) if rule else batch.withColumn("route", F.lit("seen"))
         rows = rows.select(*batch.columns, "route").persist()
-        known = read_versions(spark, f"{path}/listing", batch.schema)
         passed = rows.where(F.col("route").isin("fetched", "seen")).drop("route")
-        old = spark.read.option("basePath", f"{path}/listing").schema(T.StructType([*batch.schema.fields, T.StructField("batch", T.LongType())])).parquet(f"{path}/listing").where(F.col("batch") < n) if not known.isEmpty() else known
-        new = merge.fresh(passed, old, blocked(spark), ["created_at"])
+        new = keystore.insert_ignore(passed, f"{path}/keys", n, blocked(spark), ["created_at"], buckets)
         new.write.mode("overwrite").parquet(f"{path}/listing/batch={n}")
-        inserted = spark.read.schema(batch.schema).parquet(f"{path}/listing/batch={n}").agg(F.lit("inserted").alias("key"), F.count("*").alias("delta"))
+        inserted = new.agg(F.lit("inserted").alias("key"), F.count("*").alias("delta"))
         rows.groupBy(F.col("route").alias("key")).agg(F.count("*").alias("delta")).unionByName(inserted).coalesce(1).write.mode("overwrite").parquet(f"{path}/counters/batch={n}")
         rows.unpersist()
 
