@@ -1,5 +1,7 @@
 """Jobs over small tables: what happens twice, ties, empty tables, and what the streams share with the batch forms."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -287,6 +289,48 @@ def test_bucket_audit_of_odd_logs(spark):
     assert got == {"hot": (1500, 1500), None: (1, 1)} and requests.bucket_audit(log.where("false")).count() == 0
 
 
+def plain_audit(log, rate, burst, idle=None):
+    """client → (allowed, rejected), one request after the other."""
+    out, state = {}, {}
+    for c, t in sorted(log, key=lambda r: (str(r[0]), r[1])):
+        tokens, last = state.get(c, (burst, None))
+        tokens = requests.level(tokens, last, t, rate, burst, idle)
+        yes = tokens >= 1
+        state[c] = (tokens - yes, t)
+        a, b = out.get(c, (0, 0))
+        out[c] = (a + yes, b + (not yes))
+    return out
+
+
+@pytest.mark.parametrize("idle", [None, 40.0])
+def test_bucket_sections_over_ranges(spark, idle):
+    rng = random.Random(5)
+    log, t = [], 0.0
+    for c in ("hot", None, "b"):
+        for _ in range(4000 if c == "hot" else 200):
+            t += rng.choice([0, 0, 0.125, 0.5, 1, 3]) if rng.random() < 0.97 else rng.choice([9, 10, 11, 45, 100])
+            log.append((c, t))
+        t = 0.0
+    log += [("steady", 0.25 * i) for i in range(3000)]  # one section over many parts
+    given = spark.createDataFrame(log, "client string, t double").select("client", F.timestamp_micros((F.col("t") * 1_000_000).cast("long")).alias("ts")).repartition(7)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {r.client: (r.allowed, r.rejected) for r in requests.bucket_audit(given, 0.5, 5.0, idle).collect()}
+        parts = requests.sections(given.select("client", F.col("ts").cast("double").alias("t")), 0.5, 5.0, idle)
+        of = {(r.client, r.part, r.section) for r in parts.collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert got == plain_audit(log, 0.5, 5.0, idle)
+    assert sum(c == "hot" for c, *_ in of) > 50 and sum(c == "steady" for c, *_ in of) == 1
+
+
+def test_a_million_requests_of_one_client(spark):
+    t = F.col("id") * 0.25 + F.floor(F.col("id") / 1000) * 60
+    log = spark.range(0, 1_000_000, 1, 4).select(F.lit("hot").alias("client"), F.timestamp_micros((t * 1_000_000).cast("long")).alias("ts"))
+    got = requests.bucket_audit(log, 1.0, 10.0, None).first()
+    assert (got.allowed, got.rejected) == tuple(1000 * n for n in plain_audit([("x", 0.25 * i) for i in range(1000)], 1.0, 10.0)["x"])
+
+
 def files(spark, tmp_path, parts, schema):
     for i, rows in enumerate(parts):
         spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/in/{i}")
