@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodex.functions import keys, text
-from lodex.operators import charts, merge, rank, requests, review, rules, schedule, search, search_index, stats
+from lodex.operators import changes, charts, merge, rank, requests, review, rules, schedule, search, search_index, stats
 from lodex.plans import jobs
 from lodex.sources import tables as T
 from lodex.sources.shared import scratch
@@ -355,9 +355,9 @@ def review_requests(spark, sf_dir):
     return rows.select("batch_id", "x.*")
 
 
-def answers(spark, sf_dir) -> DataFrame:
+def answers(listings: DataFrame) -> DataFrame:
     """Replies about all candidates, fenced: long names are rejected, others get a shorter title; batch 3 has no JSON."""
-    rows = review.sweep(T.listing(spark, sf_dir), 0)
+    rows = review.sweep(listings, 0)
     label = F.when(F.length("name") % 7 == 0, " Spam").when(F.length("name") % 11 == 0, "ADULT").when(F.length("name") % 3 == 0, "ok").otherwise("unsure")
     item = F.struct("i", label.alias("label"), F.regexp_replace("name", r" [^ ]+\z", "").alias("clean"))
     told = F.concat(F.lit("```json\n"), F.to_json(F.array_sort(F.collect_list(item))), F.lit("\n```"))
@@ -370,7 +370,7 @@ _PROPOSED = "regexp_replace(name, ' [^ ]+$', '')"
 
 @query(f"SELECT batch_id, i, {_LABEL} AS label, {_PROPOSED} AS clean FROM numbered WHERE batch_id <> 3", (LISTING, _NUMBERED))
 def parse_verdicts(spark, sf_dir):
-    return review.verdicts(answers(spark, sf_dir))
+    return review.verdicts(answers(T.listing(spark, sf_dir)))
 
 
 def _accepted(proposed: str) -> str:
@@ -396,7 +396,7 @@ _REVIEW = (LISTING, BLOCKED, _NUMBERED, _JUDGED)
 
 
 def reviewed(spark, sf_dir) -> review.Applied:
-    return jobs.review_once(T.listing(spark, sf_dir), T.blocked(spark, sf_dir), answers(spark, sf_dir), NOW, 0)
+    return jobs.review_once(T.listing(spark, sf_dir), T.blocked(spark, sf_dir), answers(T.listing(spark, sf_dir)), NOW, 0)
 
 
 @query("SELECT count(*) AS reviewed, count(*) FILTER (WHERE label = 'adult') AS adult, count(*) FILTER (WHERE label = 'spam') AS spam, count(*) FILTER (WHERE clean <> '') AS trimmed FROM judged", _REVIEW)
@@ -404,9 +404,29 @@ def review_summary(spark, sf_dir):
     return reviewed(spark, sf_dir).summary
 
 
-@query(f"SELECT l.info_hash, CASE WHEN j.info_hash IS NOT NULL THEN {NOW} ELSE l.reviewed_at END AS reviewed_at, coalesce(j.clean, '') AS clean_name FROM listing l LEFT JOIN judged j USING (info_hash) WHERE coalesce(j.label, 'ok') = 'ok'", _REVIEW)
+#: Three runs: each judges the three batches before the one without JSON, the second is a dry one.
+_RUNS = (LISTING, BLOCKED, _NUMBERED, _JUDGED.replace("SELECT *, coalesce", "SELECT *, batch_id // 3 + 1 AS run, coalesce", 1).replace("batch_id < 3", "batch_id < 9"))
+
+
+def review_store(spark, sf_dir) -> str:
+    """A store of the listings after these runs, with a base made after the first; the second is done twice."""
+    out = scratch(spark, "changes")
+    changes.start(T.listing(spark, sf_dir), T.blocked(spark, sf_dir), out)
+    for run in (1, 2, 2, 3):
+        changes.review_run(spark, out, answers(changes.listings(spark, out, run)), run, NOW, 0, dry_run=run == 2)
+        if run == 1:
+            changes.compact(spark, out)
+    return out
+
+
+@query(f"SELECT l.info_hash, CASE WHEN j.info_hash IS NOT NULL THEN {NOW} ELSE l.reviewed_at END AS reviewed_at, CASE WHEN j.run <> 2 THEN j.clean ELSE '' END AS clean_name FROM listing l LEFT JOIN judged j USING (info_hash) WHERE coalesce(j.label, 'ok') = 'ok' OR j.run = 2", _RUNS)
 def review_apply(spark, sf_dir):
-    return reviewed(spark, sf_dir).listings.select("info_hash", "reviewed_at", "clean_name")
+    return changes.listings(spark, review_store(spark, sf_dir)).select("info_hash", "reviewed_at", "clean_name")
+
+
+@query(f"SELECT info_hash, reason FROM blocked UNION ALL SELECT info_hash, label AS reason FROM judged WHERE label <> 'ok' AND run <> 2 AND info_hash NOT IN (SELECT info_hash FROM blocked)", _RUNS)
+def review_blocked(spark, sf_dir):
+    return changes.blocked(spark, review_store(spark, sf_dir)).select("info_hash", "reason")
 
 
 @query("SELECT CASE WHEN label <> 'ok' THEN label ELSE 'trim' END AS kind, info_hash, name AS title, clean, false AS dry_run FROM judged WHERE label <> 'ok' OR clean <> ''", _REVIEW)
@@ -414,14 +434,9 @@ def review_audit(spark, sf_dir):
     return reviewed(spark, sf_dir).audit
 
 
-@query("SELECT CASE WHEN label <> 'ok' THEN label ELSE 'trim' END AS kind, info_hash, name AS title, clean, run = 2 AS dry_run, run FROM judged, (VALUES (1::BIGINT), (2)) r(run) WHERE label <> 'ok' OR clean <> ''", _REVIEW)
+@query("SELECT CASE WHEN label <> 'ok' THEN label ELSE 'trim' END AS kind, info_hash, name AS title, clean, run = 2 AS dry_run, run FROM judged WHERE label <> 'ok' OR clean <> ''", _RUNS)
 def review_audit_log(spark, sf_dir):
-    """Two runs, the second a dry one and done twice, in the audit table."""
-    out = scratch(spark, "audit")
-    listings, blocked, replies = T.listing(spark, sf_dir), T.blocked(spark, sf_dir), answers(spark, sf_dir)
-    for run in (1, 2, 2):
-        review.append_audit(jobs.review_once(listings, blocked, replies, NOW, 0, dry_run=run == 2).audit, out, run)
-    return review.audit_log(spark, out)
+    return changes.audit(spark, review_store(spark, sf_dir))
 
 
 # Counters.
