@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodex.functions import keys, text
-from lodex.operators import changes, charts, merge, rank, requests, review, rules, schedule, search, search_index, stats
+from lodex.operators import changes, charts, merge, pages, rank, requests, review, rules, schedule, search, search_index, stats
 from lodex.plans import jobs
 from lodex.sources import tables as T
 from lodex.sources.shared import scratch
@@ -84,6 +84,22 @@ def listing_links(spark, sf_dir):
     return search.links(T.listing(spark, sf_dir), ["udp://t.example:80/a", " "])
 
 
+@query("SELECT info_hash, name, total_size, file_count, created_at FROM listing ORDER BY created_at DESC, info_hash LIMIT 50 OFFSET 100", (LISTING,))
+def page_by_histogram(spark, sf_dir):
+    """The third page of 50, by the running sums of a histogram of the listings by time."""
+    out = scratch(spark, "pages")
+    pages.write(T.listing(spark, sf_dir), out)
+    return pages.latest(spark, out, 3, 50)
+
+
+@query(f"SELECT info_hash, name, total_size, file_count, created_at FROM listing WHERE contains({LOW_NAME}, 'ist') ORDER BY created_at DESC, info_hash LIMIT 20 OFFSET 20", (LISTING,))
+def page_by_key(spark, sf_dir):
+    """The second page of a search, behind the last row of the first."""
+    listings = T.listing(spark, sf_dir)
+    last = pages.search_after(listings, "ist").orderBy("created_at", F.desc("info_hash")).first()
+    return pages.search_after(listings, "ist", (last.created_at, last.info_hash))
+
+
 @query(
     "SELECT info_hash, CASE WHEN len(paths) < 2 THEN '' ELSE regexp_extract(left(a, list_max(list_filter(range(0, least(length(a), length(b)) + 1), lambda n: left(a, n) = left(b, n)))), '(?s)^(.*/)', 1) END AS common_dir, (file_count - least(10, file_count))::BIGINT AS hidden, greatest(1, ceil(file_count / 10))::BIGINT AS pages FROM (SELECT *, list_min(paths) AS a, list_max(paths) AS b FROM listing)",
     (LISTING,),
