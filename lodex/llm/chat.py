@@ -37,16 +37,20 @@ def tokens(text: Column) -> Column:
     return F.regexp_count(text, F.lit(r"\w+|[^\w\s]")) + TURN_TOKENS
 
 
-def prefix_sums(rows: DataFrame, by: str, part: str, order: list, values: dict[str, Column]) -> DataFrame:
-    """Adds the sums of `values` (by name) over the rows of `by` up to and with each, in order of `part` and then `order`.
-    Parts are summed first; only a conversation's parts, not its turns, come together."""
+def prefix_sums(rows: DataFrame, by: str, part: str, order: list, values: dict[str, Column], first: dict[str, str] | None = None) -> DataFrame:
+    """Adds the sums of `values` (by name) over the rows of `by` up to and with each, in order of `part` and then `order`, and
+    what the first of these rows has in columns, by name. Parts are summed first; only a conversation's parts, not its
+    turns, come together."""
     up_to = Window.partitionBy(by, part).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     inner = rows.withColumns({n: F.sum(v).over(up_to) for n, v in values.items()})
     before = Window.partitionBy(by).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
-    parts = rows.groupBy(by, part).agg(*(F.sum(v).alias(n) for n, v in values.items()))
-    parts = parts.select(F.col(by).alias("_by"), F.col(part).alias("_part"), *(F.coalesce(F.sum(n).over(before), F.lit(0)).alias(f"_{n}") for n in values))
+    head = F.struct(*(F.col(c).alias(n) for n, c in (first or {"_": by}).items()))
+    parts = rows.groupBy(by, part).agg(*(F.sum(v).alias(n) for n, v in values.items()), F.min_by(head, F.struct(*order)).alias("_head"))
+    of_all = F.first("_head").over(Window.partitionBy(by).orderBy(part))
+    parts = parts.select(F.col(by).alias("_by"), F.col(part).alias("_part"), of_all.alias("_head"), *(F.coalesce(F.sum(n).over(before), F.lit(0)).alias(f"_{n}") for n in values))
     joined = inner.join(parts, inner[by].eqNullSafe(parts["_by"]) & (inner[part] == parts["_part"]))
-    return joined.withColumns({n: F.col(n) + F.col(f"_{n}") for n in values}).drop("_by", "_part", *(f"_{n}" for n in values))
+    found = {n: F.col(n) + F.col(f"_{n}") for n in values} | {n: F.col("_head")[n] for n in first or {}}
+    return joined.withColumns(found).drop("_by", "_part", "_head", *(f"_{n}" for n in values))
 
 
 def windows(conversations: DataFrame, id_col: str = "conv_id", budget: int = BUDGET, history: int = HISTORY, history_turns: int = HISTORY_TURNS) -> DataFrame:
@@ -55,7 +59,8 @@ def windows(conversations: DataFrame, id_col: str = "conv_id", budget: int = BUD
 
     A turn alone over the budget has a window of its own, whole. Null texts are as empty ones, null roles as the role
     ''. Turns are in order of turn, role and a hash of the text, null turns first, repeated rows stay repeated; rows with a
-    null id are one conversation. An empty table gives an empty result; further columns are left out.
+    null id are one conversation. An empty table gives an empty result; further columns are left out. Where `id_col` is named
+    like an added column, it takes its place.
     """
     text, role = F.coalesce(F.col("text").cast("string"), F.lit("")), F.coalesce(F.col("role").cast("string"), F.lit(""))
     texts = conversations.select(F.col(id_col).alias("conv"), F.coalesce(F.col("turn").cast("long"), F.lit(-(1 << 62))).alias("turn"), role.alias("role"), text.alias("text"))
@@ -63,28 +68,27 @@ def windows(conversations: DataFrame, id_col: str = "conv_id", budget: int = BUD
     order = ["conv", "turn", "role", "tie", "row"]
     slim = texts.select(*order, "n").repartitionByRange(*order).sortWithinPartitions(*order)
     slim = stored(slim.withColumn("part", F.spark_partition_id()), "turns")  # the parts lie in the conversations' order
-    rows = prefix_sums(slim, "conv", "part", order[1:], {"place": F.lit(1).cast("long"), "sum": F.col("n")})
-    rows = stored(rows.select("conv", "part", "place", "sum", "role", "row", "n"), "sums")
-    system = rows.where((F.col("place") == 1) & (F.col("role") == "system")).select(F.col("conv").alias("_conv"), F.col("row").alias("system"), F.col("n").alias("system_n"))
-    rows = rows.join(system.select("_conv", "system_n"), rows["conv"].eqNullSafe(system["_conv"]), "left").drop("_conv")
+    rows = prefix_sums(slim, "conv", "part", order[1:], {"place": F.lit(1).cast("long"), "sum": F.col("n")}, {"head_role": "role", "head": "row", "head_n": "n"})
+    if_system = lambda c: F.when(F.col("head_role") == "system", F.col(c))
+    rows = stored(rows.select("conv", "part", "place", "sum", "role", "row", "n", if_system("head").alias("system"), if_system("head_n").alias("system_n")), "sums")
     stretch = F.greatest(F.lit(budget - history) - F.coalesce("system_n", F.lit(0)), F.lit(budget // 4)).cast("long")
     rows = rows.withColumn("stretch", stretch).withColumn("first", F.floor((F.col("sum") - F.col("n")) / F.col("stretch"))).withColumn("last", F.floor((F.col("sum") - 1) / F.col("stretch")))
     whole = rows.where("first = last").groupBy(F.col("conv").alias("_conv"), F.col("first").alias("_first")).agg(F.sum("n").alias("inner"))
     rows = rows.join(whole, rows["conv"].eqNullSafe(whole["_conv"]) & (rows["first"] == whole["_first"]), "left").drop("_conv", "_first")
     alone = (F.col("first") < F.col("last")) & (F.coalesce("inner", F.lit(0)) + F.col("n") > F.col("stretch"))
-    rows = stored(rows.select("conv", "part", "place", "role", "row", "n", (2 * F.col("first") + alone.cast("int")).alias("key")), "keys")
+    rows = stored(rows.select("conv", "part", "place", "role", "row", "n", "system", "system_n", (2 * F.col("first") + alone.cast("int")).alias("key")), "keys")
     # A window begins where the key differs from the turn before's; parts meet through the places.
     before = rows.select(F.col("conv").alias("_conv"), (F.col("place") + 1).alias("_place"), F.col("key").alias("_key"))
     rows = rows.join(before, rows["conv"].eqNullSafe(before["_conv"]) & (rows["place"] == before["_place"]), "left").drop("_conv", "_place")
     rows = prefix_sums(rows, "conv", "part", ["place"], {"window": (~F.col("key").eqNullSafe(F.col("_key"))).cast("long")})
-    rows = stored(rows.select("conv", "place", "role", "row", "n", (F.col("window") - 1).alias("window")), "windows")
+    rows = stored(rows.select("conv", "place", "role", "row", "n", "system", "system_n", (F.col("window") - 1).alias("window")), "windows")
     own = rows.select("conv", "window", F.lit(False).alias("repeated"), "place", "row", "n")
     back = Window.partitionBy("conv", "window").orderBy(F.desc("place"))
     tail = rows.withColumn("_rank", F.row_number().over(back)).withColumn("_sum", F.sum("n").over(back)).where((F.col("_rank") <= history_turns) & (F.col("_sum") <= history) & (F.col("role") != "system"))
-    heads = rows.groupBy(F.col("conv").alias("_conv"), F.col("window").alias("_window")).agg(F.min("place").alias("_head")).where("_window > 0")
+    heads = rows.groupBy(F.col("conv").alias("_conv"), F.col("window").alias("_window")).agg(F.max("system").alias("_system"), F.max("system_n").alias("_n")).where("_window > 0")  # each row knows its conversation's system turn
     tail = tail.withColumn("window", F.col("window") + 1)
     tail = tail.join(heads, tail["conv"].eqNullSafe(heads["_conv"]) & (tail["window"] == heads["_window"]), "left_semi").select("conv", "window", F.lit(True).alias("repeated"), "place", "row", "n")
-    kept = heads.join(system.withColumnRenamed("_conv", "conv"), heads["_conv"].eqNullSafe(F.col("conv"))).select("conv", F.col("_window").alias("window"), F.lit(True).alias("repeated"), F.lit(0).cast("long").alias("place"), F.col("system").alias("row"), F.col("system_n").alias("n"))
+    kept = heads.where("_system is not null").select(F.col("_conv").alias("conv"), F.col("_window").alias("window"), F.lit(True).alias("repeated"), F.lit(0).cast("long").alias("place"), F.col("_system").alias("row"), F.col("_n").alias("n"))
     # Only now, with the windows known, do the texts move.
     all_turns = own.unionByName(tail).unionByName(kept).join(texts.select("row", "role", "text"), "row")
     mark = F.lit(None).cast("string")
@@ -101,7 +105,7 @@ def windows(conversations: DataFrame, id_col: str = "conv_id", budget: int = BUD
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "piece"))), lambda p: p["piece"]), "").alias("formatted"),
         F.array_sort(F.collect_list(loss)).alias("loss"),
     )
-    return out.withColumnRenamed("conv", id_col)
+    return out.select(F.col("conv").alias(id_col), *(c for c in out.columns[1:] if c.lower() != id_col.lower()))
 
 
 def read_back(formatted: DataFrame) -> DataFrame:

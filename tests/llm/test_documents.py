@@ -885,6 +885,28 @@ def test_chat_windows_against_brute_force(spark):
     assert got == {c: plain_windows([(r, x) for _, r, _, x in sorted(v)], 300, 50, chat.HISTORY_TURNS) for c, v in by.items()}
 
 
+def test_a_long_conversation_with_a_system_turn(spark):
+    """Over many parts, each of which knows the system turn from the parts before; no join is by the conversation alone."""
+    rng = random.Random(23)
+    rows = [(7, t, "system" if t == 0 else ("user", "assistant")[t % 2], " ".join(rng.choice("abc") for _ in range(rng.randrange(30)))) for t in range(4000)] + [(8, 0, "user", "x"), (8, 1, "system", "not the first")]
+    given = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    joins = []
+    keep = chat.stored
+    try:
+        chat.stored = lambda df, what: joins.append(df._jdf.queryExecution().optimizedPlan().toString()) or keep(df, what)
+        out = chat.windows(given.repartition(3), budget=300, history=50)
+        joins.append(out._jdf.queryExecution().optimizedPlan().toString())
+        got = [(r.formatted, [(x.start, x.end) for x in r.loss]) for r in out.where("conv_id = 7").orderBy("window").collect()]
+    finally:
+        chat.stored = keep
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert got == plain_windows([(r, x) for c, _, r, x in rows if c == 7], 300, 50, chat.HISTORY_TURNS) and len(got) > 100
+    for line in (x for p in joins for x in p.splitlines() if " Join " in f" {x.strip(' :+-')}" and "Join" in x):
+        assert " AND " in line or "row#" in line, line
+    assert chat.windows(given.withColumnRenamed("conv_id", "window"), id_col="window").columns.count("window") == 1
+
+
 def test_chat_of_odd_tables(spark):
     schema = "conv_id long, turn long, role string, text string"
     assert chat.report(chat.windows(spark.createDataFrame([], schema))).count() == 0
