@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +13,7 @@ from lodex.operators import changes, charts, merge, pages, rank, requests, revie
 from lodex.plans import jobs
 from lodex.sources import tables as T
 from lodex.sources.shared import scratch
+from lodex.streaming import bounded
 from lodex.streaming import jobs as streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -686,3 +688,40 @@ def stream_bucket_idle(spark, sf_dir):
     log = request_log(fed(T.table(spark, sf_dir, "events"), "ts"))
     rows = kept_rows(spark, streams.buckets(log, 1 / 14400, 2.0, 36000.0, "60 days"), out)
     return rows.groupBy("client").agg(F.sum("allowed").alias("allowed"), F.sum("rejected").alias("rejected"))
+
+
+_OLDEST = "RECURSIVE e AS (SELECT user_id, event_id, user_id % 4 AS shard, row_number() OVER (PARTITION BY user_id % 4 ORDER BY event_id) AS k FROM events), r AS (SELECT shard, k, user_id, event_id, [user_id] AS held, true AS fresh FROM e WHERE k = 1 UNION ALL SELECT e.shard, e.k, e.user_id, e.event_id, CASE WHEN list_contains(r.held, e.user_id) THEN r.held WHEN len(r.held) < 10 THEN list_append(r.held, e.user_id) ELSE list_append(r.held[2:], e.user_id) END, NOT list_contains(r.held, e.user_id) FROM r JOIN e ON e.shard = r.shard AND e.k = r.k + 1)"
+
+
+@query("SELECT user_id::VARCHAR AS key, event_id AS seq FROM r WHERE fresh", (_OLDEST,))
+def stream_dedupe_oldest(spark, sf_dir):
+    """Four shards remember ten keys each, over five micro-batches."""
+    out = scratch(spark, "oldest")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", streams.ROCKSDB)
+    keys_of = fed(T.table(spark, sf_dir, "events"), "event_id").select(F.col("user_id").alias("key"), F.col("event_id").alias("seq"))
+    kept = bounded.dedupe_oldest(keys_of, F.col("key") % 4, 40, 4)
+    finished(kept.writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start())
+    return spark.read.schema(kept.schema).parquet(f"{out}/rows")
+
+
+@query("SELECT shard, ((k - 1) // 70)::BIGINT AS batch, ((k - 1) % 70 + 1)::INTEGER AS i, user_id::VARCHAR AS hash, event_id AS seq FROM (SELECT event_id % 4 AS shard, row_number() OVER (PARTITION BY event_id % 4 ORDER BY event_id) AS k, count(*) OVER (PARTITION BY event_id % 4) AS n, user_id, event_id FROM events) WHERE k <= n // 70 * 70")
+def stream_requests(spark, sf_dir):
+    """The full requests of four shards, filled over five micro-batches; what is left waits for an hour."""
+    out, rows = scratch(spark, "full"), T.table(spark, sf_dir, "events")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", streams.ROCKSDB)
+    due = rows.groupBy((F.col("event_id") % 4).alias("shard")).count().agg(F.sum(F.floor(F.col("count") / rank.BATCH) * rank.BATCH)).first()[0]
+    sent = bounded.request_batches(fed(rows, "event_id").select(F.col("user_id").alias("hash"), F.col("event_id").alias("seq")), F.col("seq") % 4, wait=3600.0)
+    n = [0]
+
+    def write(batch: DataFrame, k: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/rows/batch_no={k}")
+        n[0] += spark.read.parquet(f"{out}/rows/batch_no={k}").count()
+
+    stream = sent.writeStream.foreachBatch(write).outputMode("append").option("checkpointLocation", f"{out}/state").trigger(processingTime="100 milliseconds").start()
+    until = time.time() + 600
+    while n[0] < due and stream.isActive and time.time() < until:  # with timers a stream doesn't end by itself
+        time.sleep(0.2)
+    stream.stop()
+    if n[0] < due:
+        raise TimeoutError(f"the stream did not hand out its requests: {stream.exception()}")
+    return spark.read.schema(sent.schema).parquet(f"{out}/rows").select("shard", "batch", "i", "hash", "seq")
