@@ -7,6 +7,7 @@ difference of the two log densities (Mahalanobis distances and log determinants)
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -44,19 +45,14 @@ def statistics(text: bytes | None) -> np.ndarray:
     m = max(1, len(found))
     sizes = np.fromiter(map(len, found), np.int64, len(found)) if found else np.zeros(1)
     lines = [x for x in text.split(b"\n") if x.strip()] or [b""]
-    distinct = set(found)
+    words = Counter(found)
     pairs = len(set(zip(found, found[1:], strict=False))) if m > 1 else 1
     p = counts[counts > 0] / n
-    top = 0
-    if m > 1:
-        code = np.frombuffer(b"".join(w[:8].ljust(8, b"\0") for w in found), np.uint64)
-        code = np.sort(code)
-        edge = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1], [True]]))
-        top = int(np.diff(edge).max())
+    top = max(words.values()) if m > 1 else 0
     logit = lambda x: np.log((x + 1e-3) / (1 - x + 1e-3))
     return np.array([
         np.log1p(n), np.log1p(len(found)), np.log1p(sizes.mean()), np.log1p(sizes.std()), logit(min(1.0, counts[65:91].sum() / max(1, letters))), logit(digits), logit(marks), logit(symbols), logit(bang), logit(bars),
-        np.log1p(n / len(lines)), logit(sum(len(x) < 30 for x in lines) / len(lines)), logit(1 - len(set(lines)) / len(lines)), logit(1 - len(distinct) / m), logit(1 - min(1.0, pairs / max(1, m - 1))), logit(top / m), logit(min(1.0, counts[46] / m)), float(-(p * np.log(p)).sum()), 0.0,
+        np.log1p(n / len(lines)), logit(sum(len(x) < 30 for x in lines) / len(lines)), logit(1 - len(set(lines)) / len(lines)), logit(1 - len(words) / m), logit(1 - min(1.0, pairs / max(1, m - 1))), logit(top / m), logit(min(1.0, counts[46] / m)), float(-(p * np.log(p)).sum()), 0.0,
     ])
 
 

@@ -600,6 +600,33 @@ def test_redaction(frame):
     assert [r.text for r in secret_scan.redact(found, "text").orderBy("doc_id").collect()] == ["é [SECRET] end", "clean", None]
 
 
+def plain_statistics(text):
+    """The quality statistics before their transformation, one by one."""
+    b = (text or "").encode()
+    words, lines = b.split(), [x for x in b.split(b"\n") if x.strip()] or [b""]
+    m, n, size = max(1, len(words)), len(b), [len(w) for w in words] or [0]
+    of = lambda chars: sum(c in chars for c in b) / n
+    letters = sum(97 <= c <= 122 or 65 <= c <= 90 or c >= 128 for c in b)
+    share = [b.count(bytes([c])) / n for c in range(256)]
+    return {
+        "length": math.log1p(n), "words": math.log1p(len(words)), "word_length": math.log1p(sum(size) / len(size)), "word_spread": math.log1p((sum((x - sum(size) / len(size)) ** 2 for x in size) / len(size)) ** 0.5),
+        "upper": sum(65 <= c <= 90 for c in b) / max(1, letters), "digits": of(b"0123456789"), "marks": of(b".,;:'\"()-"), "symbols": of(b"#$%&*+/<=>@[\\]^_`{}~"), "bang": of(b"!?"), "bars": of(b"|"),
+        "line_length": math.log1p(n / len(lines)), "short_lines": sum(len(x) < 30 for x in lines) / len(lines), "repeated_lines": 1 - len(set(lines)) / len(lines), "repeated_words": 1 - len(set(words)) / m,
+        "repeated_pairs": 1 - min(1.0, (len(set(zip(words, words[1:]))) if m > 1 else 1) / max(1, m - 1)), "top_word": max(words.count(w) for w in words) / m if len(words) > 1 else 0, "sentences": min(1.0, b.count(b".") / m), "entropy": -sum(p * math.log(p) for p in share if p), "empty": 0.0,
+    }
+
+
+def test_quality_statistics():
+    rng = random.Random(31)
+    texts = [t for t in ODD if t] + ["international internationally internationals x", *("".join(rng.choice("aB é1.,!|#\n ") for _ in range(rng.randrange(1, 200))) for _ in range(60))]
+    raw = {"length", "words", "word_length", "word_spread", "line_length", "entropy", "empty"}
+    for t in texts:
+        for name, got, want in zip(quality.NAMES, quality.statistics(t.encode()), plain_statistics(t).values(), strict=True):
+            assert math.isclose(got, want if name in raw else math.log((want + 1e-3) / (1 - want + 1e-3)), rel_tol=1e-9, abs_tol=1e-9), (name, t)
+    assert quality.statistics(b"international internationally x")[quality.NAMES.index("top_word")] == quality.statistics(b"one two three")[quality.NAMES.index("top_word")]
+    assert quality.statistics(None).tolist() == quality.statistics(b"").tolist() == [0.0] * (len(quality.NAMES) - 1) + [1.0]
+
+
 # Packing
 
 
