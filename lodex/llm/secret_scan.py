@@ -1,7 +1,7 @@
 """Secret scans: patterns over a text and over all that is encoded in it.
 
 A worklist holds layers, each a text with, for every character, the range of the document it came from. Every layer is
-scanned; what it encodes (URL escapes, Unicode escapes, base64, compressed bytes within those) becomes new layers until
+scanned; what it encodes (URL escapes, Unicode escapes, base64, UTF-16, compressed bytes within those) becomes new layers until
 none is new. Decoded bytes are scanned whatever they are, those that aren't UTF-8 as one character each; compressed data
 may begin anywhere in them. What they unfold to is scanned in windows. Layers are remembered by text
 and place, so one that decodes to itself ends there. Spans found in a layer are given as ranges of the document: a URL or
@@ -47,8 +47,10 @@ LITERALS = {"0": "\0", "a": "\a", "b": "\b", "f": "\f", "n": "\n", "r": "\r", "t
 MAGIC = re.compile("\x1f[\x8b\udc8b]\x08|x[\x01^\x9c\udc9c\xda\udcda\u0680-\u06bf]|BZh[1-9](?:1AY&SY|\x17rE8P[\x90\udc90])|[\xfd\udcfd]7zXZ\0|\\([\xb5\udcb5]/[\xfd\udcfd]")
 #: The same in bytes, at the end of another member or frame, with padding before it and zstd's frames to skip.
 NEXT = re.compile(rb"\0*(?=\x1f\x8b\x08|x[\x01^\x9c\xda]|BZh[1-9](?:1AY&SY|\x17rE8P\x90)|\xfd7zXZ\0|\x28\xb5\x2f\xfd|[\x50-\x5f]\x2a\x4d\x18)", re.S)
+#: Characters of two bytes of which one is nothing, in either order, as UTF-16 has all of ASCII.
+WIDE = re.compile(r"(?:[^\0]\0){11,}[^\0]?")
 #: A place that no match, run or escape reaches over.
-BREAK = re.compile(rb"[\0-\x08\x0b\x0c\x0e-\x1f!$(),<>?@\[\]^`|~*]|[\"'.:;{}%&#\\]\r?\n|\n[ \t\r]*\n")
+BREAK = re.compile(rb"\0\0|[\x01-\x08\x0b\x0c\x0e-\x1f!$(),<>?@\[\]^`|~*]|[\"'.:;{}%&#\\]\r?\n|\n[ \t\r]*\n")
 #: Unfolded bytes that a window has at least and at most, and by how much windows without a break between them overlap. Only
 #: where a single run, or data compressed again inside, is longer than MOST may something be missed (the row says so in `cut`).
 PIECE, MOST, OVERLAP = 8 << 20, 64 << 20, 1 << 20
@@ -288,9 +290,19 @@ def _lax(data: bytes) -> str:
     return data.decode("utf-8", "surrogateescape")
 
 
+def _narrowed(layer: Layer) -> Iterator[Layer]:
+    """The layers that runs of two-byte characters in a layer are; each character has the places of both its bytes."""
+    for m in WIDE.finditer(layer.text):
+        a, b = m.span()
+        places = np.arange(a, b, 2)
+        last = np.minimum(places + 1, b - 1)
+        start, end = (places, last + 1) if layer.at is None else (np.minimum(layer.at[places], layer.at[last]), np.maximum(layer.to[places], layer.to[last]))
+        yield Layer(m[0].replace("\0", ""), start, end)
+
+
 def _holds(text: str) -> bool:
     """Whether a decoded text has a match or anything to unwrap; most of what base64 decodes to is noise without either."""
-    return bool(matches(text) or BASE64.search(text) or URL.search(text) or UNICODE.search(text) or MAGIC.search(text))
+    return bool(matches(text) or BASE64.search(text) or URL.search(text) or UNICODE.search(text) or MAGIC.search(text) or "\0" in text and WIDE.search(text))
 
 
 def _wrapped(lines: list[tuple[int, int, bool]]) -> set[tuple[int, int]]:
@@ -324,6 +336,7 @@ def _encoded(layer: Layer) -> Iterator[Layer]:
         for a, b, _ in lines:  # each line by itself, and what separators of paths part
             runs.add((a, b))
             runs |= {(a + m.start(), a + m.end()) for m in re.finditer(r"[A-Za-z0-9+]{16,}+={0,2}|[A-Za-z0-9]{16,}+={0,2}", layer.text[a:b])}
+        runs |= {(a + k, b) for a, b in runs for k in (1, 2, 3)}  # other letters may stand right before a run
         for a, b in sorted(runs):
             body = "".join(layer.text[a:b].replace("=", "").split()).replace("-", "+").replace("_", "/")
             if len(body) < 16:
@@ -348,6 +361,9 @@ def _within(layer: Layer) -> Iterator[tuple[Layer, int, bool]]:
     if layer.at is not None:
         for x, cut in _unfolded(layer):
             yield x, 0, cut
+    if "\0" in layer.text:
+        for x in _narrowed(layer):
+            yield x, 1, False
     if "%" in layer.text and (x := _replaced(layer, URL.finditer(layer.text), _url)):
         yield x, 1, False
     if "\\" in layer.text or "&#" in layer.text:

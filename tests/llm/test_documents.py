@@ -580,6 +580,39 @@ def test_base_against_brute_force(frame):
     assert got == want and sum(v[0] for v in want.values()) > 50 and sum(v[1] for v in want.values()) > 50 and sum(v[2] for v in want.values()) > 50
 
 
+@pytest.mark.parametrize("code", ["utf-16", "utf-16-le", "utf-16-be"])
+@pytest.mark.parametrize("pack", [lambda b: b, gzip.compress, lambda b: base64.b64encode(b)])
+def test_utf16_layers(code, pack):
+    secret = "token=abcdef0123456789abcdef0123"
+    for said in (secret, f"é€ {secret} Łx", f"x: {secret}\n"):
+        data = base64.b64encode(pack(said.encode(code))).decode()
+        text = f"see {data} there"
+        _, spans, cut = secret_scan.scan_text(text)
+        hit = {kind for _, kind, _, _ in spans}
+        assert {"assign", "hex"} <= hit and not cut, (said, code)
+        assert all(4 <= a < b <= 4 + len(data) for a, _, b, _ in spans)
+    # where each character's bytes stand, in plain base64
+    data = base64.b64encode(("ab " + secret).encode("utf-16-le")).decode()
+    (a, b) = next((a, b) for a, kind, b, _ in secret_scan.scan_text(data)[1] if kind == "assign")
+    assert a == 6 // 3 * 4 and b == len(data.rstrip("="))
+
+
+def test_two_byte_characters_without_an_encoding():
+    secret = "token=abcdef0123456789abcdef0123"
+    wide = "".join(c + "\0" for c in secret)
+    assert [(a, k, b) for a, k, b, _ in secret_scan.scan_text("é" + wide + "z")[1] if k == "assign"] in ([(1, "assign", 1 + len(wide))], [(1, "assign", 2 + len(wide))])
+    assert secret_scan.scan_text("a\0" * 5 + "\0\0" * 9)[1] == []
+
+
+def test_base64_behind_other_letters():
+    secret = b"password: abcdef0123456789abcdef0123!"
+    for before in ("", "k", "ke", "key", "keys", "x/y", "dataZ"):
+        data = base64.b64encode(secret).decode()
+        text = f"<{before}{data}>"
+        got = [(a, b) for a, kind, b, _ in secret_scan.scan_text(text)[1] if kind == "assign"]
+        assert got == [(1 + len(before), 1 + len(before) + len(data) - 4)] or got == [(1 + len(before), 1 + len(before) + len(data))], (before, got)
+
+
 def test_scan_replaces_columns_of_either_case(frame):
     found = secret_scan.scan(frame(["token=abcdefgh"]).withColumns({"Spans": F.lit(1), "BASE": F.lit(2)}))
     assert found.columns == ["doc_id", "base", "spans", "cut"]
