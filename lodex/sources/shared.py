@@ -19,9 +19,19 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+#: All that this process stores lies in one folder of the shared one, so that it can be told apart and cleared.
+RUN = f"lodex-{uuid.uuid4().hex}"
+
+
 def scratch(spark: SparkSession, what: str) -> str:
-    """A new folder name in the shared folder."""
-    return f"{shared_dir(spark)}/lodex-{what}-{uuid.uuid4().hex}"
+    """A new folder name in this run's folder."""
+    return f"{shared_dir(spark)}/{RUN}/{what}-{uuid.uuid4().hex}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes this run's folder: all tables between steps. Results that still read them must have been written before."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/{RUN}")
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def stored(df: DataFrame, what: str) -> DataFrame:

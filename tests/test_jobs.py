@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lodex.operators import charts, merge, rank, requests, review, rules, schedule, search, stats
 from lodex.plans import jobs
+from lodex.sources import shared
 from lodex.sources import tables as T
 from lodex.streaming import jobs as streams
 
@@ -273,6 +274,17 @@ def test_due_nodes(spark):
     assert [r.addr for r in schedule.due(obs, 3000).collect()] == ["a"]
 
 
+def test_a_run_clears_its_own_tables(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(shared.shared_dir, "own", str(tmp_path), raising=False)
+    (tmp_path / "lodex-other").mkdir()
+    held = shared.stored(spark.range(3), "x")
+    assert held.count() == 3 and len(list(tmp_path.iterdir())) == 2 and shared.folders(spark, str(tmp_path), "lodex-other")
+    shared.clear(spark)
+    assert [p.name for p in tmp_path.iterdir()] == ["lodex-other"] and shared.stored(spark.range(2), "x").count() == 2
+    shared.clear(spark)
+    shared.clear(spark)
+
+
 LOG = [("a", 1000), ("a", 1000), ("a", 1000), ("a", 1001), ("a", 1001), ("b", 1000)]
 
 
