@@ -275,7 +275,7 @@ def test_due_nodes(spark):
 
 
 def test_a_run_clears_its_own_tables(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(shared.shared_dir, "own", str(tmp_path), raising=False)
+    monkeypatch.setattr(shared, "shared_dir", lambda spark: str(tmp_path))
     (tmp_path / "lodex-other").mkdir()
     held = shared.stored(spark.range(3), "x")
     assert held.count() == 3 and len(list(tmp_path.iterdir())) == 2 and shared.folders(spark, str(tmp_path), "lodex-other")
