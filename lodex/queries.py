@@ -12,7 +12,7 @@ from lodex.functions import keys, text
 from lodex.operators import changes, charts, merge, pages, rank, requests, review, rules, schedule, search, search_index, stats
 from lodex.plans import jobs
 from lodex.sources import tables as T
-from lodex.sources.shared import scratch
+from lodex.sources.shared import folders, scratch
 from lodex.streaming import bounded
 from lodex.streaming import jobs as streams
 
@@ -566,10 +566,9 @@ def client_keys(spark, sf_dir):
 # Streams: each reads a table's files to their end.
 
 
-def finished(stream, seconds: int = 600) -> None:
-    if not stream.awaitTermination(seconds):
-        stream.stop()
-        raise TimeoutError("the stream did not end")
+def finished(stream) -> None:
+    """Waits for a stream that ends by itself, however long its table is; what fails it is raised."""
+    stream.awaitTermination()
 
 
 @query("SELECT DISTINCT user_id AS info_hash FROM events")
@@ -581,15 +580,18 @@ def stream_dedupe(spark, sf_dir):
     return spark.read.schema(kept.schema).parquet(f"{out}/rows").select("info_hash")
 
 
-def fed(rows: DataFrame, by: str, parts: int = 5, **again: DataFrame) -> DataFrame:
-    """The rows as a stream of as many files, one a micro-batch, in order of `by`; then those of `again`, a file each."""
-    spark, out = rows.sparkSession, scratch(rows.sparkSession, "fed")
-    at = F.col(by).cast("double") if dict(rows.dtypes)[by] != "timestamp_ntz" else F.col(by).cast("timestamp").cast("double")
-    low, high = rows.agg(F.min(at), F.max(at)).first()
-    step = (high - low) / parts
-    for k in range(parts):
-        own = rows.where((at >= low + k * step) & ((at < low + (k + 1) * step) if k + 1 < parts else F.lit(True)))
-        own.coalesce(1).write.mode("append").parquet(out)
+#: Rows of a micro-batch, about, where its rows are few groups' rows.
+FED = 500_000
+
+
+def fed(rows: DataFrame, by: str, parts: int = 5, most: int | None = None, **again: DataFrame) -> DataFrame:
+    """The rows as a stream of as many files, one a micro-batch, in order of `by`; then those of `again`, a file each. With `most`,
+    more files where they would have more rows than that. Rows are ranged and stored once, then read a range at a time."""
+    spark, out, ranges = rows.sparkSession, scratch(rows.sparkSession, "fed"), scratch(rows.sparkSession, "ranges")
+    parts = max(parts, -(-rows.count() // most)) if most else parts
+    rows.repartitionByRange(parts, by).withColumn("_part", F.spark_partition_id()).write.partitionBy("_part").parquet(ranges)
+    for own in sorted(folders(spark, ranges, "_part="), key=lambda f: int(f.rpartition("=")[2])):
+        spark.read.schema(rows.schema).parquet(own).coalesce(1).write.mode("append").parquet(out)
     for rest in again.values():
         rest.coalesce(1).write.mode("append").parquet(out)
     return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(out)
@@ -695,10 +697,10 @@ _OLDEST = "RECURSIVE e AS (SELECT user_id, event_id, user_id % 4 AS shard, row_n
 
 @query("SELECT user_id::VARCHAR AS key, event_id AS seq FROM r WHERE fresh", (_OLDEST,))
 def stream_dedupe_oldest(spark, sf_dir):
-    """Four shards remember ten keys each, over five micro-batches."""
+    """Four shards remember ten keys each, over at least five micro-batches."""
     out = scratch(spark, "oldest")
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", streams.ROCKSDB)
-    keys_of = fed(T.table(spark, sf_dir, "events"), "event_id").select(F.col("user_id").alias("key"), F.col("event_id").alias("seq"))
+    keys_of = fed(T.table(spark, sf_dir, "events"), "event_id", most=FED).select(F.col("user_id").alias("key"), F.col("event_id").alias("seq"))
     kept = bounded.dedupe_oldest(keys_of, F.col("key") % 4, 40, 4)
     finished(kept.writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start())
     return spark.read.schema(kept.schema).parquet(f"{out}/rows")

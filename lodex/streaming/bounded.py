@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -13,36 +15,41 @@ from lodex.operators import rank
 
 #: Keys that a dedupe remembers over all shards, and seconds after which a request goes out short.
 REMEMBERED, WAIT = 1 << 18, 2.0
+#: Rows that a task hands on at once.
+STEP = 10_000
+
+
+def _in_order(rows: Iterator[pd.DataFrame], text: str) -> pa.Table:
+    """A micro-batch's rows of a shard (`text`, seq), by seq, as Arrow columns: a few bytes a row beside its text."""
+    kind = pa.schema([(text, pa.large_string()), ("seq", pa.int64())])
+    return pa.concat_tables([kind.empty_table(), *(pa.Table.from_pandas(part[[text, "seq"]], kind, preserve_index=False) for part in rows)]).sort_by("seq")
 
 
 class Oldest(StatefulProcessor):
-    """A shard's remembered keys with the number of their arrival, the keys by number, and the next number. A key that isn't
-    remembered is passed on and remembered, and the oldest beyond the capacity is forgotten."""
+    """A shard's remembered keys, the oldest first. A key that isn't remembered is passed on and remembered, and the oldest beyond
+    the capacity is forgotten. The state is read and written once a micro-batch, not for each key."""
 
     def __init__(self, capacity: int):
         self.capacity = capacity
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.number = handle.getMapState("number", "key string", "n long")
-        self.key = handle.getMapState("key", "n long", "key string")
-        self.next = handle.getValueState("next", "n long")
+        self.held = handle.getListState("held", "key string")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        given = pd.concat(list(rows), ignore_index=True).sort_values("seq", kind="stable")
-        n, new = self.next.get()[0] if self.next.exists() else 0, []
-        for k, seq in zip(given["key"].tolist(), given["seq"].tolist(), strict=True):
-            if self.number.containsKey((k,)):
-                continue
-            self.number.updateValue((k,), (n,))
-            self.key.updateValue((n,), (k,))
-            old = n - self.capacity
-            if old >= 0:
-                self.number.removeKey(self.key.getValue((old,)))
-                self.key.removeKey((old,))
-            n += 1
-            new.append((k, seq))
-        self.next.update((n,))
-        yield pd.DataFrame({"key": [k for k, _ in new], "seq": [s for _, s in new]}).astype({"key": object, "seq": "int64"})
+        order = deque(k for (k,) in self.held.get()) if self.held.exists() else deque()
+        known = set(order)
+        for part in _in_order(rows, "key").to_batches(max_chunksize=STEP):
+            new = []
+            for k, seq in zip(part["key"].to_pylist(), part["seq"].to_pylist(), strict=True):
+                if k in known:
+                    continue
+                known.add(k)
+                order.append(k)
+                if len(order) > self.capacity:
+                    known.remove(order.popleft())
+                new.append((k, seq))
+            yield pd.DataFrame({"key": [k for k, _ in new], "seq": [s for _, s in new]}).astype({"key": object, "seq": "int64"})
+        self.held.put([(k,) for k in order])
 
     def close(self) -> None:
         pass
@@ -51,8 +58,8 @@ class Oldest(StatefulProcessor):
 def dedupe_oldest(keys: DataFrame, shard, remembered: int = REMEMBERED, shards: int = 64) -> DataFrame:
     """key, seq of the keys (key, seq) that aren't remembered: of each shard (a column; 0 to `shards` - 1) the last
     `remembered` / `shards` keys that were passed on are, so a key that comes after as many others comes again. In order of
-    seq within a micro-batch; null keys are left out. The session needs the RocksDB state store, which holds two entries for
-    each remembered key."""
+    seq within a micro-batch; null keys are left out. The session needs the RocksDB state store, which holds each
+    remembered key; a micro-batch's rows of a shard are sorted in memory."""
     rows = keys.where("key is not null").select(shard.cast("long").alias("shard"), F.col("key").cast("string").alias("key"), F.col("seq").cast("long").alias("seq"))
     return rows.groupBy("shard").transformWithStateInPandas(Oldest(max(1, remembered // shards)), "key string, seq long", "Append", "None")
 

@@ -3,8 +3,10 @@
 import random
 import time
 
+import pandas as pd
 from pyspark.sql import functions as F
 
+from lodex import queries
 from lodex.streaming import bounded
 from tests.test_jobs import files
 
@@ -56,3 +58,51 @@ def test_what_waits_goes_out_after_a_while(spark, tmp_path):
     for own in sizes.values():
         assert sorted(i for i, _ in own) == list(range(1, len(own) + 1)) and len({late for _, late in own}) == 1
         assert len(own) == 10 or own[0][1]  # short by time only
+
+
+class Held:
+    """A state in memory that counts what is asked of it."""
+
+    def __init__(self):
+        self.values, self.asked = [], 0
+
+    def exists(self):
+        self.asked += 1
+        return bool(self.values)
+
+    def get(self):
+        self.asked += 1
+        return iter(self.values)
+
+    def put(self, values):
+        self.asked += 1
+        self.values = values
+
+
+class Handle:
+    def __init__(self):
+        self.held = Held()
+
+    def getListState(self, name, schema):  # noqa: N802
+        return self.held
+
+
+def test_a_micro_batch_reads_and_writes_the_remembered_keys_once():
+    handle, own = Handle(), bounded.Oldest(50)
+    own.init(handle)
+    for start in (0, 30_000):
+        rows = pd.DataFrame({"key": [f"k{i % 100}" for i in range(start, start + 30_000)], "seq": range(start, start + 30_000)})
+        got = pd.concat(own.handleInputRows((0,), iter([rows[20_000:], rows[:20_000]]), None))
+        assert got["seq"].tolist() == list(range(start, start + 30_000)) and len(handle.held.values) == 50
+    assert handle.held.asked <= 6
+
+
+def test_fed_files_are_bounded_in_rows_and_in_order(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(queries, "scratch", lambda _, what: f"{tmp_path}/{what}-{len(list(tmp_path.iterdir()))}")
+    rows = spark.range(5000).selectExpr("5000 - id AS n", "if(id % 1000 = 7, null, id) AS id")
+    queries.fed(rows, "n", most=500)
+    parts = sorted((r[0], r[1], r[2]) for r in spark.read.parquet(f"{tmp_path}/fed-0").groupBy(F.input_file_name()).agg(F.min("n"), F.max("n"), F.count("*")).select("min(n)", "max(n)", "count(1)").collect())
+    assert len(parts) >= 8 and max(n for *_, n in parts) <= 1000 and sum(n for *_, n in parts) == 5000
+    assert all(a[1] < b[0] for a, b in zip(parts, parts[1:]))
+    queries.fed(rows, "id")
+    assert spark.read.parquet(f"{tmp_path}/fed-2").count() == 5000  # rows without a place, too
