@@ -33,12 +33,14 @@ def index(records: DataFrame, path: str, blocked: Callable[[SparkSession], DataF
 
     Listings go to <path>/listing/batch=n, counter deltas to <path>/counters/batch=n, keys to the key store <path>/keys; a batch
     that is run again after a failure writes the same folders again. What earlier batches inserted is asked of the key
-    store, so a batch costs what it brings. Without rules (bare keys), each record counts as seen and is inserted.
+    store, so a batch costs what it brings. Without rules (bare keys), each record counts as seen and is inserted. Records
+    are dealt out before they are screened, as a batch of one file would be one task's work.
     """
 
     def run(batch: DataFrame, n: int) -> None:
         spark = batch.sparkSession
-        rows = rules.screened(batch, rule) if rule else batch.withColumn("route", F.lit("seen"))
+        tasks = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        rows = rules.screened(batch.repartition(tasks), rule) if rule else batch.withColumn("route", F.lit("seen"))
         rows = rows.select(*batch.columns, "route").persist()
         passed = rows.where(F.col("route").isin("fetched", "seen")).drop("route")
         new = keystore.insert_ignore(passed, f"{path}/keys", n, blocked(spark), ["created_at"], buckets)

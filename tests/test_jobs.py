@@ -418,6 +418,15 @@ def test_index_stream_inserts_once_over_batches(spark, tmp_path):
     assert counts == {"fetched": 3, "filtered_small": 1, "inserted": 1}
 
 
+def test_index_stream_screens_one_file_in_many_tasks(spark, tmp_path, monkeypatch):
+    row = lambda h: (h, "fine", 700 << 20, 1, [("f", 1)], 1, 0, "")
+    rows, tasks, screened = files(spark, tmp_path, [[row(f"a{i}") for i in range(50)]], SCHEMA), [], streams.rules.screened
+    monkeypatch.setattr(streams.rules, "screened", lambda batch, rule: tasks.append(batch.rdd.getNumPartitions()) or screened(batch, rule))
+    streams.index(rows, f"{tmp_path}/out", lambda s: blocked(s, "a7"), RULES, f"{tmp_path}/c").awaitTermination(120)
+    assert len(tasks) == 1 and tasks[0] >= 4
+    assert len(keys(spark.read.schema(SCHEMA).parquet(f"{tmp_path}/out/listing"))) == 49
+
+
 def test_dedupe_stream(spark, tmp_path):
     rows = files(spark, tmp_path, [[("a", 1), ("a", 2)], [("a", 3), ("b", 4)]], "info_hash string, t long").select("info_hash", F.timestamp_seconds("t").alias("ts"))
     kept = streams.dedupe(rows)
