@@ -555,8 +555,9 @@ def token_bucket_audit(spark, sf_dir):
 def client_keys(spark, sf_dir):
     u = F.col("user_id")
     text_of = lambda head, m: F.concat(F.lit(head), (u % m).cast("string"))
+    host = F.concat_ws(":", *(F.lower(F.hex(F.shiftrightunsigned(F.coalesce(u, F.lit(0)), n).bitwiseAND(F.lit(0xFFFF)))) for n in (48, 32, 16, 0)))
     log = T.events(spark, sf_dir).select(
-        F.when(u % 4 == 1, F.concat(text_of("203.0.113.", 250), F.lit(":1234"))).when(u % 4 == 3, F.concat(F.lit("[2001:db8:1:2:3:4:5:"), F.lower(F.hex(u)), F.lit("]:443"))).otherwise("127.0.0.1:80").alias("remote"),
+        F.when(u % 4 == 1, F.concat(text_of("203.0.113.", 250), F.lit(":1234"))).when(u % 2 == 0, "127.0.0.1:80").otherwise(F.concat(F.lit("[2001:db8:1:2:"), host, F.lit("]:443"))).alias("remote"),
         F.when(u % 4 == 0, F.concat(F.lit("1.2.3.4, "), text_of("198.51.100.", 200), F.lit(", 10.0.0.5"))).when(u % 4 == 2, "1.2.3.4, garbage, 10.0.0.5").alias("xff"),
         F.lit("").alias("real_ip"),
     )

@@ -35,6 +35,15 @@ def test_query_equals_sql(spark, duck, name):
     assert rows(queries.QUERIES[name](spark, SF).toPandas()) == rows(duck.sql(queries.SQL[name]).df())
 
 
+def test_client_keys_of_large_ids(spark, tmp_path):
+    """Ids of more than four hexadecimal digits, and none."""
+    given = [3, 65535, 65539, 90_003, 540_007, 2**40 + 3, 2**62 + 3, 65536, 65537, 65538, None]
+    spark.createDataFrame([(i, u) for i, u in enumerate(given)], "event_id long, user_id long").selectExpr("*", "timestamp_ntz'2024-01-01' AS ts").write.parquet(f"{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    assert rows(queries.QUERIES["client_keys"](spark, str(tmp_path)).toPandas()) == rows(con.sql(queries.SQL["client_keys"]).df())
+
+
 def test_plans(spark):
     """No Python worker and no Cartesian product; a page is a top-k; an insert deals each side once."""
     plan = lambda name: queries.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
