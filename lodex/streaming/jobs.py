@@ -7,13 +7,15 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from lodex.functions import keys
 from lodex.operators import keystore, rank, rules
 from lodex.operators.requests import BURST, RATE, level
 from lodex.sources.tables import FILES
 
+#: Shards of the keys that a stream keeps a state of.
+SHARDS = 1024
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -93,90 +95,75 @@ def batched(keys: DataFrame, path: str, checkpoint: str, order: list, size: int
     return keys.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(**triggered(every)).start()
 
 
-class Bucket(StatefulProcessor):
-    """A token bucket: of each client, its tokens and last time. With `idle`, a timer forgets a client once the log's
-    watermark is that many seconds beyond its last request; its bucket would be full again by then."""
-
-    def __init__(self, rate: float, burst: float, idle: float | None):
-        self.rate, self.burst, self.idle = rate, burst, idle
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.state = handle.getValueState("bucket", "tokens double, last double")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        tokens, last = self.state.get() if self.state.exists() else (self.burst, None)
-        yes = no = 0
-        for t in sorted(t for part in rows for t in part["t"]):
-            tokens, last = level(tokens, last, t, self.rate, self.burst, self.idle), t
-            if tokens >= 1:
-                tokens, yes = tokens - 1, yes + 1
-            else:
-                no += 1
-        self.state.update((tokens, last))
-        if self.idle:
-            for at in list(self.handle.listTimers()):
-                self.handle.deleteTimer(at)
-            self.handle.registerTimer(int((last + self.idle) * 1000) + 1)
-        yield pd.DataFrame({"client": pd.Series([key[0]]).astype(object), "allowed": [yes], "rejected": [no]})
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.state.clear()
-        return iter(())
-
-    def close(self) -> None:
-        pass
+def per_key(step: Callable, until: Callable | None):
+    """A function of a shard of keys, its rows of a micro-batch (key and numbers) and its state: of each key, two numbers.
 
+    `step` takes a key, its rows in order and its two numbers (None for a new key), and gives the two numbers and a list of
+    results. Once the watermark is at `until` of the two numbers (seconds), a key is forgotten.
+    """
 
-def buckets(log: DataFrame, rate: float = RATE, burst: float = BURST, idle: float | None = None, late: str = "1 minute") -> DataFrame:
-    """client, allowed, rejected of each batch of a log stream (client, ts). The session needs the RocksDB state store.
+    def run(_, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held = {k: (a, b) for k, a, b in zip(*state.get, strict=True)} if state.exists else {}
+        given: dict[str | None, list] = {}
+        for part in rows:
+            own = part["key"].astype(object)
+            numbers = [part[c].tolist() for c in part.columns if c not in ("shard", "key", "ts")]
+            for k, *row in zip(own.where(own.notna(), None).tolist(), *numbers, strict=True):
+                given.setdefault(k, []).append(row)
+        results = []
+        for k, found in given.items():
+            held[k], more = step(k, sorted(found), held.get(k))
+            results += more
+        if until:
+            now = state.getCurrentWatermarkMs()
+            ends = {k: int(until(*pair) * 1000) + 1 for k, pair in held.items()}
+            held = {k: pair for k, pair in held.items() if ends[k] > now}
+        if held:
+            state.update((list(held), [a for a, _ in held.values()], [b for _, b in held.values()]))
+            if until:
+                state.setTimeoutTimestamp(min(ends[k] for k in held))
+        elif state.exists:
+            state.remove()
+        if results:
+            yield pd.DataFrame(results)
+
+    return run
+
+
+def sharded(rows: DataFrame, step: Callable, until: Callable | None, out: str, shards: int) -> DataFrame:
+    """What `step` gives for rows (key, ts, numbers), as `out` names it. The keys lie in shards by hash, of which each is
+    one call and one state a micro-batch: a call for each key costs more than its rows."""
+    kind = rows.schema["key"].dataType
+    given = rows.withColumns({"key": F.col("key").cast("string"), "shard": F.pmod(F.xxhash64("key"), F.lit(shards))})
+    timeout = GroupStateTimeout.EventTimeTimeout if until else GroupStateTimeout.NoTimeout
+    told = given.groupBy("shard").applyInPandasWithState(per_key(step, until), f"key string, {out}", "keys array<string>, first array<double>, second array<double>", "update", timeout)
+    return told.withColumn("key", F.col("key").cast(kind))
+
+
+def buckets(log: DataFrame, rate: float = RATE, burst: float = BURST, idle: float | None = None, late: str = "1 minute", shards: int = SHARDS) -> DataFrame:
+    """client, allowed, rejected of each batch of a log stream (client, ts): a token bucket for each client, of which the state
+    has the tokens and the last time.
 
     With `idle` the state is bounded by the clients of the last `idle` seconds of the log, and requests that come more
-    than `late` behind it are dropped. A micro-batch's requests of one client are sorted in memory; limit the files of a
-    micro-batch (maxFilesPerTrigger) where one client may have any number.
+    than `late` behind it are dropped; a forgotten client's bucket would be full again. A micro-batch's requests of one shard
+    of clients are sorted in memory; limit the files of a micro-batch (maxFilesPerTrigger) where one client may have any number.
     """
-    kind = log.schema["client"].dataType.simpleString()
-    rows = log.select("client", F.col("ts").cast("timestamp").alias("ts"))
-    rows = (rows.withWatermark("ts", late) if idle else rows).withColumn("t", F.col("ts").cast("double"))
-    return rows.groupBy("client").transformWithStateInPandas(Bucket(rate, burst, idle), f"client {kind}, allowed long, rejected long", "Update", "EventTime" if idle else "None")
 
+    def step(client, rows, pair):
+        tokens, last = pair or (burst, None)
+        yes = 0
+        for (t,) in rows:
+            tokens, last = level(tokens, last, t, rate, burst, idle), t
+            if tokens >= 1:
+                tokens, yes = tokens - 1, yes + 1
+        return (tokens, last), [{"key": client, "allowed": yes, "rejected": len(rows) - yes}]
 
-class Due(StatefulProcessor):
-    """When a node may be offered again. A sighting offers a node that is due and reserves it; a reply sets its interval. A
-    timer forgets a node some time after its last row."""
-
-    def __init__(self, reserve: float, forget: float):
-        self.reserve, self.forget = reserve, forget
+    rows = log.select(F.col("client").alias("key"), F.col("ts").cast("timestamp").alias("ts")).where("ts is not null")
+    rows = (rows.withWatermark("ts", late) if idle else rows).withColumn("t", F.col("ts").cast("double"))
+    return sharded(rows, step, (lambda _, last: last + idle) if idle else None, "allowed long, rejected long", shards).withColumnRenamed("key", "client")
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.state = handle.getValueState("due", "next double")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        due = self.state.get()[0] if self.state.exists() else 0.0
-        offered, t = [], 0.0
-        for t, wait in sorted((r.t, r.wait) for part in rows for r in part.itertuples()):
-            if wait > 0:
-                due = t + wait
-            elif t >= due:
-                offered.append(t)
-                due = t + self.reserve
-        self.state.update((due,))
-        for at in list(self.handle.listTimers()):
-            self.handle.deleteTimer(at)
-        self.handle.registerTimer(int((max(due, t) + self.forget) * 1000) + 1)
-        if offered:
-            yield pd.DataFrame({"addr": pd.Series([key[0]] * len(offered)).astype(object), "at": offered})
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.state.clear()
-        return iter(())
-
-    def close(self) -> None:
-        pass
-
-
-def due_nodes(observations: DataFrame, reserve: float = 60.0, forget: float = 7200.0, late: str = "10 minutes") -> DataFrame:
+def due_nodes(observations: DataFrame, reserve: float = 60.0, forget: float = 7200.0, late: str = "10 minutes", shards: int = SHARDS) -> DataFrame:
     """addr, at (seconds) of the nodes to ask, from a stream of sightings and replies (addr, port, ts, answered, interval_s).
 
     A sighting of a node that is due offers it and keeps it from being offered for `reserve` seconds; a reply keeps it for
@@ -184,8 +171,18 @@ def due_nodes(observations: DataFrame, reserve: float = 60.0, forget: float = 72
     time after it was due, which bounds the state by time instead of by a number of nodes; it would be offered anyway
     then. Rows that come more than `late` behind are dropped.
     """
-    kind = observations.schema["addr"].dataType.simpleString()
+
+    def step(addr, rows, pair):
+        when, t, offered = pair[0] if pair else 0.0, 0.0, []
+        for t, wait in rows:
+            if wait > 0:
+                when = t + wait
+            elif t >= when:
+                offered.append({"key": addr, "at": t})
+                when = t + reserve
+        return (when, t), offered
+
     wait = F.when(F.col("answered"), keys.interval(F.col("interval_s"))).otherwise(0).cast("double")
-    rows = observations.where("port <> 0").select("addr", F.col("ts").cast("timestamp").alias("ts"), wait.alias("wait")).withWatermark("ts", late)
-    rows = rows.withColumn("t", F.col("ts").cast("double"))
-    return rows.groupBy("addr").transformWithStateInPandas(Due(reserve, forget), f"addr {kind}, at double", "Update", "EventTime")
+    rows = observations.where("port <> 0").select(F.col("addr").alias("key"), F.col("ts").cast("timestamp").alias("ts"), wait.alias("wait")).withWatermark("ts", late)
+    rows = rows.select("key", "ts", F.col("ts").cast("double").alias("t"), "wait").where("ts is not null")
+    return sharded(rows, step, lambda when, last: max(when, last) + forget, "at double", shards).withColumnRenamed("key", "addr")

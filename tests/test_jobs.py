@@ -362,6 +362,29 @@ def test_bucket_stream_over_batches_equals_the_audit(spark, tmp_path):
     assert got == {"a": (3, 2), "b": (1, 0)}
 
 
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+
+
+@pytest.mark.parametrize("idle", [None, 40.0])
+def test_bucket_stream_of_many_clients_in_any_state_store(spark, tmp_path, idle):
+    rng = random.Random(3)
+    log = sorted(((rng.choice([None, *range(300)]), rng.randrange(1000, 1900)) for _ in range(6000)), key=lambda r: r[1])
+    rows = files(spark, tmp_path, [log[i : i + 1500] for i in range(0, 6000, 1500)], "client long, t long").select("client", F.timestamp_seconds("t").alias("ts"))
+    got, own = {}, spark.conf.get(PROVIDER)
+
+    def take(batch, _):
+        for r in batch.collect():
+            a, b = got.get(r.client, (0, 0))
+            got[r.client] = (a + r.allowed, b + r.rejected)
+
+    spark.conf.set(PROVIDER, "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider")
+    try:
+        streams.buckets(rows, 0.02, 2.0, idle).writeStream.foreachBatch(take).outputMode("update").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start().awaitTermination(120)
+    finally:
+        spark.conf.set(PROVIDER, own)
+    assert got == plain_audit(log, 0.02, 2.0, idle)
+
+
 def test_rank_stream_merges_batches(spark, tmp_path):
     rows = files(spark, tmp_path, [[("a", 5, 1), ("b", 9, 2)], [("c", 7, 3), ("d", 1, 4)]], "hash string, seeders int, seq int")
     stream = streams.ranked(rows, f"{tmp_path}/out", f"{tmp_path}/c", 3)
@@ -449,6 +472,25 @@ def test_due_stream_over_batches(spark, tmp_path):
     assert got == [("a", 100.0), ("a", 450.0)]
 
 
+def test_due_stream_of_many_nodes_in_any_state_store(spark, tmp_path):
+    rng = random.Random(4)
+    rows = sorted(((rng.choice([None, *range(200)]), rng.choice([0, 1, 1]), rng.randrange(9000), rng.random() < 0.2, rng.choice([None, 0, 5, 300, 9999])) for _ in range(4000)), key=lambda r: r[2])
+    obs = files(spark, tmp_path, [rows[i : i + 1000] for i in range(0, 4000, 1000)], "addr long, port int, t long, answered boolean, interval_s long").withColumn("ts", F.timestamp_seconds("t"))
+    got, own, want, when = [], spark.conf.get(PROVIDER), [], {}
+    for a, port, t, answered, interval in sorted(rows, key=lambda r: (r[2], (min(max(r[4] or 900, 60), 7200)) if r[3] else 0)):
+        if port and answered:
+            when[a] = t + min(max(interval or 900, 60), 7200)
+        elif port and t >= when.get(a, 0):
+            want.append((a, t))
+            when[a] = t + 60
+    spark.conf.set(PROVIDER, "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider")
+    try:
+        streams.due_nodes(obs).writeStream.foreachBatch(lambda batch, _: got.extend((r.addr, r["at"]) for r in batch.collect())).outputMode("update").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start().awaitTermination(120)
+    finally:
+        spark.conf.set(PROVIDER, own)
+    assert sorted(got, key=str) == sorted(((a, float(t)) for a, t in want), key=str)
+
+
 def test_due_stream_forgets(spark, tmp_path):
     rows = [[("a", 1, 100, False, None), ("b", 1, 100, True, 7200)], [("c", 1, 90_000, False, None)], [("a", 1, 90_001, False, None)]]
     obs = files(spark, tmp_path, rows, "addr string, port int, t long, answered boolean, interval_s long").withColumn("ts", F.timestamp_seconds("t"))
