@@ -709,20 +709,22 @@ def stream_dedupe_oldest(spark, sf_dir):
 
 @query("SELECT shard, ((k - 1) // 70)::BIGINT AS batch, ((k - 1) % 70 + 1)::INTEGER AS i, user_id::VARCHAR AS hash, event_id AS seq FROM (SELECT event_id % 4 AS shard, row_number() OVER (PARTITION BY event_id % 4 ORDER BY event_id) AS k, count(*) OVER (PARTITION BY event_id % 4) AS n, user_id, event_id FROM events) WHERE k <= n // 70 * 70")
 def stream_requests(spark, sf_dir):
-    """The full requests of four shards, filled over five micro-batches; what is left waits for an hour."""
+    """The full requests of four shards, filled over at least five micro-batches; what is left waits for an hour."""
     out, rows = scratch(spark, "full"), T.table(spark, sf_dir, "events")
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", streams.ROCKSDB)
     due = rows.groupBy((F.col("event_id") % 4).alias("shard")).count().agg(F.sum(F.floor(F.col("count") / rank.BATCH) * rank.BATCH)).first()[0]
-    sent = bounded.request_batches(fed(rows, "event_id").select(F.col("user_id").alias("hash"), F.col("event_id").alias("seq")), F.col("seq") % 4, wait=3600.0)
-    n = [0]
+    sent = bounded.request_batches(fed(rows, "event_id", most=FED).select(F.col("user_id").alias("hash"), F.col("event_id").alias("seq")), F.col("seq") % 4, wait=3600.0)
+    n, until = [0], [time.time() + 600]
 
     def write(batch: DataFrame, k: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/rows/batch_no={k}")
-        n[0] += spark.read.parquet(f"{out}/rows/batch_no={k}").count()
+        more = spark.read.parquet(f"{out}/rows/batch_no={k}").count()
+        n[0] += more
+        if more:  # 600 seconds without a request are an error, however long the table is
+            until[0] = time.time() + 600
 
     stream = sent.writeStream.foreachBatch(write).outputMode("append").option("checkpointLocation", f"{out}/state").trigger(processingTime="100 milliseconds").start()
-    until = time.time() + 600
-    while n[0] < due and stream.isActive and time.time() < until:  # with timers a stream doesn't end by itself
+    while n[0] < due and stream.isActive and time.time() < until[0]:  # with timers a stream doesn't end by itself
         time.sleep(0.2)
     stream.stop()
     if n[0] < due:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections import deque
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -77,23 +78,26 @@ class Requests(StatefulProcessor):
         self.next = handle.getValueState("next", "n long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        given = pd.concat(list(rows), ignore_index=True).sort_values("seq", kind="stable")
-        held = [(h, s) for h, s in self.waiting.get()] if self.waiting.exists() else []
-        pending = held + list(zip(given["hash"].tolist(), given["seq"].tolist(), strict=True))
-        full = len(pending) // self.size * self.size
-        rest = pending[full:]
-        if rest:
-            self.waiting.put(rest)
+        held = self._held()
+        pending = pa.concat_tables([held, _in_order(rows, "hash")])
+        full = pending.num_rows // self.size * self.size
+        rest = pending.slice(full)
+        if rest.num_rows:
+            self.waiting.put(list(zip(rest["hash"].to_pylist(), rest["seq"].to_pylist(), strict=True)))
         else:
             self.waiting.clear()
-        if full or not held:  # the first that waits is another one
-            self._restart(timerValues.getCurrentProcessingTimeInMs() if rest else None)
-        yield self._sent(key[0], pending[:full], False)
+        if full or not held.num_rows:  # the first that waits is another one
+            self._restart(timerValues.getCurrentProcessingTimeInMs() if rest.num_rows else None)
+        yield from self._sent(key[0], pending.slice(0, full), False)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        held = [(h, s) for h, s in self.waiting.get()] if self.waiting.exists() else []
+        held = self._held()
         self.waiting.clear()
-        yield self._sent(key[0], held, True)
+        yield from self._sent(key[0], held, True)
+
+    def _held(self) -> pa.Table:
+        rows = list(self.waiting.get()) if self.waiting.exists() else []
+        return pa.table({"hash": pa.array([h for h, _ in rows], pa.large_string()), "seq": pa.array([s for _, s in rows], pa.int64())})
 
     def _restart(self, now: int | None) -> None:
         for at in list(self.handle.listTimers()):
@@ -101,12 +105,13 @@ class Requests(StatefulProcessor):
         if now is not None:
             self.handle.registerTimer(now + int(self.wait * 1000))
 
-    def _sent(self, shard: int, rows: list[tuple], late: bool) -> pd.DataFrame:
+    def _sent(self, shard: int, rows: pa.Table, late: bool) -> Iterator[pd.DataFrame]:
         n = self.next.get()[0] if self.next.exists() else 0
-        self.next.update((n + -(-len(rows) // self.size),))
-        at = range(len(rows))
-        cols = {"shard": [shard] * len(rows), "batch": [n + i // self.size for i in at], "i": [i % self.size + 1 for i in at], "hash": [h for h, _ in rows], "seq": [s for _, s in rows], "late": [late] * len(rows)}
-        return pd.DataFrame(cols).astype({"shard": "int64", "batch": "int64", "i": "int32", "hash": object, "seq": "int64", "late": bool})
+        self.next.update((n + -(-rows.num_rows // self.size),))
+        for start in range(0, rows.num_rows, STEP):
+            own = rows.slice(start, STEP)
+            at = np.arange(start, start + own.num_rows)
+            yield pd.DataFrame({"shard": shard, "batch": n + at // self.size, "i": (at % self.size + 1).astype("int32"), "hash": pd.Series(own["hash"].to_pylist(), dtype=object), "seq": own["seq"].to_numpy(), "late": late})
 
     def close(self) -> None:
         pass

@@ -4,6 +4,7 @@ import random
 import time
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from lodex import queries
@@ -106,3 +107,31 @@ def test_fed_files_are_bounded_in_rows_and_in_order(spark, tmp_path, monkeypatch
     assert all(a[1] < b[0] for a, b in zip(parts, parts[1:]))
     queries.fed(rows, "id")
     assert spark.read.parquet(f"{tmp_path}/fed-2").count() == 5000  # rows without a place, too
+
+
+class Number:
+    """A value in memory."""
+
+    def __init__(self):
+        self.value = None
+
+    def exists(self):
+        return self.value is not None
+
+    def get(self):
+        return self.value
+
+    def update(self, value):
+        self.value = value
+
+
+def test_requests_leave_a_task_in_parts():
+    """However many a micro-batch fills, a task holds no more than some thousand of them as Python rows."""
+    own = bounded.Requests(70, 3600.0)
+    own.next = Number()
+    rows = pa.table({"hash": pa.array([f"k{i}" for i in range(35_000)], pa.large_string()), "seq": pa.array(range(35_000), pa.int64())})
+    parts = list(own._sent(3, rows, False))
+    got = pd.concat(parts, ignore_index=True)
+    assert len(parts) > 1 and max(map(len, parts)) <= 10_000 and own.next.value == (500,)
+    assert got["batch"].tolist() == [i // 70 for i in range(35_000)] and got["i"].tolist() == [i % 70 + 1 for i in range(35_000)]
+    assert got["hash"].tolist() == rows["hash"].to_pylist() and got["seq"].tolist() == list(range(35_000)) and set(got["shard"]) == {3}
